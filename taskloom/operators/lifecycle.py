@@ -148,13 +148,34 @@ def apply_completions(processing: DataFrame, completions: DataFrame) -> DataFram
     return done.unionByName(left)
 
 
-def attempt_durations(starts: DataFrame, finishes: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Processing and wait time per attempt. Waits count from creation, and from the due time if later."""
-    paired = starts.join(finishes, ["task_id", "attempt_no"]).join(
-        tasks.select("task_id", "queue_name", "created_at", "execute_after"), "task_id"
+def event_attempts(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pair each start in an event log with the task's next event, if that is a completion or a failure."""
+    moves = events.filter(F.col("kind").isin("started", "completed", "failed"))
+    scan = OrderedScan(moves, ["task_id"], ["ts", "event_id"], hot_rows)
+    scan.running_sum({"attempt_no": (F.col("kind") == "started").cast("long")})
+    scan.following({"_next": F.struct("kind", "ts")})
+    ended = F.col("_next.kind") != "started"
+    return (
+        scan.result()
+        .filter(F.col("kind") == "started")
+        .select(
+            "task_id",
+            "attempt_no",
+            "queue_name",
+            "worker_id",
+            F.col("ts").alias("started_at"),
+            F.when(ended, F.col("_next.ts")).alias("finished_at"),
+            F.when(ended, F.col("_next.kind")).alias("outcome"),
+        )
+        .withColumn("processing_s", seconds_between(F.col("finished_at"), F.col("started_at")))
     )
+
+
+def attempt_durations(attempts: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Processing and wait time per attempt. Waits count from creation, and from the due time if later."""
     due = F.greatest("created_at", "execute_after")
-    return paired.withColumns(
+    details = tasks.select("task_id", "queue_name", "created_at", "execute_after")
+    return attempts.join(details, "task_id").withColumns(
         {
             "processing_s": seconds_between(F.col("finished_at"), F.col("started_at")),
             "wait_s": seconds_between(F.col("started_at"), F.col("created_at")),

@@ -162,16 +162,13 @@ def window_rates(events: DataFrame, as_of: str, started_at: str, window_s: float
 def clamped_timeline(
     events: DataFrame, changes: dict[str, int], name: str, keys: list[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """A level after each event that never falls below 0: the running sum minus its lowest value below 0."""
+    """A level after each event that never falls below 0."""
     kind = F.col("kind")
     change = F.lit(0)
     for k, step in changes.items():
         change = F.when(kind == k, step).otherwise(change)
     moves = events.filter(kind.isin(list(changes)))
-    scan = OrderedScan(moves, keys, ["ts", "event_id"], hot_rows)
-    scan.running_sum({"_level": change.cast("long")}).running_min({"_lowest": F.col("_level")})
-    level = F.col("_level") - F.least(F.lit(0), F.col("_lowest"))
-    return scan.map({name: level}).result().drop("_level", "_lowest")
+    return OrderedScan(moves, keys, ["ts", "event_id"], hot_rows).running_level(name, change).result()
 
 
 # How each event moves the queue depth and the number of active tasks.

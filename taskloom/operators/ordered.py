@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from taskloom.session import materialise
@@ -17,7 +17,7 @@ from taskloom.session import materialise
 HOT_ROWS = 1_000_000
 # Smallest support freqItems takes: it names every key above that share, at most 1/support of them.
 FREQ_SUPPORT = 1e-4
-CHUNK, HOT = "_chunk", "_hot"
+CHUNK = "_chunk"
 
 
 def hot_key_hashes(df: DataFrame, keys: list[str], hot_rows: int) -> list[int]:
@@ -33,6 +33,11 @@ def hot_key_hashes(df: DataFrame, keys: list[str], hot_rows: int) -> list[int]:
     return [row.h for row in counted.filter(F.col("count") > hot_rows).select("h").collect()]
 
 
+Columns = dict[str, Column]
+RUNNING = (Window.unboundedPreceding, Window.currentRow)
+BEFORE = (Window.unboundedPreceding, -1)
+
+
 class OrderedScan:
     """Adds running columns over ``order`` within ``keys``; order columns ascend and are unique per group."""
 
@@ -45,130 +50,152 @@ class OrderedScan:
         chunks: int | None = None,
     ):
         self.keys, self.order = list(keys), list(order)
+        self.rest, self.hot = df, None
         hot = hot_key_hashes(df, self.keys, hot_rows)
-        self.split = bool(hot)
-        self.rows = df
-        parts = self.keys
-        if self.split:
+        if hot:
             chunks = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             is_hot = F.xxhash64(*self.keys).isin(hot)
-            big = (
+            self.rest = df.filter(~is_hot)
+            self.hot = (
                 df.filter(is_hot)
                 .repartitionByRange(chunks, *self.keys, *self.order)
-                .withColumns({CHUNK: F.spark_partition_id(), HOT: F.lit(True)})
+                .withColumn(CHUNK, F.spark_partition_id())
             )
-            # The chunk borders come from a sample; materialising keeps rows and totals on the same borders.
-            rest = df.filter(~is_hot).withColumns({CHUNK: F.lit(0), HOT: F.lit(False)})
-            self.rows = rest.unionByName(materialise(big))
-            parts = [*self.keys, CHUNK]
-        self.window = Window.partitionBy(*parts).orderBy(*self.order)
-        self.upto = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def _carry(
-        self,
-        totals: dict[str, Column],
-        fold: Callable[[Column, Window], Column],
-        frame: tuple[int, int],
-    ) -> DataFrame:
-        """Totals of the hot chunks, folded over the chunks in ``frame``: one row per (group, chunk)."""
-        per_chunk = (
-            self.rows.filter(F.col(HOT))
-            .groupBy(*self.keys, CHUNK)
-            .agg(*[c.alias(f"_t_{name}") for name, c in totals.items()])
-        )
-        over_chunks = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(*frame)
-        return per_chunk.select(
-            *[F.col(k).alias(f"_k_{k}") for k in self.keys],
-            F.col(CHUNK).alias("_k_chunk"),
-            *[fold(F.col(f"_t_{name}"), over_chunks).alias(f"_c_{name}") for name in totals],
-        )
+
+    def _window(self, *more: str) -> WindowSpec:
+        return Window.partitionBy(*self.keys, *more).orderBy(*self.order)
+
+    def _cut(self) -> DataFrame:
+        """Hot rows, written out. Chunk borders come from a sample, so rows and chunk totals must read the
+        same copy; and a further running column would otherwise repeat all earlier ones twice."""
+        self.hot = materialise(self.hot)
+        return self.hot
+
+    def _add_carry(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
+        """``carry`` has one row per (hot group, chunk): at most 1/FREQ_SUPPORT + chunks rows."""
+        keys = [*self.keys, CHUNK]
+        renamed = carry.withColumnsRenamed({k: f"_k{k}" for k in keys})
+        match = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys]
+        return rows.join(F.broadcast(renamed), match, "left").drop(*[f"_k{k}" for k in keys])
 
     def _combine(
         self,
-        local: dict[str, Column],
-        totals: dict[str, Column],
-        fold: Callable[[Column, Window], Column],
+        columns: Columns,
+        local: Callable[[Column, WindowSpec], Column],
+        total: Callable[[Column], Column],
+        fold: Callable[[Column, WindowSpec], Column],
         merge: Callable[[Column, Column], Column],
-        frame: tuple[int, int] = (Window.unboundedPreceding, -1),
+        frame: tuple[int, int] = BEFORE,
     ) -> OrderedScan:
-        if not self.split:
-            self.rows = self.rows.withColumns(local)
+        """The window inside each chunk, merged with the totals of the chunks in ``frame``."""
+        self.rest = self.rest.withColumns({n: local(c, self._window()) for n, c in columns.items()})
+        if self.hot is None:
             return self
-        carry = self._carry(totals, fold, frame)
-        match = (F.col(CHUNK) == F.col("_k_chunk")) & F.col(HOT)
-        for k in self.keys:
-            match &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        # At most (hot keys + chunks) rows, and hot keys are at most 1/FREQ_SUPPORT.
-        joined = self.rows.withColumns(local).join(F.broadcast(carry), match, "left")
-        self.rows = joined.withColumns({n: merge(F.col(n), F.col(f"_c_{n}")) for n in local}).drop(
-            "_k_chunk", *[f"_k_{k}" for k in self.keys], *[f"_c_{n}" for n in local]
+        rows = self._cut()
+        totals = rows.groupBy(*self.keys, CHUNK).agg(*[total(c).alias(f"_t{n}") for n, c in columns.items()])
+        over_chunks = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(*frame)
+        carry = totals.select(
+            *self.keys, CHUNK, *[fold(F.col(f"_t{n}"), over_chunks).alias(f"_c{n}") for n in columns]
         )
+        rows = rows.withColumns({n: local(c, self._window(CHUNK)) for n, c in columns.items()})
+        rows = self._add_carry(rows, carry)
+        merged = {n: merge(F.col(n), F.col(f"_c{n}")) for n in columns}
+        self.hot = rows.withColumns(merged).drop(*[f"_c{n}" for n in columns])
         return self
 
-    def map(self, columns: dict[str, Column]) -> OrderedScan:
-        self.rows = self.rows.withColumns(columns)
+    def map(self, columns: Columns) -> OrderedScan:
+        """Plain columns between running ones."""
+        self.rest = self.rest.withColumns(columns)
+        if self.hot is not None:
+            self.hot = self.hot.withColumns(columns)
         return self
 
     def row_number(self, name: str) -> OrderedScan:
         return self._combine(
-            {name: F.row_number().over(self.window).cast("long")},
-            {name: F.count("*")},
-            lambda total, w: F.sum(total).over(w),
-            lambda local, carry: local + F.coalesce(carry, F.lit(0)),
+            {name: F.lit(1)},
+            lambda c, w: F.row_number().over(w).cast("long"),
+            F.count,
+            lambda t, w: F.sum(t).over(w),
+            lambda here, carry: here + F.coalesce(carry, F.lit(0)),
         )
 
-    def running_sum(self, columns: dict[str, Column]) -> OrderedScan:
+    def running_sum(self, columns: Columns) -> OrderedScan:
         return self._combine(
-            {n: F.sum(c).over(self.upto) for n, c in columns.items()},
-            {n: F.sum(c) for n, c in columns.items()},
-            lambda total, w: F.sum(total).over(w),
-            lambda local, carry: F.coalesce(local + carry, local, carry),
+            columns,
+            lambda c, w: F.sum(c).over(w.rowsBetween(*RUNNING)),
+            F.sum,
+            lambda t, w: F.sum(t).over(w),
+            lambda here, carry: F.coalesce(here + carry, here, carry),
         )
 
-    def running_max(self, columns: dict[str, Column]) -> OrderedScan:
+    def running_max(self, columns: Columns) -> OrderedScan:
         return self._combine(
-            {n: F.max(c).over(self.upto) for n, c in columns.items()},
-            {n: F.max(c) for n, c in columns.items()},
-            lambda total, w: F.max(total).over(w),
-            lambda local, carry: F.greatest(local, carry),
+            columns,
+            lambda c, w: F.max(c).over(w.rowsBetween(*RUNNING)),
+            F.max,
+            lambda t, w: F.max(t).over(w),
+            F.greatest,
         )
 
-    def running_min(self, columns: dict[str, Column]) -> OrderedScan:
-        return self._combine(
-            {n: F.min(c).over(self.upto) for n, c in columns.items()},
-            {n: F.min(c) for n, c in columns.items()},
-            lambda total, w: F.min(total).over(w),
-            lambda local, carry: F.least(local, carry),
+    def running_level(self, name: str, change: Column) -> OrderedScan:
+        """Running sum that never falls below 0: the sum minus its lowest value so far, if that is negative."""
+
+        def local(df: DataFrame, w: WindowSpec) -> DataFrame:
+            df = df.withColumn("_sum", F.sum(change.cast("long")).over(w.rowsBetween(*RUNNING)))
+            return df.withColumn("_low", F.min("_sum").over(w.rowsBetween(*RUNNING)))
+
+        plain = F.col("_sum") - F.least(F.lit(0), F.col("_low"))
+        self.rest = local(self.rest, self._window()).withColumn(name, plain).drop("_sum", "_low")
+        if self.hot is None:
+            return self
+        rows = local(self._cut(), self._window(CHUNK))
+        over_chunks = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(*BEFORE)
+        carry = (
+            rows.groupBy(*self.keys, CHUNK)
+            .agg(F.sum(change.cast("long")).alias("_total"), F.min("_low").alias("_lowest"))
+            .withColumn("_base", F.coalesce(F.sum("_total").over(over_chunks), F.lit(0)))
+            .withColumn("_floor", F.min(F.col("_base") + F.col("_lowest")).over(over_chunks))
+            .drop("_total", "_lowest")
+        )
+        lowest = F.least(F.lit(0), F.col("_floor"), F.col("_base") + F.col("_low"))
+        self.hot = (
+            self._add_carry(rows, carry)
+            .withColumn(name, F.col("_base") + F.col("_sum") - lowest)
+            .drop("_sum", "_low", "_base", "_floor")
         )
+        return self
 
-    def last_seen(self, columns: dict[str, Column]) -> OrderedScan:
+    def last_seen(self, columns: Columns) -> OrderedScan:
         """The latest non-null value up to and with the current row."""
         order = F.struct(*self.order)
         return self._combine(
-            {n: F.last(c, ignorenulls=True).over(self.upto) for n, c in columns.items()},
-            {n: F.max_by(c, F.when(c.isNotNull(), order)) for n, c in columns.items()},
-            lambda total, w: F.last(total, ignorenulls=True).over(w),
-            lambda local, carry: F.coalesce(local, carry),
+            columns,
+            lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(*RUNNING)),
+            lambda c: F.max_by(c, F.when(c.isNotNull(), order)),
+            lambda t, w: F.last(t, ignorenulls=True).over(w),
+            F.coalesce,
         )
 
-    def previous(self, columns: dict[str, Column]) -> OrderedScan:
-        order = F.struct(*self.order)
-        return self._neighbour(columns, F.lag, lambda c: F.max_by(F.struct(c.alias("value")), order), (-1, -1))
+    def previous(self, columns: Columns) -> OrderedScan:
+        return self._neighbour(columns, F.lag, F.max_by, (-1, -1))
 
-    def following(self, columns: dict[str, Column]) -> OrderedScan:
-        order = F.struct(*self.order)
-        return self._neighbour(columns, F.lead, lambda c: F.min_by(F.struct(c.alias("value")), order), (1, 1))
+    def following(self, columns: Columns) -> OrderedScan:
+        return self._neighbour(columns, F.lead, F.min_by, (1, 1))
 
-    def _neighbour(self, columns, step, edge, frame) -> OrderedScan:
-        """Values are wrapped in a struct, so that a null value differs from a missing neighbour."""
+    def _neighbour(self, columns: Columns, step, edge, frame) -> OrderedScan:
+        """Values travel in a struct, so that a null value differs from a missing neighbour."""
+        order = F.struct(*self.order)
         self._combine(
-            {n: step(F.struct(c.alias("value"))).over(self.window) for n, c in columns.items()},
-            {n: edge(c) for n, c in columns.items()},
-            lambda total, w: F.first(total).over(w),
-            lambda local, carry: F.coalesce(local, carry),
+            {n: F.struct(c.alias("value")) for n, c in columns.items()},
+            lambda c, w: step(c).over(w),
+            lambda c: edge(c, order),
+            lambda t, w: F.first(t).over(w),
+            F.coalesce,
             frame,
         )
         return self.map({n: F.col(n)["value"] for n in columns})
 
     def result(self) -> DataFrame:
-        return self.rows.drop(CHUNK, HOT)
+        if self.hot is None:
+            return self.rest
+        return self.rest.unionByName(self.hot.drop(CHUNK))

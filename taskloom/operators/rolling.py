@@ -8,8 +8,6 @@ of another one, so each piece is a running or a short-frame aggregate in a small
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +48,14 @@ def rolling_summary(
         .withColumn("grain", grain)
     )
     # Each point also asks, one window earlier, for what lies behind it in that granule.
-    probes = base.select(
-        *keys,
+    own = F.struct(F.lit(0).alias("probe"), "us", "grain", *MERGE)
+    probe = F.struct(
+        F.lit(1).alias("probe"),
         (us - width).alias("us"),
-        *[F.lit(None).cast("long" if n == "n" else "double").alias(n) for n in MERGE],
         (F.col("grain") - width).alias("grain"),
-        F.lit(1).alias("probe"),
+        *[F.lit(None).cast("long" if n == "n" else "double").alias(n) for n in MERGE],
     )
-    both = base.withColumn("probe", F.lit(0)).unionByName(probes)
+    both = base.select(*keys, F.inline(F.array(own, probe)))
     group = Window.partitionBy(*keys, "grain")
     running = (Window.unboundedPreceding, Window.currentRow)
     since = group.orderBy(us, "probe").rowsBetween(*running)
@@ -65,28 +63,29 @@ def rolling_summary(
     is_probe = F.col("probe") == 1
     edges = both.select(
         *keys,
-        (us + F.when(is_probe, width).otherwise(0)).alias("us"),
         (F.col("grain") + F.when(is_probe, width).otherwise(0)).alias("grain"),
+        (us + F.when(is_probe, width).otherwise(0)).alias("us"),
         *[F.when(is_probe, f(n).over(until)).otherwise(f(n).over(since)).alias(n) for n, f in MERGE.items()],
     )
-    edges = edges.groupBy(*keys, "grain", "us").agg(*_merged()).select(*keys, "grain", "us", *_plain())
     # Whole granules in between; every granule is seen by its own bucket and by the next one.
     grains = base.groupBy(*keys, "grain").agg(*_merged()).select(*keys, "grain", *_plain())
-    own = (F.col("grain") - F.pmod("grain", F.lit(width))) / width
-    shared = grains.withColumn("own", own.cast("long")).withColumn(
+    first = ((F.col("grain") - F.pmod("grain", F.lit(width))) / width).cast("long")
+    shared = grains.withColumn("own", first).withColumn(
         "bucket", F.explode(F.array(F.col("own"), F.col("own") + 1))
     )
     inner = (
         Window.partitionBy(*keys, "bucket").orderBy("grain").rangeBetween(-(width - granule_us), -granule_us)
     )
-    middle = shared.select(*keys, "grain", "own", "bucket", *_merged(inner))
-    middle = middle.filter(F.col("own") == F.col("bucket")).select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.col("grain").alias("_grain"),
-        *[F.col(f"m_{n}") for n in MERGE],
+    middle = shared.select(*keys, "grain", "own", "bucket", *_merged(inner)).filter("own = bucket")
+    # Both kinds of rows meet by granule in one exchange, which the final grouping reuses.
+    everything = edges.unionByName(middle.drop("own", "bucket"), allowMissingColumns=True)
+    by_grain = Window.partitionBy(*keys, "grain")
+    spread = everything.withColumns({f"m_{n}": F.max(f"m_{n}").over(by_grain) for n in MERGE})
+    joined = (
+        spread.filter(us.isNotNull())
+        .groupBy(*keys, "grain", "us")
+        .agg(*[f(n).alias(n) for n, f in MERGE.items()], *[F.max(f"m_{n}").alias(f"m_{n}") for n in MERGE])
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("grain") == F.col("_grain")]
-    joined = edges.join(middle, reduce(lambda a, b: a & b, same), "left")
     count = F.col("n") + F.coalesce("m_n", F.lit(0))
     total = F.coalesce(F.col("total") + F.col("m_total"), F.col("total"), F.col("m_total"))
     return joined.select(

@@ -40,12 +40,12 @@ def query(function: Query) -> Query:
 
 def states_of(spark: SparkSession, sf_dir: str, with_payload: bool = False) -> DataFrame:
     return lifecycle.task_states(
-        views.tasks(spark, sf_dir, with_payload), views.attempts(spark, sf_dir), TASK_AS_OF
+        views.tasks(spark, sf_dir, with_payload), views.attempts(spark, sf_dir, TASK_AS_OF), TASK_AS_OF
     )
 
 
 def plan_of(spark: SparkSession, sf_dir: str, with_payload: bool = False) -> DataFrame:
-    known = lifecycle.attempts_known(views.attempts(spark, sf_dir), TASK_AS_OF)
+    known = lifecycle.attempts_known(views.attempts(spark, sf_dir, TASK_AS_OF), TASK_AS_OF)
     return lifecycle.retry_plan(known, existing(spark, sf_dir, with_payload))
 
 
@@ -68,10 +68,7 @@ def leases_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def durations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = views.attempts(spark, sf_dir)
-    starts = log.select("task_id", "attempt_no", "worker_id", "started_at")
-    finishes = log.select("task_id", "attempt_no", "finished_at", "outcome")
-    return lifecycle.attempt_durations(starts, finishes, views.tasks(spark, sf_dir, False))
+    return lifecycle.attempt_durations(views.attempts(spark, sf_dir), views.tasks(spark, sf_dir, False))
 
 
 # Sources and sinks
@@ -299,7 +296,7 @@ def lease_conflicts(spark, sf_dir):
 @query
 def visible_tasks(spark, sf_dir):
     ready = dispatch.ready_filter(views.tasks(spark, sf_dir, False), TASK_AS_OF)
-    known = lifecycle.attempts_known(views.attempts(spark, sf_dir), TASK_AS_OF)
+    known = lifecycle.attempts_known(views.attempts(spark, sf_dir, TASK_AS_OF), TASK_AS_OF)
     held = known.filter(F.col("outcome") == "running").select(
         "task_id", F.col("started_at").alias("lease_time"), F.lit(300.0).alias("timeout_s")
     )
@@ -322,6 +319,12 @@ def attempt_durations(spark, sf_dir):
     )
 
 
+@query
+def event_attempts(spark, sf_dir):
+    rows = lifecycle.event_attempts(views.task_events(spark, sf_dir))
+    return rows.withColumn("processing_s", F.round("processing_s", 6)).drop("queue_name")
+
+
 @query
 def type_failure_rate(spark, sf_dir):
     rows = metrics.type_failure_rate(views.task_events(spark, sf_dir))

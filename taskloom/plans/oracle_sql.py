@@ -588,6 +588,20 @@ oracle(
     ["durations"],
     "SELECT task_id, attempt_no, outcome, processing_s, wait_s, wait_from_due_s FROM durations",
 )
+oracle(
+    "event_attempts",
+    ["ev"],
+    """
+SELECT task_id, attempt_no, worker_id, ts AS started_at,
+       CASE WHEN next_kind <> 'started' THEN next_ts END AS finished_at,
+       CASE WHEN next_kind <> 'started' THEN next_kind END AS outcome,
+       CASE WHEN next_kind <> 'started' THEN round(epoch_us(next_ts - ts) / 1e6, 6) END AS processing_s
+FROM (SELECT *, count(*) FILTER (WHERE kind = 'started') OVER (w ROWS UNBOUNDED PRECEDING) AS attempt_no,
+             lead(kind) OVER w AS next_kind, lead(ts) OVER w AS next_ts
+      FROM ev WHERE kind IN ('started', 'completed', 'failed')
+      WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)) x
+WHERE kind = 'started'""",
+)
 oracle(
     "type_failure_rate",
     ["ev"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.functions.times import plus_seconds
+from taskloom.functions.times import instant, plus_seconds
 from taskloom.operators.ordered import HOT_ROWS, OrderedScan
 
 # Handler kinds by task type; MACHINERY has no handler on purpose.
@@ -74,10 +74,15 @@ def tasks(spark: SparkSession, sf_dir: str, with_payload: bool = True) -> DataFr
     return orders.select(*[c.alias(n) for n, c in task_columns(with_payload).items()])
 
 
-def attempts(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per attempt, numbered per task."""
+def attempts(
+    spark: SparkSession, sf_dir: str, until: str | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """One row per attempt, numbered per task. Numbers follow the start, so ``until`` can cut at the scan."""
     failed = F.col("l_returnflag") == "R"
-    rows = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    if until is not None:
+        lines = lines.filter(F.col("l_shipdate") <= instant(lines, "l_shipdate", until))
+    rows = lines.select(
         F.col("l_orderkey").cast("string").alias("task_id"),
         "l_shipdate",
         "l_linenumber",
@@ -124,7 +129,9 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def handlers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HANDLERS, "task_type STRING, handler_kind STRING")
+    """An inline table, so that its size is known to the optimiser."""
+    rows = ", ".join(f"('{name}', '{kind}')" for name, kind in HANDLERS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS h(task_type, handler_kind)")
 
 
 def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
