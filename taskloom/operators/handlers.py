@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from taskloom.functions.payload import MATH, route
 from taskloom.functions.text import fixed
-from taskloom.session import ship_package
 from taskloom.schema import DIVISION_BY_ZERO, NO_HANDLER, PROCESSED, UNKNOWN_OPERATION
+from taskloom.session import ship_package
 
 
 def with_route(tasks: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _in_batches(rows: DataFrame, functions: dict[str, Callable[[str], object]])
             )
             yield frame
 
-    ship_package(rows.sparkSession)
+    ship_package()
     return rows.mapInPandas(batches, T.StructType(rows.schema.fields))
 
 

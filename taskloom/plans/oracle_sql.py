@@ -207,55 +207,60 @@ PARTS["times"] = (
     ["ev"],
     summary_sql(f"ev WHERE kind = 'completed' AND ts BETWEEN {E} - INTERVAL 1 DAY AND {E}", "", "processing_s"),
 )
-PARTS["log"] = (
-    ["ev"],
-    f"""
-  SELECT *, count(*) FILTER (WHERE kind = 'started') OVER w AS lease_no
-  FROM ev WHERE ts <= {E} AND kind IN ('started', 'extended', 'completed', 'failed')
-  WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
-)
-PARTS["opened"] = (
-    ["log"],
-    """
-  SELECT task_id, lease_no, worker_id, ts AS lease_time, timeout_s,
-         lead(ts) OVER (PARTITION BY task_id ORDER BY lease_no) AS next_open
-  FROM log WHERE kind = 'started'""",
-)
-PARTS["closed"] = (
-    ["log"],
-    """
-  SELECT task_id, lease_no, min(ts) AS finished_at FROM log
-  WHERE kind IN ('completed', 'failed') AND lease_no > 0 GROUP BY task_id, lease_no""",
-)
-PARTS["moves"] = (
-    ["log", "opened", "closed"],
-    """
-  SELECT l.task_id, l.lease_no, l.ts, l.kind, o.lease_time, o.timeout_s,
-         l.kind = 'extended' AND l.worker_id = o.worker_id AS extends,
-         count(*) FILTER (WHERE l.kind = 'extended' AND l.worker_id = o.worker_id)
-           OVER (PARTITION BY l.task_id, l.lease_no ORDER BY l.ts, l.event_id
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
-  FROM log l JOIN opened o ON l.task_id = o.task_id AND l.lease_no = o.lease_no
-  LEFT JOIN closed c ON l.task_id = c.task_id AND l.lease_no = c.lease_no
-  WHERE l.kind <> 'started' AND (c.finished_at IS NULL OR l.ts <= c.finished_at)""",
-)
-PARTS["sessions"] = (
-    ["opened", "closed", "moves"],
-    f"""
-  SELECT o.task_id, o.lease_no, o.worker_id, o.lease_time, coalesce(m.extensions, 0) AS extensions,
-         coalesce(m.missed, o.lease_time + to_seconds(o.timeout_s + 300 * coalesce(m.extensions, 0))) AS deadline,
-         coalesce(c.finished_at, o.next_open) AS ended_at,
-         coalesce(m.missed,
-                  CASE WHEN coalesce(c.finished_at, o.next_open, {E}) > o.lease_time + to_seconds(o.timeout_s + 300 * coalesce(m.extensions, 0))
-                       THEN o.lease_time + to_seconds(o.timeout_s + 300 * coalesce(m.extensions, 0)) END) AS expired_at
-  FROM opened o
-  LEFT JOIN closed c ON o.task_id = c.task_id AND o.lease_no = c.lease_no
-  LEFT JOIN (SELECT task_id, lease_no, count(*) FILTER (WHERE extends) AS extensions,
-                    min(lease_time + to_seconds(timeout_s + 300 * earlier))
-                      FILTER (WHERE ts > lease_time + to_seconds(timeout_s + 300 * earlier)) AS missed
-             FROM moves GROUP BY task_id, lease_no) m
-    ON o.task_id = m.task_id AND o.lease_no = m.lease_no""",
-)
+def lease_parts(p: str, end: str, rows: str) -> None:
+    """Lease sessions of the chosen log rows, open ones judged at ``end``; fragment names start with ``p``."""
+    PARTS[f"{p}log"] = (
+        ["ev"],
+        f"""
+      SELECT *, count(*) FILTER (WHERE kind = 'started') OVER w AS lease_no
+      FROM ev WHERE {rows} AND kind IN ('started', 'extended', 'completed', 'failed')
+      WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+    )
+    PARTS[f"{p}opened"] = (
+        [f"{p}log"],
+        f"""
+      SELECT task_id, lease_no, worker_id, ts AS lease_time, timeout_s,
+             lead(ts) OVER (PARTITION BY task_id ORDER BY lease_no) AS next_open
+      FROM {p}log WHERE kind = 'started'""",
+    )
+    PARTS[f"{p}closed"] = (
+        [f"{p}log"],
+        f"""
+      SELECT task_id, lease_no, min(ts) AS finished_at FROM {p}log
+      WHERE kind IN ('completed', 'failed') AND lease_no > 0 GROUP BY task_id, lease_no""",
+    )
+    PARTS[f"{p}moves"] = (
+        [f"{p}log", f"{p}opened", f"{p}closed"],
+        f"""
+      SELECT l.task_id, l.lease_no, l.ts, l.kind, o.lease_time, o.timeout_s,
+             l.kind = 'extended' AND l.worker_id = o.worker_id AS extends,
+             count(*) FILTER (WHERE l.kind = 'extended' AND l.worker_id = o.worker_id)
+               OVER (PARTITION BY l.task_id, l.lease_no ORDER BY l.ts, l.event_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+      FROM {p}log l JOIN {p}opened o ON l.task_id = o.task_id AND l.lease_no = o.lease_no
+      LEFT JOIN {p}closed c ON l.task_id = c.task_id AND l.lease_no = c.lease_no
+      WHERE l.kind <> 'started' AND (c.finished_at IS NULL OR l.ts <= c.finished_at)""",
+    )
+    PARTS[f"{p}sessions"] = (
+        [f"{p}opened", f"{p}closed", f"{p}moves"],
+        f"""
+      SELECT o.task_id, o.lease_no, o.worker_id, o.lease_time, coalesce(m.extensions, 0) AS extensions,
+             coalesce(m.missed, o.lease_time + to_seconds(o.timeout_s + 300 * coalesce(m.extensions, 0))) AS deadline,
+             coalesce(c.finished_at, o.next_open) AS ended_at,
+             coalesce(m.missed,
+                      CASE WHEN coalesce(c.finished_at, o.next_open, {end}) > o.lease_time + to_seconds(o.timeout_s + 300 * coalesce(m.extensions, 0))
+                           THEN o.lease_time + to_seconds(o.timeout_s + 300 * coalesce(m.extensions, 0)) END) AS expired_at
+      FROM {p}opened o
+      LEFT JOIN {p}closed c ON o.task_id = c.task_id AND o.lease_no = c.lease_no
+      LEFT JOIN (SELECT task_id, lease_no, count(*) FILTER (WHERE extends) AS extensions,
+                        min(lease_time + to_seconds(timeout_s + 300 * earlier))
+                          FILTER (WHERE ts > lease_time + to_seconds(timeout_s + 300 * earlier)) AS missed
+                 FROM {p}moves GROUP BY task_id, lease_no) m
+        ON o.task_id = m.task_id AND o.lease_no = m.lease_no""",
+    )
+
+
+lease_parts("", E, f"ts <= {E}")
 PARTS["handlers"] = (
     [],
     """
@@ -965,3 +970,113 @@ SELECT task_id, queue_name, task_type,
        CASE WHEN error IS NOT NULL AND 1 < max_retries THEN {T} + to_seconds(2) END AS next_execute_after
 FROM handled""",
 )
+
+
+# Streams over one table run to its end: windows and timers up to the watermark have closed.
+# The watermark follows the rows that are left after a filter.
+RETRY_KINDS = "kind IN ('submitted', 'completed', 'failed')"
+LEASE_KINDS = "kind IN ('started', 'extended', 'completed', 'failed')"
+
+
+def closed_sql(delay: str, rows: str = "true") -> str:
+    return f"(SELECT max(ts) FROM ev WHERE {rows}) - INTERVAL {delay}"
+
+
+oracle("task_stream_source", ["tasks"], f"SELECT {TASK} FROM tasks")
+oracle(
+    "stream_delayed_release",
+    ["tasks"],
+    """
+SELECT task_id, queue_name, priority, coalesce(execute_after > created_at, false) AS held,
+       greatest(created_at, coalesce(execute_after, created_at)) AS released_at
+FROM tasks
+WHERE execute_after IS NULL OR execute_after <= created_at
+   OR execute_after <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 36 HOURS""",
+)
+PARTS["failures"] = (
+    ["ev"],
+    """
+  SELECT task_id, ts, CAST((row_number() OVER (PARTITION BY task_id, segment ORDER BY ts, event_id) - 1) % 3 + 1 AS INTEGER) AS n
+  FROM (SELECT *, count(*) FILTER (WHERE kind <> 'failed')
+               OVER (PARTITION BY task_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment
+        FROM ev WHERE kind IN ('submitted', 'completed', 'failed')) s
+  WHERE kind = 'failed'""",
+)
+oracle(
+    "stream_retry_dlq",
+    ["failures"],
+    f"""
+SELECT task_id, 'dead' AS kind, n AS retry_count, ts AS at FROM failures WHERE n = 3
+UNION ALL
+SELECT task_id, 'retry', n, ts + to_seconds(CAST(power(2, n) AS BIGINT)) FROM failures WHERE n < 3
+UNION ALL
+SELECT task_id, 'requeued', n, ts + to_seconds(CAST(power(2, n) AS BIGINT)) FROM failures
+WHERE n < 3 AND ts + to_seconds(CAST(power(2, n) AS BIGINT)) <= {closed_sql("10 MINUTES", RETRY_KINDS)}""",
+)
+lease_parts("end_", f"({closed_sql('10 MINUTES', LEASE_KINDS)})", "true")
+oracle(
+    "stream_lease_timeout",
+    ["end_sessions"],
+    "SELECT task_id, worker_id, lease_time, expired_at FROM end_sessions WHERE expired_at IS NOT NULL",
+)
+oracle(
+    "recovery_callback",
+    ["end_sessions"],
+    "SELECT task_id, worker_id, expired_at, 'pending' AS state FROM end_sessions WHERE expired_at IS NOT NULL",
+)
+oracle(
+    "stream_rolling_metrics",
+    ["ev"],
+    f"""
+SELECT window_start, window_start + INTERVAL 5 MINUTES AS window_end, task_type, count(*) AS events,
+       count(*) FILTER (WHERE processing_s > 0) AS samples,
+       round(sum(processing_s) FILTER (WHERE processing_s > 0), 6) AS total,
+       round(min(processing_s) FILTER (WHERE processing_s > 0), 6) AS low, round(max(processing_s), 6) AS high
+FROM (SELECT *, unnest([date_trunc('minute', ts) - INTERVAL 0 MINUTES, date_trunc('minute', ts) - INTERVAL 1 MINUTES,
+                        date_trunc('minute', ts) - INTERVAL 2 MINUTES, date_trunc('minute', ts) - INTERVAL 3 MINUTES,
+                        date_trunc('minute', ts) - INTERVAL 4 MINUTES]) AS window_start FROM ev) x
+WHERE window_start + INTERVAL 5 MINUTES <= {closed_sql("10 MINUTES")}
+GROUP BY window_start, task_type""",
+)
+oracle(
+    "stream_late_drop",
+    ["ev"],
+    f"""
+SELECT date_trunc('hour', ts) AS window_start, task_type, count(*) AS events FROM ev
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {closed_sql("1 HOUR")} GROUP BY ALL""",
+)
+oracle("stream_dedup", ["ev"], "SELECT DISTINCT task_id, queue_name FROM ev WHERE kind = 'submitted'")
+oracle(
+    "stream_priority_batch",
+    ["tasks"],
+    f"""
+SELECT task_id, queue_name, priority, CASE WHEN rn <= 1000 THEN 'taken' ELSE 'backlog' END AS disposition
+FROM (SELECT *, row_number() OVER (ORDER BY {URGENCY}) AS rn FROM tasks) x""",
+)
+oracle("stream_at_least_once_sink", ["tasks"], "SELECT task_id, queue_name, created_at FROM tasks")
+oracle(
+    "stream_health",
+    ["ev"],
+    f"""
+SELECT window_start, queue_name, queue_depth, round(success_rate, 6) AS success_rate,
+       CASE WHEN queue_depth > 1000 OR success_rate < 95 OR (started = 0 AND queue_depth > 0)
+            THEN 'unhealthy' ELSE 'healthy' END AS status,
+       CASE WHEN p95 IS NULL OR p95 < 10 THEN 'ok' ELSE 'warning' END AS check_processing_time,
+       concat_ws('; ', CASE WHEN queue_depth > 1000 THEN 'High queue depth' END,
+         CASE WHEN success_rate < 95 THEN 'Low success rate' END,
+         CASE WHEN started = 0 AND queue_depth > 0 THEN 'No active workers with pending tasks' END,
+         CASE WHEN p95 > 10 THEN 'High p95 processing time' END) AS alerts
+FROM (SELECT window_start, queue_name,
+             greatest(0, count(*) FILTER (WHERE kind = 'submitted') - count(*) FILTER (WHERE kind IN ('completed', 'failed'))) AS queue_depth,
+             coalesce(100.0::DOUBLE * count(*) FILTER (WHERE kind = 'completed')
+                      / nullif(count(*) FILTER (WHERE kind IN ('completed', 'failed')), 0), 100.0::DOUBLE) AS success_rate,
+             count(*) FILTER (WHERE kind = 'started') AS started,
+             max(processing_s) FILTER (WHERE good AND rn = CAST(floor(n * 0.95::DOUBLE) AS BIGINT) + 1) AS p95
+      FROM (SELECT *, date_trunc('hour', ts) AS window_start, kind = 'completed' AND processing_s > 0 AS good,
+                   row_number() OVER (PARTITION BY date_trunc('hour', ts), queue_name, kind = 'completed' AND processing_s > 0
+                                      ORDER BY processing_s) AS rn,
+                   count(*) OVER (PARTITION BY date_trunc('hour', ts), queue_name, kind = 'completed' AND processing_s > 0) AS n
+            FROM ev) e
+      WHERE window_start + INTERVAL 1 HOUR <= {closed_sql("10 MINUTES")}
+      GROUP BY window_start, queue_name) h""",
+)

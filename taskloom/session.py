@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
+import sys
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
@@ -45,15 +45,9 @@ def local_session(app: str, cpus: int | str = "*", shuffle_partitions: int = 8)
     return configure(spark)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
-    sc = spark.sparkContext
-    package = Path(__file__).parent
-    if getattr(sc, "_shipped_" + package.name, False):
-        return
-    base = Path(tempfile.mkdtemp(prefix="ship-")) / package.name
-    sc.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
-    setattr(sc, "_shipped_" + package.name, True)
+def ship_package() -> None:
+    """Pickle this package's functions by value, so that Python workers need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
 def shared_dir(spark: SparkSession) -> str:
