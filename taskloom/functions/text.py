@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,22 +12,21 @@ def fixed(x: Column, decimals: int) -> Column:
     """``x`` with ``decimals`` places. The JVM formatter rounds the shortest decimal text half up instead.
 
     The product x * 10^d is split into its double value and its exact rounding error, which decides
-    the cases where the product lands on a tie.
+    the cases where the product lands on a tie. The digits come from a whole number, not a formatter.
     """
     scale = float(10**decimals)
     x = x.cast("double")
-    if decimals == 0:
-        return F.format_string("%.0f", F.rint(x))
     split = F.lit(134217729.0) * x
     high = split - (split - x)
     product = x * scale
     error = (high * scale - product) + (x - high) * scale
     floor = F.floor(product).cast("double")
-    tie = (product - floor) == 0.5
-    rounded = (
-        F.when(tie & (error > 0), floor + 1).when(tie & (error < 0), floor).otherwise(F.rint(product))
-    )
-    return F.format_string(f"%.{decimals}f", rounded / scale)
+    off_tie = ((product - floor) == 0.5) & (error != 0)
+    rounded = F.when(off_tie, floor + (error > 0).cast("double")).otherwise(F.rint(product))
+    digits = rounded.try_cast("long").cast("decimal(20,0)")
+    text = (digits * F.lit(Decimal(1).scaleb(-decimals))).cast(f"decimal(30,{decimals})").cast("string")
+    signed = F.when((x < 0) & (product >= -0.5), F.concat(F.lit("-"), text)).otherwise(text)
+    return F.coalesce(signed, F.format_string(f"%.{decimals}f", x))
 
 
 def format_number(x: Column, decimals: int = 2) -> Column:

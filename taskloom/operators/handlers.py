@@ -10,16 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskloom.functions.payload import MATH, route
+from taskloom.functions.payload import MATH
 from taskloom.functions.text import fixed
 from taskloom.schema import DIVISION_BY_ZERO, NO_HANDLER, PROCESSED, UNKNOWN_OPERATION
 from taskloom.session import ship_package
 
 
-def with_route(tasks: DataFrame) -> DataFrame:
-    return tasks.withColumn("_route", route(F.col("payload"))).select("*", "_route.*").drop("_route")
-
-
 def handler_route_join(tasks: DataFrame, handlers: DataFrame) -> DataFrame:
     """Attach the handler kind by task type; a missing one is an error text.
 
@@ -30,9 +26,12 @@ def handler_route_join(tasks: DataFrame, handlers: DataFrame) -> DataFrame:
     return tasks.join(handlers, "task_type", "left").withColumn("error", missing)
 
 
-def math_value(data: Column) -> tuple[Column, Column]:
-    """Value and error of an arithmetic request; operands default to 0."""
-    args = F.from_json(data, MATH)
+def parse_math(data: Column) -> Column:
+    return F.from_json(data, MATH)
+
+
+def math_value(args: Column) -> tuple[Column, Column]:
+    """Value and error of a parsed arithmetic request; operands default to 0."""
     op = F.coalesce(args["operation"], F.lit("None"))
     a, b = F.coalesce(args["a"], F.lit(0.0)), F.coalesce(args["b"], F.lit(0.0))
     value = F.when(op == "add", a + b).when(op == "multiply", a * b).when(op == "divide", F.try_divide(a, b))
@@ -42,8 +41,8 @@ def math_value(data: Column) -> tuple[Column, Column]:
     return value, error
 
 
-def math_handler(data: Column) -> tuple[Column, Column]:
-    value, error = math_value(data)
+def math_handler(args: Column) -> tuple[Column, Column]:
+    value, error = math_value(args)
     return fixed(value, 6), error
 
 
@@ -51,24 +50,33 @@ def simple_handler(data: Column) -> tuple[Column, Column]:
     return F.concat(F.lit(PROCESSED), F.coalesce(data, F.lit("None"))), F.lit(None).cast("string")
 
 
+ColumnHandler = Callable[[Column], tuple[Column, Column]]
+
+
 class Handlers:
-    """Handler functions by kind: column expressions, or Python functions for what columns cannot express."""
+    """Handler functions by kind: column expressions, or Python functions for what columns cannot express.
+
+    A column handler may name a ``parse`` step; its result is computed once per row and handed to it.
+    """
 
     def __init__(self) -> None:
-        self.columns: dict[str, Callable[[Column], tuple[Column, Column]]] = {}
+        self.columns: dict[str, tuple[ColumnHandler, Callable[[Column], Column] | None]] = {}
         self.python: dict[str, Callable[[str], object]] = {}
 
-    def register(self, kind: str, handler: Callable[[Column], tuple[Column, Column]]) -> Handlers:
-        self.columns[kind] = handler
+    def register(
+        self, kind: str, handler: ColumnHandler, parse: Callable[[Column], Column] | None = None
+    ) -> Handlers:
+        self.columns[kind] = (handler, parse)
         return self
 
     def register_python(self, kind: str, handler: Callable[[str], object]) -> Handlers:
+        self.columns.pop(kind, None)
         self.python[kind] = handler
         return self
 
 
 def default_handlers() -> Handlers:
-    return Handlers().register("math", math_handler).register("simple", simple_handler)
+    return Handlers().register("math", math_handler, parse_math).register("simple", simple_handler)
 
 
 def apply_handlers(routed: DataFrame, handlers: Handlers) -> DataFrame:
@@ -77,17 +85,26 @@ def apply_handlers(routed: DataFrame, handlers: Handlers) -> DataFrame:
     Rows stay in the JVM unless their kind has a Python handler.
     """
     kind = F.col("handler_kind")
+    known = [*handlers.columns, *handlers.python]
+    unknown = kind.isNotNull() & ~kind.isin(known)
+    inputs = {
+        f"_in_{name}": F.when(kind == name, parse(F.col("data")))
+        for name, (_, parse) in handlers.columns.items()
+        if parse
+    }
     result, error = F.lit(None).cast("string"), F.col("error")
-    for name, handler in handlers.columns.items():
-        value, failure = handler(F.col("data"))
-        result = F.when((kind == name) & failure.isNull(), value).otherwise(result)
+    for name, (handler, parse) in handlers.columns.items():
+        value, failure = handler(F.col(f"_in_{name}" if parse else "data"))
+        result = F.when(kind == name, value).otherwise(result)
         error = F.when(kind == name, failure).otherwise(error)
-    known = [*handlers.columns, *handlers.python]
-    error = F.when(
-        kind.isNotNull() & ~kind.isin(known), F.concat(F.lit(NO_HANDLER), F.col("task_type"))
-    ).otherwise(error)
+    error = F.when(unknown, F.concat(F.lit(NO_HANDLER), F.col("task_type"))).otherwise(error)
     in_python = F.coalesce(kind.isin(list(handlers.python)), F.lit(False))
-    plain = routed.withColumns({"result": result, "error": error, "handler_s": F.lit(None).cast("double")})
+    plain = (
+        routed.withColumns({**inputs, "handler_s": F.lit(None).cast("double")})
+        .withColumns({"error": error, "result": result})
+        .withColumn("result", F.when(F.col("error").isNull(), F.col("result")))
+        .drop(*inputs)
+    )
     if not handlers.python:
         return plain
     by_python = _in_batches(plain.filter(in_python), handlers.python)

@@ -172,7 +172,7 @@ def lease_sessions(
             "finished_at"
         ),
     )
-    chain = OrderedScan(leases, ["task_id"], ["lease_no"], hot_rows).following(
+    chain = OrderedScan(leases, ["task_id"], ["lease_no"], hot_rows, probe=log).following(
         {"next_open": F.col("lease_time")}
     )
     last_deadline = plus_seconds(

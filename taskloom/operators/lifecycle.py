@@ -34,7 +34,7 @@ def retry_plan(
     rows = attempts.join(tasks.select("task_id", "queue_name", "max_retries"), "task_id")
     failed = (F.col("outcome") == "failed").cast("long")
     completed = (F.col("outcome") == "completed").cast("long")
-    scan = OrderedScan(rows, ["task_id"], ["attempt_no"], hot_rows).running_sum(
+    scan = OrderedScan(rows, ["task_id"], ["attempt_no"], hot_rows, probe=attempts).running_sum(
         {"retry_count": failed, "completions": completed}
     )
     failures = F.col("retry_count")
@@ -87,6 +87,8 @@ def task_states(
         F.count_if(kind.isin("retry", "dead")).alias("retry_count"),
         F.max_by("next_execute_after", F.when(kind == "retry", F.col("attempt_no"))).alias("retry_after"),
         F.max_by("error", F.when(kind.isin("retry", "dead"), F.col("attempt_no"))).alias("last_error"),
+        F.count_if(kind != "ignored").alias("attempts"),
+        F.max(F.when(kind == "completed", F.col("processing_s"))).alias("processing_s"),
         F.max(kind == "running").alias("in_flight"),
         F.max_by("worker_id", F.when(kind == "running", F.col("attempt_no"))).alias("worker_id"),
         F.max(F.when(kind == "running", F.col("started_at"))).alias("started_at"),
@@ -95,6 +97,7 @@ def task_states(
     return existing.join(history, "task_id", "left").withColumns(
         {
             "retry_count": F.coalesce("retry_count", F.lit(0)),
+            "attempts": F.coalesce("attempts", F.lit(0)),
             "execute_after": due,
             "state": derive_state(
                 now, F.col("dead_at"), F.col("completed_at"), F.coalesce("in_flight", F.lit(False)), due

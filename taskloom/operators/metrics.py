@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from taskloom.functions.text import shorten
 from taskloom.functions.times import instant, plus_seconds, seconds_between
 from taskloom.operators.ordered import HOT_ROWS, OrderedScan
+from taskloom.session import materialise
 from taskloom.schema import (
     ERROR_TEXT_KEPT,
     ERROR_TEXT_SHOWN,
@@ -28,19 +29,24 @@ def positive(column: Column) -> Column:
     return F.when(column > 0, column)
 
 
-def lifecycle_counters(tasks: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
-    """Submitted, started, completed, failed, retried and dead-lettered per key; each event counts once."""
-    kind = F.col("disposition")
-    submitted = tasks.groupBy(*keys).agg(F.count("*").alias("submitted"))
-    counted = plan.groupBy(*keys).agg(
-        F.count_if(kind != "ignored").alias("started"),
-        F.count_if(kind == "completed").alias("completed"),
-        F.count_if(kind.isin("retry", "dead")).alias("failed"),
-        F.count_if(kind == "retry").alias("retried"),
-        F.count_if(kind == "dead").alias("dead_lettered"),
+def lifecycle_counters(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Submitted, started, completed, failed, retried and dead-lettered per key, and the backlog.
+
+    Each event counts once; the task states already hold one row per task with its attempts counted.
+    """
+    state = F.col("state")
+    return (
+        states.groupBy(*keys)
+        .agg(
+            F.count("*").alias("submitted"),
+            F.sum("attempts").alias("started"),
+            F.count_if(state == "completed").alias("completed"),
+            F.sum("retry_count").alias("failed"),
+            F.count_if(state == "dead").alias("dead_lettered"),
+            F.count_if(state.isin("pending", "delayed")).alias("backlog"),
+        )
+        .withColumn("retried", F.col("failed") - F.col("dead_lettered"))
     )
-    zero = ["started", "completed", "failed", "retried", "dead_lettered"]
-    return submitted.join(counted, keys, "left").fillna(0, zero)
 
 
 def success_rate(completed: Column, failed: Column) -> Column:
@@ -95,6 +101,8 @@ def metric_summary(
         .groupBy(*keys, "v")
         .agg(F.count("*").alias("c"))
     )
+    # Read three times below: for its size, for the ranks and for the group sizes.
+    distinct = materialise(distinct)
     ranked = OrderedScan(distinct, keys, ["v"], hot_rows).running_sum({"upto": F.col("c")}).result()
     sizes = distinct.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("c").alias("n"))
     match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]

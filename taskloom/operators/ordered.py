@@ -48,10 +48,12 @@ class OrderedScan:
         order: list[str],
         hot_rows: int = HOT_ROWS,
         chunks: int | None = None,
+        probe: DataFrame | None = None,
     ):
+        """``probe`` is a cheaper table with at least as many rows per key, to find the hot keys with."""
         self.keys, self.order = list(keys), list(order)
         self.rest, self.hot = df, None
-        hot = hot_key_hashes(df, self.keys, hot_rows)
+        hot = hot_key_hashes(df if probe is None else probe, self.keys, hot_rows)
         if hot:
             chunks = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             is_hot = F.xxhash64(*self.keys).isin(hot)

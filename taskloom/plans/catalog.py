@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.functions.payload import route, task_type
+from taskloom.functions.payload import task_type, with_route
 from taskloom.functions.retry import backoff_seconds
 from taskloom.functions.text import format_duration, format_number
 from taskloom.functions.times import clock_text, instant, iso_text, plus_seconds, seconds
@@ -182,8 +182,7 @@ def ready_filter(spark, sf_dir):
 
 @query
 def payload_route_fields(spark, sf_dir):
-    routed = views.tasks(spark, sf_dir).select("task_id", route(F.col("payload")).alias("r"))
-    return routed.select("task_id", "r.task_type", "r.data")
+    return with_route(views.tasks(spark, sf_dir)).select("task_id", "task_type", "data")
 
 
 @query
@@ -259,7 +258,7 @@ def detail_lookup(spark, sf_dir):
 
 @query
 def handler_route_join(spark, sf_dir):
-    ready = handlers.with_route(dispatch.ready_filter(views.tasks(spark, sf_dir), TASK_AS_OF))
+    ready = with_route(dispatch.ready_filter(views.tasks(spark, sf_dir), TASK_AS_OF))
     return handlers.handler_route_join(ready, views.handlers(spark)).select(
         "task_id", "task_type", "handler_kind", "error"
     )
@@ -336,7 +335,7 @@ def type_failure_rate(spark, sf_dir):
 
 @query
 def lifecycle_counters(spark, sf_dir):
-    return metrics.lifecycle_counters(existing(spark, sf_dir), plan_of(spark, sf_dir), ["queue_name"])
+    return metrics.lifecycle_counters(states_of(spark, sf_dir), ["queue_name"])
 
 
 @query
@@ -380,7 +379,7 @@ def wait_summary(spark, sf_dir):
 
 @query
 def success_rate(spark, sf_dir):
-    counts = metrics.lifecycle_counters(existing(spark, sf_dir), plan_of(spark, sf_dir), ["queue_name"])
+    counts = metrics.lifecycle_counters(states_of(spark, sf_dir), ["queue_name"])
     rate = metrics.success_rate(F.col("completed"), F.col("failed"))
     return counts.select("queue_name", "completed", "failed", F.round(rate, 6).alias("success_rate"))
 
@@ -440,16 +439,13 @@ def load_distribution(spark, sf_dir):
 
 
 def health_of(spark, sf_dir):
-    plan = plan_of(spark, sf_dir)
-    counts = metrics.lifecycle_counters(existing(spark, sf_dir), plan, ["queue_name"])
+    states = states_of(spark, sf_dir)
+    counts = metrics.lifecycle_counters(states, ["queue_name"])
     rate = metrics.success_rate(F.col("completed"), F.col("failed"))
-    sizes = metrics.queue_size(states_of(spark, sf_dir)).withColumnRenamed("queue_size", "queue_depth")
-    done = plan.filter(F.col("disposition") == "completed")
-    p95 = metrics.metric_summary(done, ["queue_name"], F.col("processing_s")).select("queue_name", "p95")
+    p95 = metrics.metric_summary(states, ["queue_name"], F.col("processing_s")).select("queue_name", "p95")
     running = views.workers(spark, sf_dir).agg(F.count_if("running")).scalar()
     rows = (
-        counts.select("queue_name", rate.alias("success_rate"))
-        .join(sizes, "queue_name", "left")
+        counts.select("queue_name", rate.alias("success_rate"), F.col("backlog").alias("queue_depth"))
         .join(p95, "queue_name", "left")
         .withColumn("active_workers", running)
     )
@@ -708,16 +704,16 @@ def check_titles(spark, sf_dir):
 
 @query
 def math_tasks(spark, sf_dir):
-    routed = handlers.with_route(views.tasks(spark, sf_dir))
-    value, error = handlers.math_value(F.col("data"))
-    return routed.select("task_id", F.round(value, 6).alias("value"), error.alias("error"))
+    routed = with_route(views.tasks(spark, sf_dir))
+    value, error = handlers.math_value(F.col("args"))
+    return routed.withColumn("args", handlers.parse_math(F.col("data"))).select("task_id", F.round(value, 6).alias("value"), error.alias("error"))
 
 
 # Handlers
 
 
 def routed_of(spark, sf_dir):
-    ready = handlers.with_route(dispatch.ready_filter(views.tasks(spark, sf_dir), TASK_AS_OF))
+    ready = with_route(dispatch.ready_filter(views.tasks(spark, sf_dir), TASK_AS_OF))
     return handlers.handler_route_join(ready, views.handlers(spark))
 
 
@@ -741,7 +737,6 @@ def word_count(data: str) -> str:
 def error_side_output(spark, sf_dir):
     """A Python handler's exceptions as error rows, split off from the written outcome."""
     registry = handlers.default_handlers().register_python("simple", word_count)
-    registry.columns.pop("simple")
     done = handlers.apply_handlers(routed_of(spark, sf_dir), registry)
     path = scratch_path(spark, "handled")
     done.select("task_id", "task_type", "handler_kind", "result", "error").write.parquet(path)

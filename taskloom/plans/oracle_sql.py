@@ -135,10 +135,11 @@ PARTS["leases"] = (
   FROM last_move WHERE rn = 1 AND kind = 'started'""",
 )
 PARTS["counters"] = (
-    ["existing", "plan"],
+    ["existing", "plan", "states"],
     """
   SELECT queue_name, s.submitted, coalesce(started, 0) AS started, coalesce(completed, 0) AS completed,
-         coalesce(failed, 0) AS failed, coalesce(retried, 0) AS retried, coalesce(dead_lettered, 0) AS dead_lettered
+         coalesce(failed, 0) AS failed, coalesce(retried, 0) AS retried, coalesce(dead_lettered, 0) AS dead_lettered,
+         (SELECT count(*) FROM states x WHERE x.queue_name = s.queue_name AND x.state IN ('pending', 'delayed')) AS backlog
   FROM (SELECT queue_name, count(*) AS submitted FROM existing GROUP BY queue_name) s
   LEFT JOIN (SELECT queue_name,
          count(*) FILTER (WHERE disposition <> 'ignored') AS started,
@@ -1031,7 +1032,8 @@ oracle(
 SELECT window_start, window_start + INTERVAL 5 MINUTES AS window_end, task_type, count(*) AS events,
        count(*) FILTER (WHERE processing_s > 0) AS samples,
        round(sum(processing_s) FILTER (WHERE processing_s > 0), 6) AS total,
-       round(min(processing_s) FILTER (WHERE processing_s > 0), 6) AS low, round(max(processing_s), 6) AS high
+       round(min(processing_s) FILTER (WHERE processing_s > 0), 6) AS low,
+       round(max(processing_s) FILTER (WHERE processing_s > 0), 6) AS high
 FROM (SELECT *, unnest([date_trunc('minute', ts) - INTERVAL 0 MINUTES, date_trunc('minute', ts) - INTERVAL 1 MINUTES,
                         date_trunc('minute', ts) - INTERVAL 2 MINUTES, date_trunc('minute', ts) - INTERVAL 3 MINUTES,
                         date_trunc('minute', ts) - INTERVAL 4 MINUTES]) AS window_start FROM ev) x

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taskloom.functions.payload import with_route
 from taskloom.functions.retry import backoff_seconds, is_dead
 from taskloom.functions.times import instant, plus_seconds
 from taskloom.operators.dispatch import ready_filter
@@ -13,7 +14,6 @@ from taskloom.operators.handlers import (
     apply_handlers,
     default_handlers,
     handler_route_join,
-    with_route,
 )
 from taskloom.schema import BACKOFF_BASE
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.functions.text import fixed
-from taskloom.functions.times import instant, seconds_between
+from taskloom.functions.times import instant, plus_seconds, seconds_between
 from taskloom.operators.metrics import (
     ACTIVE_CHANGES,
     DEPTH_CHANGES,
@@ -40,29 +40,31 @@ def metrics_row(
     log = events.filter(F.col("ts") <= now)
     kind = F.col("kind")
     uptime = seconds_between(now, instant(events, "ts", started_at))
-    counters = log.agg(
-        F.count_if(kind == "submitted").alias("tasks_submitted"),
-        F.count_if(kind == "completed").alias("tasks_completed"),
-        F.count_if(kind == "failed").alias("tasks_failed"),
-    ).withColumns(
-        {
-            "uptime_seconds": uptime,
-            "success_rate": success_rate(F.col("tasks_completed"), F.col("tasks_failed")),
-        }
-    )
-    recent = in_window(events, as_of, rate_window_s)
+    recent = F.col("ts") >= plus_seconds(now, F.lit(-rate_window_s))
     span = F.least(F.lit(float(rate_window_s)), uptime)
-
-    def rate(name: str):
-        return F.coalesce(F.try_divide(recent.agg(F.count_if(kind == name)).scalar(), span), F.lit(0.0))
-
+    counters = (
+        log.agg(
+            F.count_if(kind == "submitted").alias("tasks_submitted"),
+            F.count_if(kind == "completed").alias("tasks_completed"),
+            F.count_if(kind == "failed").alias("tasks_failed"),
+            F.count_if(recent & (kind == "submitted")).alias("_submitted"),
+            F.count_if(recent & (kind == "completed")).alias("_completed"),
+        )
+        .withColumns(
+            {
+                "uptime_seconds": uptime,
+                "success_rate": success_rate(F.col("tasks_completed"), F.col("tasks_failed")),
+                "submission_rate": F.coalesce(F.try_divide("_submitted", span), F.lit(0.0)),
+                "throughput_rate": F.coalesce(F.try_divide("_completed", span), F.lit(0.0)),
+            }
+        )
+        .drop("_submitted", "_completed")
+    )
     done = in_window(events, as_of, window_s).filter(kind == "completed")
     summary = metric_summary(done, [], positive(F.col("processing_s")))
     stats = ["count", "sum", "avg", "min", "max", "p50", "p95", "p99"]
     row = counters.withColumns(
         {
-            "submission_rate": rate("submitted"),
-            "throughput_rate": rate("completed"),
             "queue_depth": last_level(log, DEPTH_CHANGES, "depth").scalar(),
             "active_tasks": last_level(log, ACTIVE_CHANGES, "active").scalar(),
             "active_workers": workers.agg(F.count_if("running")).scalar(),

@@ -21,47 +21,47 @@ STORED = (
 )
 
 
+SUBMITTED = "priority STRING, payload VARIANT, max_retries STRING, execute_after STRING, _corrupt STRING"
+PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+
+
 def _whole_number(text: Column) -> Column:
     number = text.try_cast("double")
     return F.when(number == F.floor(number), number.try_cast("int"))
 
 
 def submit_validate(docs: DataFrame, column: str = "doc") -> DataFrame:
-    """Parse submissions, fill defaults and give the first broken rule as ``reason``; no row is dropped."""
-    parsed = docs.withColumn("_v", F.try_parse_json(F.col(column)))
-
-    def field(name: str) -> Column:
-        return F.try_variant_get("_v", f"$.{name}", "string")
+    """Parse submissions, fill defaults and give the first broken rule as ``reason``; no row is dropped.
 
-    payload = F.try_variant_get("_v", "$.payload", "variant")
-    priority = _whole_number(field("priority"))
-    retries = F.when(field("max_retries").isNull(), DEFAULT_MAX_RETRIES).otherwise(
-        _whole_number(field("max_retries"))
-    )
-    due = F.coalesce(
-        F.timestamp_seconds(field("execute_after").try_cast("double")),
-        F.try_to_timestamp(field("execute_after")),
-    ).cast("timestamp_ntz")
-    is_object = F.coalesce(F.schema_of_variant(payload).startswith("OBJECT"), F.lit(False))
-    in_range = F.coalesce(priority.between(MIN_PRIORITY, MAX_PRIORITY), F.lit(False))
-    retries_ok = F.coalesce(retries.between(MIN_RETRIES, MAX_RETRIES), F.lit(False))
-    reason = (
-        F.when(F.col("_v").isNull(), "malformed")
-        .when(~in_range, "priority")
-        .when(~is_object, "payload")
-        .when(~retries_ok, "max_retries")
-        .when(field("execute_after").isNotNull() & due.isNull(), "execute_after")
+    Each step is a projection of its own, so a document is parsed once.
+    """
+    parsed = docs.withColumn("_s", F.from_json(F.col(column), SUBMITTED, PERMISSIVE))
+    retries, due = F.col("_s.max_retries"), F.col("_s.execute_after")
+    typed = parsed.withColumns(
+        {
+            "priority": _whole_number(F.col("_s.priority")),
+            "max_retries": F.when(retries.isNull(), DEFAULT_MAX_RETRIES).otherwise(_whole_number(retries)),
+            "execute_after": F.coalesce(
+                F.timestamp_seconds(due.try_cast("double")).cast("timestamp_ntz"), due.try_cast("timestamp_ntz")
+            ),
+            "payload": F.to_json("_s.payload"),
+        }
     )
-    return parsed.withColumns(
+    broken = {
+        "malformed": F.col("_s").isNull() | F.col("_s._corrupt").isNotNull(),
+        "priority": ~F.coalesce(F.col("priority").between(MIN_PRIORITY, MAX_PRIORITY), F.lit(False)),
+        "payload": ~F.coalesce(F.col("payload").startswith("{"), F.lit(False)),
+        "max_retries": ~F.coalesce(F.col("max_retries").between(MIN_RETRIES, MAX_RETRIES), F.lit(False)),
+        "execute_after": due.isNotNull() & F.col("execute_after").isNull(),
+    }
+    reason = F.coalesce(*[F.when(rule, name) for name, rule in broken.items()])
+    checked = typed.withColumn("reason", reason)
+    return checked.withColumns(
         {
-            "reason": reason,
-            "accepted": reason.isNull(),
-            "priority": priority,
-            "max_retries": retries,
-            "execute_after": due,
-            "payload": F.when(is_object, F.to_json(payload)),
+            "accepted": F.col("reason").isNull(),
+            "payload": F.when(F.col("payload").startswith("{"), F.col("payload")),
         }
-    ).drop("_v")
+    ).drop("_s")
 
 
 def task_encode(tasks: DataFrame) -> DataFrame:
@@ -85,8 +85,7 @@ def task_encode(tasks: DataFrame) -> DataFrame:
 
 def task_decode(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Stored documents to task columns with defaults; broken ones are flagged ``quarantined``."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = docs.withColumn("_t", F.from_json(F.col(column), STORED, options))
+    parsed = docs.withColumn("_t", F.from_json(F.col(column), STORED, PERMISSIVE))
 
     def moment(name: str) -> Column:
         return F.timestamp_micros(F.round(F.col(f"_t.{name}") * 1e6).cast("long")).cast("timestamp_ntz")

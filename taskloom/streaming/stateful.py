@@ -26,30 +26,22 @@ def _keyed(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataFram
 
 
 class DelayedRelease(StatefulProcessor):
-    """Holds a task until it is due. A task submitted again replaces the held one."""
+    """Holds a task until it is due. A task delayed again replaces the held one."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", "queue_name STRING, priority INT, due_us BIGINT, at_us BIGINT")
 
-    def _drop(self) -> None:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest = max(rows, key=lambda r: (r.at_us, r.due_us))
         held = self.held.get()
         if held is not None:
+            if held[3] > newest.at_us:
+                return
             self.handle.deleteTimer(held[2] // 1000)
-            self.held.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        newest = max(rows, key=lambda r: r.at_us)
-        held = self.held.get()
-        if held is not None and held[3] > newest.at_us:
-            return
-        self._drop()
-        if newest.due_us is None or newest.due_us <= newest.at_us:
-            yield Row(task_id=key[0], queue_name=newest.queue_name, priority=newest.priority,
-                      released_us=newest.at_us, held=False)
-        else:
-            self.held.update((newest.queue_name, newest.priority, newest.due_us, newest.at_us))
-            self.handle.registerTimer(newest.due_us // 1000)
+        self.held.update((newest.queue_name, newest.priority, newest.due_us, newest.at_us))
+        self.handle.registerTimer(newest.due_us // 1000)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         queue_name, priority, due_us, _ = self.held.get()
@@ -61,7 +53,7 @@ class DelayedRelease(StatefulProcessor):
 
 
 def delayed_release(tasks: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Tasks at the time they become ready; ``created_at`` is the event time."""
+    """Tasks at the time they become ready; ``created_at`` is the event time. Only delayed ones need state."""
     rows = tasks.withWatermark("created_at", delay).select(
         "task_id",
         "queue_name",
@@ -70,51 +62,69 @@ def delayed_release(tasks: DataFrame, delay: str = "1 hour") -> DataFrame:
         micros(F.col("created_at")).alias("at_us"),
         micros(F.col("execute_after")).alias("due_us"),
     )
-    out = _keyed(
-        rows, DelayedRelease(), "task_id STRING, queue_name STRING, priority INT, released_us BIGINT, held BOOLEAN"
+    is_delayed = F.coalesce(F.col("due_us") > F.col("at_us"), F.lit(False))
+    at_once = rows.filter(~is_delayed).select(
+        "task_id", "queue_name", "priority", F.col("at_us").alias("released_us"), F.lit(False).alias("held")
+    )
+    later = _keyed(
+        rows.filter(is_delayed),
+        DelayedRelease(),
+        "task_id STRING, queue_name STRING, priority INT, released_us BIGINT, held BOOLEAN",
     )
-    return out.withColumn("released_at", from_micros(F.col("released_us"))).drop("released_us")
+    return at_once.unionByName(later).withColumn("released_at", from_micros(F.col("released_us"))).drop("released_us")
 
 
 class RetryOrDead(StatefulProcessor):
     """Counts a task's failures: a retry with back-off below the limit, dead at it. A new submission or a
-    completion starts over."""
+    completion starts over. The open back-offs are one value, with one timer for the earliest."""
 
     def __init__(self, max_retries: int, base: float):
         self.max_retries, self.base = max_retries, base
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.failures = handle.getValueState("failures", "n INT")
-        self.waiting = handle.getMapState("waiting", "due_us BIGINT", "n INT")
+        self.state = handle.getValueState("state", "failures INT, due_us ARRAY<BIGINT>, n ARRAY<INT>")
+
+    def _keep(self, failures: int, waiting: list[tuple[int, int]]) -> None:
+        if failures or waiting:
+            self.state.update((failures, [d for d, _ in waiting], [n for _, n in waiting]))
+        else:
+            self.state.clear()
+
+    def _load(self) -> tuple[int, list[tuple[int, int]]]:
+        known = self.state.get()
+        return (0, []) if known is None else (known[0], list(zip(known[1], known[2])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.failures.get()
-        n = known[0] if known is not None else 0
+        failures, waiting = self._load()
+        timer = waiting[0][0] // 1000 if waiting else None
         for row in sorted(rows, key=lambda r: (r.us, r.event_id)):
-            if row.kind != "failed":
-                n = 0
-                continue
-            n += 1
-            if n >= self.max_retries:
-                yield Row(task_id=key[0], kind="dead", retry_count=n, at_us=row.us)
-                n = 0
-                continue
-            due = row.us + int(self.base**n * SECOND_US)
-            yield Row(task_id=key[0], kind="retry", retry_count=n, at_us=due)
-            self.waiting.updateValue((due,), (n,))
-            self.handle.registerTimer(due // 1000)
-        if n:
-            self.failures.update((n,))
-        elif known is not None:
-            self.failures.clear()
+            failures = failures + 1 if row.kind == "failed" else 0
+            if failures >= max(self.max_retries, 1):
+                yield Row(task_id=key[0], kind="dead", retry_count=failures, at_us=row.us)
+                failures = 0
+            elif failures:
+                due = row.us + int(self.base**failures * SECOND_US)
+                waiting.append((due, failures))
+                yield Row(task_id=key[0], kind="retry", retry_count=failures, at_us=due)
+        waiting.sort()
+        first = waiting[0][0] // 1000 if waiting else None
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self._keep(failures, waiting)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        fired = expiredTimerInfo.getExpiryTimeInMs()
-        for (due,) in [k for k in self.waiting.keys() if k[0] // 1000 == fired]:
-            (n,) = self.waiting.getValue((due,))
-            self.waiting.removeKey((due,))
+        failures, waiting = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        over = [w for w in waiting if w[0] // 1000 <= now]
+        waiting = waiting[len(over) :]
+        for due, n in over:
             yield Row(task_id=key[0], kind="requeued", retry_count=n, at_us=due)
+        if waiting:
+            self.handle.registerTimer(waiting[0][0] // 1000)
+        self._keep(failures, waiting)
 
     def close(self) -> None:
         pass
