@@ -11,22 +11,27 @@ from pyspark.sql import functions as F
 def fixed(x: Column, decimals: int) -> Column:
     """``x`` with ``decimals`` places. The JVM formatter rounds the shortest decimal text half up instead.
 
-    The product x * 10^d is split into its double value and its exact rounding error, which decides
-    the cases where the product lands on a tie. The digits come from a whole number, not a formatter.
+    The fraction times 10^d is split into its double value and its exact rounding error, which decides
+    the cases where the product lands on a tie. The digits come from a whole number; only values beyond
+    2^63 / 10^d are left to the JVM formatter.
     """
-    scale = float(10**decimals)
     x = x.cast("double")
-    split = F.lit(134217729.0) * x
-    high = split - (split - x)
-    product = x * scale
-    error = (high * scale - product) + (x - high) * scale
-    floor = F.floor(product).cast("double")
-    off_tie = ((product - floor) == 0.5) & (error != 0)
-    rounded = F.when(off_tie, floor + (error > 0).cast("double")).otherwise(F.rint(product))
-    digits = rounded.try_cast("long").cast("decimal(20,0)")
-    text = (digits * F.lit(Decimal(1).scaleb(-decimals))).cast(f"decimal(30,{decimals})").cast("string")
-    signed = F.when((x < 0) & (product >= -0.5), F.concat(F.lit("-"), text)).otherwise(text)
-    return F.coalesce(signed, F.format_string(f"%.{decimals}f", x))
+    if decimals == 0:
+        return F.format_string("%.0f", F.rint(x))
+    scale = 10**decimals
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole
+    product = part * float(scale)
+    below = F.floor(product)
+    split = F.lit(134217729.0) * part
+    high = split - (split - part)
+    error = (high * float(scale) - product) + (part - high) * float(scale)
+    on_tie = below + F.when(error > 0, 1).when(error < 0, 0).otherwise(below % 2)
+    rounded = F.when(product - below == 0.5, on_tie).otherwise(F.rint(product).cast("long"))
+    digits = (whole * scale + rounded).cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-decimals))
+    exact = F.concat(F.when(x < 0, "-").otherwise(""), digits.cast(f"decimal(25,{decimals})").cast("string"))
+    return F.when(size < 9.0e18 / scale, exact).otherwise(F.format_string(f"%.{decimals}f", x))
 
 
 def format_number(x: Column, decimals: int = 2) -> Column:
@@ -35,7 +40,7 @@ def format_number(x: Column, decimals: int = 2) -> Column:
     return (
         F.when(x < 1000, fixed(x, decimals))
         .when(x < 1_000_000, F.concat(fixed(x / 1000, 1), F.lit("K")))
-        .otherwise(F.concat(fixed(x / 1_000_000, 1), F.lit("M")))
+        .when(x >= 1_000_000, F.concat(fixed(x / 1_000_000, 1), F.lit("M")))
     )
 
 

@@ -30,7 +30,7 @@ def parse_math(data: Column) -> Column:
     return F.from_json(data, MATH)
 
 
-def math_value(args: Column) -> tuple[Column, Column]:
+def math_outcome(args: Column) -> Column:
     """Value and error of a parsed arithmetic request; operands default to 0."""
     op = F.coalesce(args["operation"], F.lit("None"))
     a, b = F.coalesce(args["a"], F.lit(0.0)), F.coalesce(args["b"], F.lit(0.0))
@@ -38,12 +38,11 @@ def math_value(args: Column) -> tuple[Column, Column]:
     error = F.when((op == "divide") & (b == 0), DIVISION_BY_ZERO).when(
         ~op.isin("add", "multiply", "divide"), F.concat(F.lit(UNKNOWN_OPERATION), op)
     )
-    return value, error
+    return F.struct(value.alias("value"), error.alias("error"))
 
 
-def math_handler(args: Column) -> tuple[Column, Column]:
-    value, error = math_value(args)
-    return fixed(value, 6), error
+def math_handler(outcome: Column) -> tuple[Column, Column]:
+    return fixed(outcome["value"], 6), outcome["error"]
 
 
 def simple_handler(data: Column) -> tuple[Column, Column]:
@@ -51,22 +50,22 @@ def simple_handler(data: Column) -> tuple[Column, Column]:
 
 
 ColumnHandler = Callable[[Column], tuple[Column, Column]]
+Step = Callable[[Column], Column]
 
 
 class Handlers:
     """Handler functions by kind: column expressions, or Python functions for what columns cannot express.
 
-    A column handler may name a ``parse`` step; its result is computed once per row and handed to it.
+    A column handler may name steps that prepare its input. Each is a projection of its own, computed once
+    per row, where one long expression would repeat its parts.
     """
 
     def __init__(self) -> None:
-        self.columns: dict[str, tuple[ColumnHandler, Callable[[Column], Column] | None]] = {}
+        self.columns: dict[str, tuple[ColumnHandler, tuple[Step, ...]]] = {}
         self.python: dict[str, Callable[[str], object]] = {}
 
-    def register(
-        self, kind: str, handler: ColumnHandler, parse: Callable[[Column], Column] | None = None
-    ) -> Handlers:
-        self.columns[kind] = (handler, parse)
+    def register(self, kind: str, handler: ColumnHandler, *steps: Step) -> Handlers:
+        self.columns[kind] = (handler, steps)
         return self
 
     def register_python(self, kind: str, handler: Callable[[str], object]) -> Handlers:
@@ -76,7 +75,7 @@ class Handlers:
 
 
 def default_handlers() -> Handlers:
-    return Handlers().register("math", math_handler, parse_math).register("simple", simple_handler)
+    return Handlers().register("math", math_handler, parse_math, math_outcome).register("simple", simple_handler)
 
 
 def apply_handlers(routed: DataFrame, handlers: Handlers) -> DataFrame:
@@ -87,23 +86,22 @@ def apply_handlers(routed: DataFrame, handlers: Handlers) -> DataFrame:
     kind = F.col("handler_kind")
     known = [*handlers.columns, *handlers.python]
     unknown = kind.isNotNull() & ~kind.isin(known)
-    inputs = {
-        f"_in_{name}": F.when(kind == name, parse(F.col("data")))
-        for name, (_, parse) in handlers.columns.items()
-        if parse
-    }
+    prepared = routed.withColumn("handler_s", F.lit(None).cast("double"))
     result, error = F.lit(None).cast("string"), F.col("error")
-    for name, (handler, parse) in handlers.columns.items():
-        value, failure = handler(F.col(f"_in_{name}" if parse else "data"))
+    for name, (handler, steps) in handlers.columns.items():
+        source = "data"
+        for step in steps:
+            prepared = prepared.withColumn(f"_in_{name}", F.when(kind == name, step(F.col(source))))
+            source = f"_in_{name}"
+        value, failure = handler(F.col(source))
         result = F.when(kind == name, value).otherwise(result)
         error = F.when(kind == name, failure).otherwise(error)
     error = F.when(unknown, F.concat(F.lit(NO_HANDLER), F.col("task_type"))).otherwise(error)
     in_python = F.coalesce(kind.isin(list(handlers.python)), F.lit(False))
     plain = (
-        routed.withColumns({**inputs, "handler_s": F.lit(None).cast("double")})
-        .withColumns({"error": error, "result": result})
+        prepared.withColumns({"error": error, "result": result})
         .withColumn("result", F.when(F.col("error").isNull(), F.col("result")))
-        .drop(*inputs)
+        .drop(*[f"_in_{name}" for name in handlers.columns])
     )
     if not handlers.python:
         return plain

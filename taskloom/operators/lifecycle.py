@@ -121,26 +121,25 @@ def current_events(events: DataFrame, as_of: str) -> DataFrame:
 
 
 def transition_audit(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each event with the task's previous one and a verdict on the move."""
-    kind, before = F.col("kind"), F.col("previous_kind")
-    finish = kind.isin("completed", "failed")
+    """Each event with the task's state before it and a verdict on the move. An extension changes no state."""
+    kind, before = F.col("kind"), F.col("state_before")
+    is_open = F.coalesce(before == "started", F.lit(False))
     verdict = (
-        F.when((kind == "started") & before.isin("started", "extended"), "started_twice")
+        F.when((kind == "submitted") & before.isin("submitted", "started"), "submitted_while_open")
+        .when((kind == "started") & is_open, "started_twice")
+        .when((kind == "extended") & ~is_open, "extended_without_lease")
         .when((kind == "completed") & (before == "completed"), "completed_twice")
         .when((kind == "failed") & (before == "completed"), "failed_after_completed")
-        .when(finish & ~F.coalesce(before.isin("started", "extended"), F.lit(False)), "finished_without_start")
-        .when(
-            (kind == "extended") & ~F.coalesce(before.isin("started", "extended"), F.lit(False)),
-            "extended_without_lease",
-        )
-        .when((kind == "submitted") & before.isin("submitted", "started", "extended"), "submitted_while_open")
+        .when(kind.isin("completed", "failed") & ~is_open, "finished_without_start")
         .otherwise("ok")
     )
     return (
         OrderedScan(events, ["task_id"], ["ts", "event_id"], hot_rows)
-        .previous({"previous_kind": F.col("kind")})
+        .last_seen({"_state": F.when(kind != "extended", kind)})
+        .previous({"state_before": F.col("_state")})
+        .map({"verdict": verdict})
         .result()
-        .withColumn("verdict", verdict)
+        .drop("_state")
     )
 
 

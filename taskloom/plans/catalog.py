@@ -207,7 +207,7 @@ def derived_state(spark, sf_dir):
 @query
 def transition_audit(spark, sf_dir):
     return lifecycle.transition_audit(views.task_events(spark, sf_dir)).select(
-        "event_id", "task_id", "kind", "previous_kind", "verdict"
+        "event_id", "task_id", "kind", "state_before", "verdict"
     )
 
 
@@ -705,8 +705,9 @@ def check_titles(spark, sf_dir):
 @query
 def math_tasks(spark, sf_dir):
     routed = with_route(views.tasks(spark, sf_dir))
-    value, error = handlers.math_value(F.col("args"))
-    return routed.withColumn("args", handlers.parse_math(F.col("data"))).select("task_id", F.round(value, 6).alias("value"), error.alias("error"))
+    args = routed.withColumn("args", handlers.parse_math(F.col("data")))
+    done = args.withColumn("out", handlers.math_outcome(F.col("args")))
+    return done.select("task_id", F.round("out.value", 6).alias("value"), "out.error")
 
 
 # Handlers

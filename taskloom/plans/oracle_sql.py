@@ -492,15 +492,17 @@ oracle(
     "transition_audit",
     ["ev"],
     """
-SELECT event_id, task_id, kind, previous_kind,
-       CASE WHEN kind = 'submitted' THEN CASE WHEN previous_kind IN ('submitted', 'started', 'extended') THEN 'submitted_while_open' ELSE 'ok' END
-            WHEN kind = 'started' THEN CASE WHEN previous_kind IN ('started', 'extended') THEN 'started_twice' ELSE 'ok' END
-            WHEN previous_kind IN ('started', 'extended') THEN 'ok'
+SELECT event_id, task_id, kind, state_before,
+       CASE WHEN kind = 'submitted' THEN CASE WHEN state_before IN ('submitted', 'started') THEN 'submitted_while_open' ELSE 'ok' END
+            WHEN kind = 'started' THEN CASE WHEN state_before = 'started' THEN 'started_twice' ELSE 'ok' END
+            WHEN state_before = 'started' THEN 'ok'
             WHEN kind = 'extended' THEN 'extended_without_lease'
-            WHEN previous_kind = 'completed' AND kind = 'completed' THEN 'completed_twice'
-            WHEN previous_kind = 'completed' THEN 'failed_after_completed'
+            WHEN state_before = 'completed' AND kind = 'completed' THEN 'completed_twice'
+            WHEN state_before = 'completed' THEN 'failed_after_completed'
             ELSE 'finished_without_start' END AS verdict
-FROM (SELECT *, lag(kind) OVER (PARTITION BY task_id ORDER BY ts, event_id) AS previous_kind FROM ev) x""",
+FROM (SELECT *, last_value(CASE WHEN kind <> 'extended' THEN kind END IGNORE NULLS)
+               OVER (PARTITION BY task_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state_before
+      FROM ev) x""",
 )
 oracle(
     "lease_expired_filter",

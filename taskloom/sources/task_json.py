@@ -95,23 +95,21 @@ def task_decode(docs: DataFrame, column: str = "doc") -> DataFrame:
     broken = F.col("_t").isNull() | F.col("_t._corrupt").isNotNull() | ~status.isin(STATES)
     for name in required:
         broken |= F.col(f"_t.{name}").isNull()
-    keep = [c for c in docs.columns if c != column]
+    fields = {
+        "task_id": F.col("_t.task_id"),
+        "priority": F.col("_t.priority"),
+        "payload": F.col("_t.payload"),
+        "created_at": moment("created_at"),
+        "execute_after": moment("execute_after"),
+        "retry_count": F.coalesce("_t.retry_count", F.lit(0)),
+        "max_retries": F.coalesce("_t.max_retries", F.lit(DEFAULT_MAX_RETRIES)),
+        "status": status,
+    }
+    keep = [c for c in docs.columns if c != column and c not in fields]
     return parsed.withColumn("quarantined", broken).select(
         *keep,
         "quarantined",
-        *[
-            F.when(~F.col("quarantined"), value).alias(name)
-            for name, value in {
-                "task_id": F.col("_t.task_id"),
-                "priority": F.col("_t.priority"),
-                "payload": F.col("_t.payload"),
-                "created_at": moment("created_at"),
-                "execute_after": moment("execute_after"),
-                "retry_count": F.coalesce("_t.retry_count", F.lit(0)),
-                "max_retries": F.coalesce("_t.max_retries", F.lit(DEFAULT_MAX_RETRIES)),
-                "status": status,
-            }.items()
-        ],
+        *[F.when(~F.col("quarantined"), value).alias(name) for name, value in fields.items()],
         F.when(F.col("quarantined"), F.col(column)).alias("raw"),
     )
 
