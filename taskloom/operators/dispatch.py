@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from taskloom.functions.times import instant
 from taskloom.operators.ordered import HOT_ROWS, OrderedScan
 from taskloom.schema import DLQ_PAGE_DEFAULT, DLQ_PAGE_MAX
+from taskloom.session import broadcast_checked
 
 URGENCY = ["priority", "created_at", "task_id"]
 
@@ -43,23 +44,21 @@ def next_k_per_queue(ready: DataFrame, k: int, keys: list[str]) -> DataFrame:
 
 
 def backlog_union(tasks: DataFrame, as_of: str) -> DataFrame:
-    """Pending and delayed rows with their origin."""
-    pending = ready_filter(tasks, as_of).withColumn("origin", F.lit("pending"))
-    delayed = delayed_filter(tasks, as_of).withColumn("origin", F.lit("delayed"))
-    return pending.unionByName(delayed)
+    """Pending and delayed rows with their origin; the two sets split one scan."""
+    now = instant(tasks, "created_at", as_of)
+    origin = F.when(is_ready(F.col("execute_after"), now), "pending").otherwise("delayed")
+    return tasks.filter(F.col("created_at") <= now).withColumn("origin", origin)
 
 
 def promote_delayed(backlog: DataFrame, as_of: str) -> DataFrame:
     """Where each backlog row stands at ``as_of``: due delayed rows move to pending, none is lost."""
     now = instant(backlog, "created_at", as_of)
-    pending = backlog.filter(F.col("origin") == "pending")
-    delayed = backlog.filter(F.col("origin") == "delayed")
-    due = is_ready(F.col("execute_after"), now)
-    return (
-        pending.withColumn("destination", F.lit("pending"))
-        .unionByName(delayed.filter(due).withColumn("destination", F.lit("promoted")))
-        .unionByName(delayed.filter(~due).withColumn("destination", F.lit("delayed")))
+    destination = (
+        F.when(F.col("origin") == "pending", "pending")
+        .when(is_ready(F.col("execute_after"), now), "promoted")
+        .otherwise("delayed")
     )
+    return backlog.withColumn("destination", destination)
 
 
 def capacity_admission(
@@ -67,7 +66,7 @@ def capacity_admission(
 ) -> DataFrame:
     """Accept arrivals in order while the queue has room; ``depth`` has one row per queue."""
     numbered = OrderedScan(arrivals, ["queue_name"], ["created_at", "task_id"], hot_rows).row_number("arrival")
-    current = depth.select("queue_name", F.col("queue_size").alias("depth"))
+    current = broadcast_checked(depth.select("queue_name", F.col("queue_size").alias("depth")))
     size_then = F.coalesce("depth", F.lit(0)) + F.col("arrival")
     return (
         numbered.result()
@@ -79,7 +78,7 @@ def capacity_admission(
 
 def detail_lookup(ids: DataFrame, details: DataFrame) -> DataFrame:
     """Details of the listed ids; ids without details are dropped, repeated ids count once."""
-    return details.join(ids, "task_id", "left_semi")
+    return details.join(ids.select("task_id").distinct(), "task_id", "left_semi")
 
 
 def lookup_with_dlq_fallback(requested: DataFrame, live: DataFrame, dead: DataFrame) -> DataFrame:

@@ -110,15 +110,14 @@ def visible_tasks(ready: DataFrame, leases: DataFrame, as_of: str) -> DataFrame:
     """Ready tasks that no unexpired lease hides."""
     now = instant(leases, "lease_time", as_of)
     active = leases.filter(~is_expired(F.col("lease_time"), F.col("timeout_s"), now))
-    return ready.join(active, "task_id", "left_anti")
+    return ready.join(active.select("task_id").distinct(), "task_id", "left_anti")
 
 
 def requeue_expired(leases: DataFrame, as_of: str) -> DataFrame:
     """Leased tasks: back to pending once expired, else still processing."""
-    expired = lease_expired_filter(leases, as_of)
-    back = leases.join(expired, "task_id", "left_semi").withColumn("state", F.lit("pending"))
-    kept = leases.join(expired, "task_id", "left_anti").withColumn("state", F.lit("processing"))
-    return back.unionByName(kept)
+    now = instant(leases, "lease_time", as_of)
+    expired = is_expired(F.col("lease_time"), F.col("timeout_s"), now)
+    return leases.withColumn("state", F.when(expired, "pending").otherwise("processing"))
 
 
 def lease_stats(leases: DataFrame, as_of: str) -> DataFrame:

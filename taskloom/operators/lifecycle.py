@@ -144,10 +144,13 @@ def transition_audit(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def apply_completions(processing: DataFrame, completions: DataFrame) -> DataFrame:
-    """The processing set, split by whether a completion arrived for the task."""
-    done = processing.join(completions, "task_id", "left_semi").withColumn("disposition", F.lit("completed"))
-    left = processing.join(completions, "task_id", "left_anti").withColumn("disposition", F.lit("processing"))
-    return done.unionByName(left)
+    """The processing set, split by whether a completion arrived for the task.
+
+    Repeated completions are combined before the exchange, so that none of them gathers in one task.
+    """
+    done = completions.select("task_id").distinct().withColumn("_done", F.lit(True))
+    disposition = F.when(F.col("_done"), "completed").otherwise("processing")
+    return processing.join(done, "task_id", "left").withColumn("disposition", disposition).drop("_done")
 
 
 def event_attempts(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

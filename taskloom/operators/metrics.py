@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from taskloom.functions.text import shorten
 from taskloom.functions.times import instant, plus_seconds, seconds_between
 from taskloom.operators.ordered import HOT_ROWS, OrderedScan
-from taskloom.session import materialise
 from taskloom.schema import (
     ERROR_TEXT_KEPT,
     ERROR_TEXT_SHOWN,
@@ -16,6 +15,7 @@ from taskloom.schema import (
     LATENCY_BUCKETS,
     RATE_WINDOW_S,
 )
+from taskloom.session import broadcast_checked, materialise
 
 
 def in_window(events: DataFrame, as_of: str, window_s: float, ts: str = "ts") -> DataFrame:
@@ -106,7 +106,7 @@ def metric_summary(
     ranked = OrderedScan(distinct, keys, ["v"], hot_rows).running_sum({"upto": F.col("c")}).result()
     sizes = distinct.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("c").alias("n"))
     match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    joined = ranked.join(sizes, match)
+    joined = ranked.join(broadcast_checked(sizes), match)
 
     def rank_value(share: float) -> Column:
         rank = F.floor(F.col("n") * F.lit(share)) + 1
@@ -167,16 +167,20 @@ def window_rates(events: DataFrame, as_of: str, started_at: str, window_s: float
     )
 
 
+def change_of(changes: dict[str, int]) -> Column:
+    kind, change = F.col("kind"), F.lit(0)
+    for k, step in changes.items():
+        change = F.when(kind == k, step).otherwise(change)
+    return change
+
+
 def clamped_timeline(
     events: DataFrame, changes: dict[str, int], name: str, keys: list[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """A level after each event that never falls below 0."""
-    kind = F.col("kind")
-    change = F.lit(0)
-    for k, step in changes.items():
-        change = F.when(kind == k, step).otherwise(change)
-    moves = events.filter(kind.isin(list(changes)))
-    return OrderedScan(moves, keys, ["ts", "event_id"], hot_rows).running_level(name, change).result()
+    moves = events.filter(F.col("kind").isin(list(changes)))
+    scan = OrderedScan(moves, keys, ["ts", "event_id"], hot_rows)
+    return scan.running_level(name, change_of(changes)).result()
 
 
 # How each event moves the queue depth and the number of active tasks.

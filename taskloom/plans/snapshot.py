@@ -10,21 +10,28 @@ from taskloom.functions.times import instant, plus_seconds, seconds_between
 from taskloom.operators.metrics import (
     ACTIVE_CHANGES,
     DEPTH_CHANGES,
-    clamped_timeline,
+    change_of,
     counts_by_type,
     in_window,
     metric_summary,
     positive,
     success_rate,
 )
+from taskloom.operators.ordered import OrderedScan
 from taskloom.schema import ERRORS_IN_SNAPSHOT, METRIC_WINDOW_S, RATE_WINDOW_S
 
 
-def last_level(events: DataFrame, changes: dict[str, int], name: str) -> DataFrame:
-    """The clamped level of each queue after its last event, added over the queues."""
-    timeline = clamped_timeline(events, changes, name, ["queue_name"])
-    latest = timeline.groupBy("queue_name").agg(F.max_by(name, F.struct("ts", "event_id")).alias(name))
-    return latest.agg(F.coalesce(F.sum(name), F.lit(0)).alias(name))
+def last_levels(events: DataFrame) -> DataFrame:
+    """Queue depth and active tasks after each queue's last event, added over the queues; one scan for both."""
+    moves = events.filter(F.col("kind").isin(list({**DEPTH_CHANGES, **ACTIVE_CHANGES})))
+    scan = OrderedScan(moves, ["queue_name"], ["ts", "event_id"])
+    scan.running_level("queue_depth", change_of(DEPTH_CHANGES))
+    scan.running_level("active_tasks", change_of(ACTIVE_CHANGES))
+    levels = ["queue_depth", "active_tasks"]
+    latest = scan.result().groupBy("queue_name").agg(
+        F.max_by(F.struct(*levels), F.struct("ts", "event_id")).alias("latest")
+    )
+    return latest.agg(*[F.coalesce(F.sum(f"latest.{c}"), F.lit(0)).alias(c) for c in levels])
 
 
 def metrics_row(
@@ -63,17 +70,13 @@ def metrics_row(
     done = in_window(events, as_of, window_s).filter(kind == "completed")
     summary = metric_summary(done, [], positive(F.col("processing_s")))
     stats = ["count", "sum", "avg", "min", "max", "p50", "p95", "p99"]
-    row = counters.withColumns(
-        {
-            "queue_depth": last_level(log, DEPTH_CHANGES, "depth").scalar(),
-            "active_tasks": last_level(log, ACTIVE_CHANGES, "active").scalar(),
-            "active_workers": workers.agg(F.count_if("running")).scalar(),
-        }
-    )
-    # Without samples the summary has no row and its columns are null.
-    return row.withColumn("_all", F.lit(1)).join(
-        summary.select(F.lit(1).alias("_all"), *[F.col(s).alias(f"processing_{s}") for s in stats]), "_all", "left"
-    ).drop("_all")
+    running = workers.agg(F.count_if("running").alias("active_workers"))
+    times = summary.select(*[F.col(c).alias(f"processing_{c}") for c in stats])
+    # One row each; without samples the summary has none and its columns are null.
+    row = counters.withColumn("_one", F.lit(1))
+    for part in (last_levels(log), running, times):
+        row = row.join(part.withColumn("_one", F.lit(1)), "_one", "left")
+    return row.drop("_one")
 
 
 def exposition_lines(row: DataFrame) -> DataFrame:
