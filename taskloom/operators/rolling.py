@@ -3,7 +3,7 @@
 A RANGE frame re-reads its whole frame for each row and needs a whole queue in one task. Here time is cut
 into granules. The window (t - W, inclusive, to t) is the end of one granule, whole granules, and the start
 of another one, so each piece is a running or a short-frame aggregate in a small group:
-(queue, granule) holds at most one row per distinct microsecond, (queue, bucket) at most 2 W/granule rows.
+(queue, granule) holds at most one row per distinct microsecond, (queue, bucket) at most two windows of granules.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from taskloom.functions.times import from_micros, micros
 from taskloom.schema import METRIC_WINDOW_S, RATE_WINDOW_S
 
-GRANULE_US = 1_000_000
+# Granules per window: few keep the frames over whole granules short, many keep the groups small.
+GRANULES = 10
 MERGE = {"n": F.sum, "total": F.sum, "low": F.min, "high": F.max}
 
 
@@ -32,12 +33,13 @@ def rolling_summary(
     value: Column,
     ts: str = "ts",
     window_s: int = METRIC_WINDOW_S,
-    granule_us: int = GRANULE_US,
+    granules: int = GRANULES,
 ) -> DataFrame:
     """Count, sum, min, max and average over the trailing window, one row per key and distinct time."""
     width = window_s * 1_000_000
-    if width % granule_us or width < 2 * granule_us:
-        raise ValueError("the window must be a multiple of the granule and hold at least two")
+    if granules < 2 or width % granules:
+        raise ValueError("the window must hold at least two whole granules")
+    granule_us = width // granules
     us, grain = F.col("us"), F.col("us") - F.pmod("us", F.lit(granule_us))
     base = (
         points.select(*keys, micros(F.col(ts)).alias("us"), value.cast("double").alias("v"))
