@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from taskloom.llm import bpe, mixing, quality
+from taskloom.llm import bpe, chat, mixing, quality, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_mixing": mixing.op2_mixing,
     "op4_quality": quality.op4_quality,
+    "op7_warc": warc.op7_warc,
+    "op10_chat": chat.op10_chat,
 }
 
 ORACLE = {
     "op2_mixing": mixing.SQL,
+    "op7_warc": warc.SQL,
 }
