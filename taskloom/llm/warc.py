@@ -62,12 +62,12 @@ def latest_full(captures: DataFrame, width: int = SLICE) -> DataFrame:
     full = F.when(F.col("status") == 200, F.struct("at", "record_id"))
     ends = sliced.groupBy("url_key", "slice").agg(F.max(full).alias("end"))
     earlier = Window.partitionBy("url_key").orderBy(F.col("slice").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("carried", F.last("end", ignorenulls=True).over(earlier)).drop("end")
+    carried = ends.withColumn("carried", F.last("end", ignorenulls=True).over(earlier)).select(F.col("url_key").alias("to_url"), F.col("slice").alias("to_slice"), "carried")
     inside = Window.partitionBy("url_key", "slice").orderBy(F.col("at").asc_nulls_first(), F.col("record_id").asc_nulls_first())
     near = sliced.withColumn("near", F.last(full, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     return (
         near.where("status = 304")
-        .join(carried, (near.url_key == carried.url_key) & near.slice.eqNullSafe(carried.slice))
+        .join(carried, (F.col("url_key") == F.col("to_url")) & F.col("slice").eqNullSafe(F.col("to_slice")))
         .select("record_id", F.coalesce("near", "carried").getField("record_id").alias("base_id"))
         .where("base_id IS NOT NULL")
     )
