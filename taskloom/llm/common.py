@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    found = words(text)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the finisher of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -38,16 +35,89 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `width` words; a shorter text is one run; no words, none."""
-    hashes = word_hashes(text)
-    if not len(hashes):
-        return hashes
-    width = min(width, len(hashes))
-    out = np.zeros(len(hashes) - width + 1, np.uint64)
-    for i in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mixed(hashes[i : i + len(out)])
-    return np.unique(mixed(out + np.uint64(width)))
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
+_BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, so it has an inverse; 3 modulo 8
+#: Bytes that are hashed at a time.
+_CHUNK = 1 << 19
+
+
+def _letters() -> np.ndarray:
+    """A random-looking word for each byte, the same for A-Z and a-z."""
+    out = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out[65:91] = out[97:123]
+    return out
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and their inverses."""
+    out = [np.full(n, x, np.uint64) for x in (int(_BASE), pow(int(_BASE), -1, 2**64))]
+    for x in out:
+        x[:1] = 1
+        np.multiply.accumulate(x, out=x)
+    return out[0], out[1]
+
+
+_LETTER = _letters()
+_POWER, _INVERSE = powers(_CHUNK + 1)
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the start of every word: a polynomial in its letters, from sums over all bytes before its ends."""
+    global _POWER, _INVERSE
+    if len(raw) >= len(_POWER):
+        _POWER, _INVERSE = powers(len(raw) + 1)
+    letters = np.frombuffer(raw, np.uint8)
+    edge = np.concatenate([[True], _BLANK[letters], [True]])
+    starts, ends = np.flatnonzero(edge[:-1] & ~edge[1:]), np.flatnonzero(~edge[:-1] & edge[1:])
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTER[letters] * _POWER[: len(raw)], out=sums[1:])
+    # `edge` is one place ahead of `letters`.
+    return mixed((sums[ends] - sums[starts]) * _INVERSE[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """For each text, the 64-bit hashes of its words in order; words are as in `words`."""
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> Iterator[np.ndarray]:
+        hashes, starts = _hashed(b" ".join(held))
+        at = np.cumsum([len(x) + 1 for x in held])
+        yield from np.split(hashes, np.searchsorted(starts, at[:-1]))
+
+    for text in texts:
+        raw = text.encode() if text else b""
+        if held and size + len(raw) >= _CHUNK:
+            yield from flush()
+            held, size = [], 0
+        if len(raw) < _CHUNK:
+            held.append(raw)
+            size += len(raw) + 1
+            continue
+        parts, start = [], 0
+        while start < len(raw):
+            # A long text is cut at a blank; only a word longer than a chunk makes a longer part.
+            found = re.compile(rb"[ \t\n\r\v\f]").search(raw, start + _CHUNK // 2)
+            end = found.start() if found else len(raw)
+            parts.append(_hashed(raw[start:end])[0])
+            start = end
+        yield np.concatenate(parts)
+    if held:
+        yield from flush()
+
+
+def shingle_sets(texts: Iterable[str | None], width: int = 5) -> Iterator[np.ndarray]:
+    """For each text, the sorted distinct hashes of its runs of `width` words; a shorter text is one run; no words, none."""
+    for hashes in word_hashes(texts):
+        n = min(width, len(hashes))
+        if not n:
+            yield hashes
+            continue
+        out = hashes[: len(hashes) - n + 1]
+        for i in range(1, n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(out)]
+        out = np.sort(mixed(out + np.uint64(n)))
+        yield out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
