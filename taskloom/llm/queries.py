@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from taskloom.llm import bpe, chat, mixing, quality, warc
+from taskloom.llm import bpe, chat, jaccard, lm_scores, mixing, near_vectors, quality, repeats, top_k, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_mixing": mixing.op2_mixing,
+    "op3_near_vectors": near_vectors.op3_near_vectors,
     "op4_quality": quality.op4_quality,
+    "op5_lm_scores": lm_scores.op5_lm_scores,
+    "op6_top_k": top_k.op6_top_k,
     "op7_warc": warc.op7_warc,
+    "op8_repeats": repeats.op8_repeats,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_chat": chat.op10_chat,
 }
 
 ORACLE = {
     "op2_mixing": mixing.SQL,
+    "op5_lm_scores": lm_scores.SQL,
+    "op6_top_k": top_k.SQL,
     "op7_warc": warc.SQL,
 }
