@@ -9,6 +9,9 @@ share an n-gram of their first fifth in that order. A list holds the classes tha
 2. Lists whose classes are all in one component by now are done. In the others, classes outside the leader's component are compared with
    those of other components. Pairs that can't reach the threshold by size or by place in the order never become rows.
 
+A pair whose sets are shown to differ too much by their parities is dropped: PARITY bits per set tell, for each range of hashes, whether the set
+has an odd number there, and every bit that differs stands for an n-gram that only one of the two has.
+
 To compare, the order of n-grams (of hashes) is cut into fragments; each fragment's overlap is counted by itself, and the counts
 are summed per pair. No link between different components is left out; within one, links that change nothing are not looked for.
 
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from taskloom.llm.common import components, shingle_sets, table, written
 
-WIDTH, FRAGMENTS = 5, 8
+WIDTH, FRAGMENTS, PARITY = 5, 8, 1024
 #: n-grams in the table that orders them: 16 bytes each.
 COMMON = 500_000
 #: How often a batch of rows must hold an n-gram to count it.
@@ -43,18 +46,24 @@ def class_of(shingles: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63 if len(shingles) else None
 
 
+def parity(shingles: np.ndarray) -> list[int]:
+    """Whether the number of hashes is odd, by their last bits, as 64-bit words."""
+    odd = np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def measure(texts: pd.Series) -> pd.DataFrame:
-    """Size and class of each text's set; what the batch holds often is put beside its first row."""
+    """Size, class and parity of each text's set; what the batch holds often is put beside its first row."""
     rows, sets = [], {}
     for shingles in shingle_sets(texts, WIDTH):
-        rows.append((len(shingles), class_of(shingles), None))
+        rows.append((len(shingles), class_of(shingles), parity(shingles), None))
         sets[rows[-1][1]] = shingles
     if rows:
         found, count = np.unique(np.concatenate(list(sets.values())).view(np.int64), return_counts=True)
         often = count >= OFTEN
         common = [{"s": s, "c": c} for s, c in zip(found[often].tolist(), count[often].tolist())]
-        rows[0] = (*rows[0][:2], common)
-    out = pd.DataFrame(rows, columns=["n", "cls", "common"], dtype=object)
+        rows[0] = (*rows[0][:3], common)
+    out = pd.DataFrame(rows, columns=["n", "cls", "parity", "common"], dtype=object)
     return out.astype({"n": "int64", "cls": "Int64"})
 
 
@@ -100,10 +109,15 @@ def unordered(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link: overlaps by fragment, summed per pair."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = written(ends.join(classes, "cls").select("cls", "rep.doc_id", "rep.hash"), "jaccard-wanted")
+def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose parities leave room for the threshold: at most a ninth of both sizes may differ."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    odd = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(odd * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+
+def fetched(wanted: DataFrame, docs: DataFrame, classes: DataFrame, how: str | None = None) -> DataFrame:
+    """(cls, fragment, grams) of the wanted classes, from the text of their least document; `how` is a hint for that join."""
 
     @F.pandas_udf("array<array<long>>")
     def cut(texts: pd.Series, wanted: pd.Series) -> pd.Series:
@@ -114,12 +128,17 @@ def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
             out.append([x.view(np.int64) for x in np.split(s, borders)] if class_of(s) == cls else [])
         return pd.Series(out, dtype=object)
 
+    named = written(wanted.join(classes, "cls").select("cls", "rep.doc_id", "rep.hash"), "jaccard-wanted")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    same = hashed["doc_id"].eqNullSafe(wanted["doc_id"]) & (hashed["hash"] == wanted["hash"])
-    texts = hashed.join(wanted, same).select("cls", "text")
+    same = hashed["doc_id"].eqNullSafe(named["doc_id"]) & (hashed["hash"] == named["hash"])
+    texts = hashed.join(named.hint(how) if how else named, same).select("cls", "text")
     sets = texts.select("cls", F.posexplode(cut("text", "cls")).alias("fragment", "grams"))
     # A row that the table repeats gives its set more than once.
-    sets = written(sets.dropDuplicates(["cls", "fragment"]), "jaccard-sets")
+    return written(sets.dropDuplicates(["cls", "fragment"]), "jaccard-sets")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link: overlaps by fragment, summed per pair."""
     left = sets.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("fragment").alias("fragment_b"), F.col("grams").alias("grams_b"))
     both = pairs.join(left, "a").join(right.withColumnRenamed("fragment_b", "fragment"), ["b", "fragment"])
@@ -128,29 +147,42 @@ def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return summed.where("100 * o >= 80 * (x + y - o)").select("a", "b")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = F.pandas_udf(measure, "n long, cls long, common array<struct<s:long,c:long>>")
+    measured = F.pandas_udf(measure, "n long, cls long, parity array<long>, common array<struct<s:long,c:long>>")
     sizes = written(docs.select("doc_id", F.xxhash64("text").alias("hash"), measured("text").alias("d")).select("doc_id", "hash", "d.*"), "jaccard-sizes")
-    classes = sizes.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "hash")).alias("rep"), F.min("doc_id").alias("least"))
+    rep = F.min(F.struct("doc_id", "hash")).alias("rep")
+    grouped = sizes.where("n > 0").groupBy("cls").agg(rep, F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    classes = written(grouped, "jaccard-classes")
     grams = prefixes(docs, sizes.where("common IS NOT NULL").select(F.explode("common").alias("x")).select("x.*"))
 
-    place = F.struct("p", "cls", "n")
-    lists = grams.groupBy("s").agg(F.min(place).alias("lead"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    shared = grams.join(lists.select("s", "lead"), "s").select("s", "p", "n", "cls", F.col("lead.cls").alias("lead"), F.col("lead.p").alias("q"), F.col("lead.n").alias("m"))
-    shared = written(shared.distinct(), "jaccard-lists")
-    first = written(unordered(shared.where(F.col("cls") != F.col("lead")).where(possible("n", "p", "m", "q")), "cls", "lead"), "jaccard-pairs")
-    links = written(similar(first, docs, classes), "jaccard-links")
+    # n-grams of one row are dropped first, by a table of counts that is as narrow as can be.
+    again = grams.groupBy("s").agg(F.count("*").alias("times")).where("times > 1").select("s")
+    shared = written(grams.join(again, "s"), "jaccard-lists")
+    lists = shared.groupBy("s").agg(F.min(F.struct("p", "cls", "n")).alias("lead"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
+    led = shared.join(lists.select("s", "lead.*").toDF("s", "q", "lead", "m"), "s").where(F.col("cls") != F.col("lead"))
+    first = written(near(unordered(led.where(possible("n", "p", "m", "q")), "cls", "lead"), classes), "jaccard-pairs")
+    # This list grows with the corpus, so it isn't broadcast.
+    sets = fetched(ends(first), docs, classes, "merge")
+    links = written(similar(first, sets), "jaccard-links")
 
     roots = components(links)
-    named = shared.join(roots, shared["cls"] == roots["node"], "left").select("s", "p", "n", "cls", F.coalesce("root", "cls").alias("comp"))
+    named = shared.join(roots, F.col("cls") == F.col("node"), "left").select("s", "p", "n", "cls", F.coalesce("root", "cls").alias("comp"))
     open_lists = named.groupBy("s").agg(F.min_by("comp", F.struct("p", "cls")).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    rest = written(named.join(open_lists.where("lo <> hi").select("s", "main"), "s"), "jaccard-open")
+    rest = written(named.join(open_lists.where("lo <> hi").select("s", "main"), "s").distinct(), "jaccard-open")
     other = rest.where("comp <> main").select("s", *[F.col(c).alias(f"other_{c}") for c in ("p", "n", "cls", "comp")])
     cross = rest.join(other, "s").where("comp <> other_comp AND (comp = main OR cls < other_cls)")
     second = unordered(cross.where(possible("n", "p", "other_n", "other_p")), "cls", "other_cls").join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(similar(written(second, "jaccard-pairs"), docs, classes))
+    second = written(near(second, classes), "jaccard-pairs")
+    missing = written(ends(second).join(sets.select("cls").distinct(), "cls", "left_anti"), "jaccard-missing")
+    if not missing.isEmpty():
+        sets = sets.unionByName(fetched(missing, docs, classes))
+    links = links.unionByName(similar(second, sets))
 
     roots = components(links)
     told = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
