@@ -163,7 +163,7 @@ def decode(ids: Column, vocabulary) -> Column:
     @F.pandas_udf("binary")
     def back(rows: pd.Series) -> pd.Series:
         encoder = vocabulary.value.encoder
-        return pd.Series([None if x is None else encoder.decode(x.tolist()) for x in rows], dtype=object)
+        return pd.Series([None if x is None else encoder.decode(map(int, x)) for x in rows], dtype=object)
 
     return back(ids)
 

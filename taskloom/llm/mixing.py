@@ -11,7 +11,7 @@ no split, and the table of rates has as many rows as weights are given, plus one
 The only shuffle of texts is the global one, by a hash of document and copy, which no group skews.
 
 Null texts count as empty ones. Rows that repeat a doc_id get the same count each. An empty table gives no rows. Columns
-of the input stay, apart from those named mix_copy and mix_order, which are replaced.
+of the input stay, apart from mix_copy and mix_order, which are replaced, and mix_group, mix_key, mix_cdf and mix_n, which are dropped.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def group_of(weights: Mapping[str, float]) -> Column:
 
 
 def distributions(docs: DataFrame, weights: Mapping[str, float], rest: float, max_rate: float) -> DataFrame:
-    """(mix_group, cdf): cdf[k] is the probability of at most k copies."""
+    """(mix_group, mix_cdf): mix_cdf[k] is the probability of at most k copies."""
     share = F.create_map(*[F.lit(x) for pair in [*weights.items(), ("", rest)] for x in pair])
     size = F.coalesce(F.length("text"), F.lit(0)) + 1
     # At most len(weights) + 1 rows, so the windows below are small.
@@ -55,7 +55,7 @@ def distributions(docs: DataFrame, weights: Mapping[str, float], rest: float, ma
     return (
         terms.withColumn("p", F.sum("term").over(upto))
         .groupBy("mix_group")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "p"))).getField("p").alias("cdf"))
+        .agg(F.array_sort(F.collect_list(F.struct("k", "p"))).getField("p").alias("mix_cdf"))
     )
 
 
@@ -65,14 +65,14 @@ def mix(
     """The repeated documents in shuffled order, with mix_copy (from 1) and mix_order, by which partitions are sorted."""
     if len(weights) > 10_000:
         raise ValueError("at most 10,000 sources may have a weight of their own; the table of rates is broadcast")
-    docs = docs.drop("mix_copy", "mix_order")
+    docs = docs.drop("mix_copy", "mix_order", "mix_group", "mix_key", "mix_cdf", "mix_n")
     rates = F.broadcast(distributions(docs, weights, rest, max_rate))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
     keyed = docs.withColumns({"mix_group": group_of(weights), "mix_key": key})
     drawn = keyed.join(rates, "mix_group")
     # The array of one number keeps the hash from being computed again for each step of the distribution.
     number = F.array(uniform(F.lit(seed), F.col("mix_key")))
-    copies = F.transform(number, lambda u: F.size(F.filter("cdf", lambda p: p <= u)))[0]
+    copies = F.transform(number, lambda u: F.size(F.filter("mix_cdf", lambda p: p <= u)))[0]
     repeated = drawn.withColumn("mix_n", copies).where("mix_n > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1, mix_n)")))
     order = F.md5(F.concat_ws("|", F.lit(seed + " order"), "mix_key", "mix_copy"))
     ordered = repeated.withColumn("mix_order", F.substring(order, 1, 16))
