@@ -33,7 +33,7 @@ def pool_stats(stats: DataFrame) -> DataFrame:
 def load_distribution(workers: DataFrame, completed: DataFrame) -> DataFrame:
     """Tasks processed per worker and their share, workers without any included."""
     done = completed.groupBy("worker_id").agg(F.count("*").alias("processed"))
-    total = completed.agg(F.count("*")).scalar()
+    total = done.agg(F.sum("processed")).scalar()  # from the same groups, so the input is read once
     return (
         workers.select("worker_id")
         .join(done, "worker_id", "left")

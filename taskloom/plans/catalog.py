@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taskloom.functions.payload import task_type, with_route
 from taskloom.functions.retry import backoff_seconds
 from taskloom.functions.text import format_duration, format_number
-from taskloom.functions.times import clock_text, instant, iso_text, plus_seconds, seconds
+from taskloom.functions.times import clock_text, instant, iso_text, seconds
 from taskloom.operators import dispatch, handlers, health, leases, lifecycle, metrics, rates, rolling, workers
 from taskloom.plans import snapshot
 from taskloom.plans.process_batch import process_batch
@@ -305,9 +305,7 @@ def visible_tasks(spark, sf_dir):
 @query
 def apply_completions(spark, sf_dir):
     processing = leases_of(spark, sf_dir)
-    later = later_events(spark, sf_dir)
-    until = plus_seconds(instant(later, "ts", EVENT_AS_OF), F.lit(DAY_S))
-    completions = later.filter((F.col("kind") == "completed") & (F.col("ts") <= until))
+    completions = later_events(spark, sf_dir).filter(F.col("kind") == "completed")
     return lifecycle.apply_completions(processing.select("task_id", "worker_id"), completions)
 
 

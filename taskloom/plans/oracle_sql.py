@@ -587,7 +587,7 @@ oracle(
     ["ev", "leases"],
     f"""
 SELECT task_id, worker_id, CASE WHEN task_id IN
-         (SELECT task_id FROM ev WHERE kind = 'completed' AND ts > {E} AND ts <= {E} + INTERVAL 1 DAY)
+         (SELECT task_id FROM ev WHERE kind = 'completed' AND ts > {E})
        THEN 'completed' ELSE 'processing' END AS disposition
 FROM leases""",
 )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_tasks(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
@@ -21,7 +23,10 @@ def write_by_queue(tasks: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_queue(spark: SparkSession, path: str, queue_name: str | None = None) -> DataFrame:
-    tasks = spark.read.parquet(path)
+    """All queues or one of them. Queue names stay text: ``007`` is not 7."""
+    found = spark.read.parquet(path).schema
+    fields = [StructField(f.name, StringType() if f.name == "queue_name" else f.dataType, f.nullable) for f in found]
+    tasks = spark.read.schema(StructType(fields)).parquet(path)
     return tasks if queue_name is None else tasks.filter(F.col("queue_name") == queue_name)
 
 
@@ -35,8 +40,21 @@ def append_dead_letters(dead: DataFrame, path: str) -> None:
     dead.write.mode("append").partitionBy("queue_name").parquet(path)
 
 
-def replace_queues(survivors: DataFrame, path: str) -> None:
-    """Overwrite only the queue directories that ``survivors`` has rows for."""
+def clear_queues(spark: SparkSession, path: str, queues: list[str]) -> None:
+    """Remove the directories of the named queues; others stay as they are."""
+    jvm = spark._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(fs_path):
+        key, _, value = status.getPath().getName().partition("=")
+        if key == "queue_name" and unquote(value) in queues:
+            fs.delete(status.getPath(), True)
+
+
+def replace_queues(survivors: DataFrame, path: str, purged: list[str] | None = None) -> None:
+    """Overwrite only the queue directories that ``survivors`` has rows for, and remove those of ``purged``."""
+    if purged:
+        clear_queues(survivors.sparkSession, path, purged)
     survivors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "queue_name"
     ).parquet(path)

@@ -91,8 +91,10 @@ def task_decode(docs: DataFrame, column: str = "doc") -> DataFrame:
         return F.timestamp_micros(F.round(F.col(f"_t.{name}") * 1e6).cast("long")).cast("timestamp_ntz")
 
     status = F.coalesce("_t.status", F.lit("pending"))
-    required = ["task_id", "priority", "payload", "created_at"]
-    broken = F.col("_t").isNull() | F.col("_t._corrupt").isNotNull() | ~status.isin(STATES)
+    required = ["task_id", "priority", "created_at"]
+    # The payload's key must be there; its value may be null.
+    no_payload = ~F.coalesce(F.array_contains(F.json_object_keys(column), "payload"), F.lit(False))
+    broken = F.col("_t").isNull() | F.col("_t._corrupt").isNotNull() | ~status.isin(STATES) | no_payload
     for name in required:
         broken |= F.col(f"_t.{name}").isNull()
     fields = {

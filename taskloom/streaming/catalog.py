@@ -95,11 +95,16 @@ def stream_dedup(spark, sf_dir):
 @query
 def stream_priority_batch(spark, sf_dir):
     path = scratch_path(spark, "priority")
-    step = sinks.priority_sink(path, TAKE, TASK_SCHEMA)
-    intake.run_each_batch(task_stream(spark, sf_dir), step, f"{path}/checkpoint")
+    step, last = sinks.priority_sink(path, TAKE, TASK_SCHEMA), [0]
+
+    def followed(batch: DataFrame, batch_id: int) -> None:
+        step(batch, batch_id)
+        last[0] = batch_id
+
+    intake.run_each_batch(task_stream(spark, sf_dir), followed, f"{path}/checkpoint")
     read = spark.read.schema(TASK_SCHEMA).option("recursiveFileLookup", "true")
     taken = read.parquet(f"{path}/taken").withColumn("disposition", F.lit("taken"))
-    backlog = read.parquet(f"{path}/backlog/0").withColumn("disposition", F.lit("backlog"))
+    backlog = read.parquet(f"{path}/backlog/{last[0]}").withColumn("disposition", F.lit("backlog"))
     return taken.unionByName(backlog).select("task_id", "queue_name", "priority", "disposition")
 
 

@@ -11,9 +11,14 @@ from taskloom.session import scratch_path
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, max_files: int = 1000) -> DataFrame:
-    """``name.parquet`` below ``folder`` as a stream; ``max_files`` bounds what one step takes in."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    return stream_folder(spark, folder, schema, max_files, f"{name}.parquet")
+    """``name.parquet`` below ``folder``, one file or a folder of part files, as a stream.
+
+    ``max_files`` bounds what one step takes in; a missing table is an error. The pattern, which only this name
+    matches, lets the source list a single file as well as a folder.
+    """
+    folder = folder.rstrip("/")
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return stream_folder(spark, f"{folder}/[{name[0]}]{name[1:]}.parquet", schema, max_files, "*.parquet")
 
 
 def stream_folder(

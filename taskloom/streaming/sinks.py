@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from taskloom.operators.dispatch import URGENCY
 from taskloom.streaming.intake import run_each_batch
@@ -36,8 +35,7 @@ def priority_sink(path: str, k: int, schema: str) -> BatchStep:
         taken_path = f"{path}/taken/{batch_id}"
         waiting.orderBy(*URGENCY).limit(k).write.mode("overwrite").parquet(taken_path)
         taken = batch.sparkSession.read.schema(schema).parquet(taken_path).select("task_id")
-        # At most k ids, and k is the caller's own page size.
-        left = waiting.join(F.broadcast(taken) if k <= 1_000_000 else taken, "task_id", "left_anti")
+        left = waiting.join(taken, "task_id", "left_anti")
         left.write.mode("overwrite").parquet(f"{path}/backlog/{batch_id}")
 
     return step

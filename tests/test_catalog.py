@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).parents[1] / "tools"))
 import compare  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from taskloom.plans.catalog import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WITHOUT_SQL = {"metrics_snapshot", "task_defaults"}
@@ -27,10 +28,11 @@ def con():
 
 
 def test_sql_for_all_but_the_listed():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     ours = compare.rows_of(df.columns, df.collect())

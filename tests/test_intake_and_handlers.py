@@ -159,3 +159,17 @@ def test_stores(spark, tmp_path):
     json_path = str(tmp_path / "json")
     df.write.json(json_path)
     assert stores.read_tasks(spark, json_path, TASK, "json").filter("task_id is null").count() == 0
+
+
+def test_queues_are_cleared_and_names_stay_text(spark, tmp_path):
+    path = str(tmp_path / "queues")
+    rows = [("a", "007"), ("b", "7"), ("c", "a/b"), ("d", "x")]
+    stores.write_by_queue(spark.createDataFrame(rows, "task_id STRING, queue_name STRING"), path)
+    stores.clear_queues(spark, path, ["a/b", "x"])
+    assert sorted((r.task_id, r.queue_name) for r in stores.read_queue(spark, path).collect()) == [("a", "007"), ("b", "7")]
+
+
+def test_a_stored_null_payload_is_kept(spark):
+    docs = ['{"task_id": "a", "priority": 1, "payload": null, "created_at": 1}', '{"task_id": "a", "priority": 1, "created_at": 1}']
+    out = task_json.task_decode(spark.createDataFrame([(d,) for d in docs], "doc STRING")).collect()
+    assert [r.quarantined for r in out] == [False, True]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from taskloom.operators import leases
 from taskloom.sources import views
 from taskloom.streaming import intake, sinks, stateful, windows
@@ -147,3 +148,29 @@ def test_recovery_callback_sees_every_expired_lease(spark, event_log, folder, tm
     sinks.run_with_callback(stream, lambda batch, n: seen.append(batch.count()), str(tmp_path / "cp"))
     again = intake.run_and_read(spark, stateful.lease_timeout(streamed(spark, folder, event_log.schema)), "again")
     assert sum(seen) == again.count() > 0
+
+
+def test_streams_over_one_file_and_over_a_folder_agree(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for name, by in (("orders", "o_orderdate"), ("events", "ts")):
+        whole = spark.read.parquet(f"{sf}/{name}.parquet")
+        whole.repartitionByRange(3, by).sortWithinPartitions(by).write.parquet(str(tmp_path / f"{name}.parquet"))
+    stream = intake.stream_table(spark, str(tmp_path), "events")
+    for name in ("task_stream_source", "stream_dedup", "stream_at_least_once_sink"):
+        one, many = (sorted(map(str, entry.queries()[name](spark, folder).collect())) for folder in (sf, str(tmp_path)))
+        assert one and one == many
+    assert stream.columns == spark.read.parquet(f"{sf}/events.parquet").columns
+
+
+def test_a_missing_stream_table_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        intake.stream_table(spark, str(tmp_path), "orders")
+
+
+def test_priority_batches_over_several_steps_lose_nothing(spark, tmp_path, monkeypatch):
+    whole = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    whole.repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    source = intake.stream_table
+    monkeypatch.setattr(intake, "stream_table", lambda spark, folder, name: source(spark, folder, name, 1))
+    rows = entry.queries()["stream_priority_batch"](spark, str(tmp_path)).collect()
+    assert sorted(r.task_id for r in rows) == sorted(str(r.o_orderkey) for r in whole.collect())
