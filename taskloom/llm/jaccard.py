@@ -9,8 +9,8 @@ share an n-gram of their first fifth in that order. A list holds the classes tha
 2. Lists whose classes are all in one component by now are done. In the others, classes outside the leader's component are compared with
    those of other components. Pairs that can't reach the threshold by size or by place in the order never become rows.
 
-A pair whose sets are shown to differ too much by their parities is dropped: PARITY bits per set tell, for each range of hashes, whether the set
-has an odd number there, and every bit that differs stands for an n-gram that only one of the two has.
+A pair whose sets are shown to differ too much by their parities is dropped: PARITY bits per set, or as many as a larger set has n-grams, tell for each
+range of hashes whether the set has an odd number there, and every bit that differs stands for an n-gram that only one of the two has.
 
 To compare, the order of n-grams (of hashes) is cut into fragments; each fragment's overlap is counted by itself, and the counts
 are summed per pair. No link between different components is left out; within one, links that change nothing are not looked for.
@@ -47,8 +47,9 @@ def class_of(shingles: np.ndarray) -> int | None:
 
 
 def parity(shingles: np.ndarray) -> list[int]:
-    """Whether the number of hashes is odd, by their last bits, as 64-bit words."""
-    odd = np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    """Whether the number of hashes is odd, by their last bits, as 64-bit words; a power of two that grows with the set, so that it tells large sets apart too."""
+    width = max(PARITY, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -112,7 +113,12 @@ def unordered(rows: DataFrame, a: str, b: str) -> DataFrame:
 def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose parities leave room for the threshold: at most a ninth of both sizes may differ."""
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
-    odd = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    # Sizes that can link have parities of the same width, or one of twice the width, whose halves add up to the narrower.
+    differ = lambda x, y: x.bitwiseXOR(y)
+    halves = lambda x, n: F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), differ)
+    narrow = lambda x, y: F.when(F.size(x) > F.size(y), halves(F.col(x), F.size(y))).otherwise(F.col(x))
+    both = F.zip_with(narrow("p_a", "p_b"), narrow("p_b", "p_a"), differ)
+    odd = F.aggregate(both, F.lit(0), lambda total, x: total + F.bit_count(x))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(odd * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
