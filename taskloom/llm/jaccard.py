@@ -38,6 +38,8 @@ from taskloom.llm.common import components, shingle_sets, table, written
 WIDTH, FRAGMENTS, PARITY = 5, 8, 1024
 #: n-grams in the table that orders them: 16 bytes each.
 COMMON = 500_000
+#: Bits that mark which texts are fetched: two megabytes, at most MARKS / 64 rows. When nearly all are set, they only save nothing.
+MARKS = 1 << 24
 #: How often a batch of rows must hold an n-gram to count it.
 OFTEN = 4
 
@@ -122,25 +124,40 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(odd * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
-def fetched(wanted: DataFrame, docs: DataFrame, classes: DataFrame, how: str | None = None) -> DataFrame:
-    """(cls, fragment, grams) of the wanted classes, from the text of their least document; `how` is a hint for that join."""
+def marked(wanted: DataFrame) -> DataFrame:
+    """(word, bits): a bit for each wanted key, in MARKS bits; the number of rows is bounded by that, whatever the input."""
+    word, bit = place("key")
+    return wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def place(key: str) -> tuple[Column, Column]:
+    slot = F.pmod(F.col(key), F.lit(MARKS))
+    return F.floor(slot / 64), F.expr(f"shiftleft(1L, int(pmod({key}, 64)))")
+
+
+def fetched(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, fragment, grams) of the wanted classes, from the text of their least document.
+
+    Texts whose bit isn't marked stay where they are; of the others, one per key is kept, and the join tells the wanted ones exactly.
+    """
 
     @F.pandas_udf("array<array<long>>")
     def cut(texts: pd.Series, wanted: pd.Series) -> pd.Series:
         out = []
         for s, cls in zip(shingle_sets(texts, WIDTH), wanted):
             borders = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61))
-            # An id that stands for several texts meets all of them; only the text of this class counts.
+            # Two texts of one key and hash are told apart by their class.
             out.append([x.view(np.int64) for x in np.split(s, borders)] if class_of(s) == cls else [])
         return pd.Series(out, dtype=object)
 
-    named = written(wanted.join(classes, "cls").select("cls", "rep.doc_id", "rep.hash"), "jaccard-wanted")
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    same = hashed["doc_id"].eqNullSafe(named["doc_id"]) & (hashed["hash"] == named["hash"])
-    texts = hashed.join(named.hint(how) if how else named, same).select("cls", "text")
-    sets = texts.select("cls", F.posexplode(cut("text", "cls")).alias("fragment", "grams"))
-    # A row that the table repeats gives its set more than once.
-    return written(sets.dropDuplicates(["cls", "fragment"]), "jaccard-sets")
+    key = lambda doc_id, of: F.xxhash64(doc_id, of).alias("key")
+    named = wanted.join(classes, "cls").select("cls", key("rep.doc_id", "rep.hash"), F.col("rep.hash").alias("hash"))
+    named = written(named, "jaccard-wanted")
+    hashed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), "text").select(key("doc_id", "hash"), "hash", "text")
+    word, bit = place("key")
+    held = hashed.join(F.broadcast(marked(named)), (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0), "left_semi")
+    texts = held.groupBy("key", "hash").agg(F.first("text").alias("text")).join(named, ["key", "hash"])
+    return written(texts.select("cls", F.posexplode(cut("text", "cls")).alias("fragment", "grams")), "jaccard-sets")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,8 +190,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = shared.groupBy("s").agg(F.min(F.struct("p", "cls", "n")).alias("lead"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     led = shared.join(lists.select("s", "lead.*").toDF("s", "q", "lead", "m"), "s").where(F.col("cls") != F.col("lead"))
     first = written(near(unordered(led.where(possible("n", "p", "m", "q")), "cls", "lead"), classes), "jaccard-pairs")
-    # This list grows with the corpus, so it isn't broadcast.
-    sets = fetched(ends(first), docs, classes, "merge")
+    sets = fetched(ends(first), docs, classes)
     links = written(similar(first, sets), "jaccard-links")
 
     roots = components(links)
@@ -188,7 +204,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     missing = written(ends(second).join(sets.select("cls").distinct(), "cls", "left_anti"), "jaccard-missing")
     if not missing.isEmpty():
         sets = sets.unionByName(fetched(missing, docs, classes))
-    links = links.unionByName(similar(second, sets))
+    links = links.unionByName(similar(second, sets.join(ends(second), "cls", "left_semi")))
 
     roots = components(links)
     told = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))

@@ -118,6 +118,23 @@ def test_jaccard_second_round(spark):
     assert got == {0: 0, 1: 1, 2: 1}
 
 
+def test_jaccard_large_sets(spark):
+    """Sets on both sides of a power of two, whose parities differ in width; an unlike one shares a long passage."""
+    base = [f"w{i}" for i in range(4140)]
+    texts = [base, base[:4070], base[:2000] + [f"x{i}" for i in range(2100)], ["y"] + base]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, list(enumerate(map(" ".join, texts))))).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 0}
+
+
+def test_parities_of_large_sets():
+    """Halves of the wider parity add up to the narrower, and unlike sets differ in more bits than the threshold leaves room for."""
+    rng = np.random.default_rng(5)
+    a, b = (np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (4000, 4200))
+    x, y = (np.array(jaccard.parity(s)).view(np.uint64) for s in (a, b))
+    assert (len(x), len(y)) == (64, 128)
+    assert 9 * sum(int(v).bit_count() for v in x ^ y[:64] ^ y[64:]) > len(a) + len(b)
+
+
 def cut_by_hand(texts):
     seen, out = set(), {}
     for i, t in sorted(texts, key=lambda x: x[0]):
