@@ -634,12 +634,20 @@ def requeue_expired(spark, sf_dir):
 
 @query
 def task_defaults(spark, sf_dir):
-    tasks = views.tasks(spark, sf_dir, False)
+    """The filled fields; of the random ids, only whether each is the given one or a uuid, and how many rows have it."""
+    tasks = views.tasks(spark, sf_dir, False).withColumn("given_id", F.col("task_id"))
     unnamed = tasks.withColumn("task_id", F.when(F.col("execute_after").isNull(), F.col("task_id")))
     unset = F.lit(None)
-    return task_json.task_defaults(
+    filled = task_json.task_defaults(
         unnamed.withColumns({"retry_count": unset.cast("int"), "status": unset.cast("string")})
     )
+    path = scratch_path(spark, "defaults")
+    filled.select("given_id", "task_id", "retry_count", "max_retries", "status").write.parquet(path)
+    uuid = F.col("task_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    source = F.when(F.col("task_id") == F.col("given_id"), "given").when(uuid, "uuid").otherwise("other")
+    rows = spark.read.parquet(path).withColumn("id_source", source)
+    kept = ["given_id", "id_source", "retry_count", "max_retries", "status"]
+    return rows.groupBy("task_id").agg(F.count("*").alias("id_rows"), *[F.min(c).alias(c) for c in kept]).drop("task_id")
 
 
 @query

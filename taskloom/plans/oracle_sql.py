@@ -1084,3 +1084,12 @@ FROM (SELECT window_start, queue_name,
       WHERE window_start + INTERVAL 1 HOUR <= {closed_sql("10 MINUTES")}
       GROUP BY window_start, queue_name) h""",
 )
+
+oracle(
+    "task_defaults",
+    [],
+    """
+SELECT CAST(o_orderkey AS VARCHAR) AS given_id, CASE WHEN o_orderkey % 3 = 0 THEN 'uuid' ELSE 'given' END AS id_source,
+       CAST(1 AS BIGINT) AS id_rows, 0 AS retry_count, CAST(o_orderkey % 5 AS INTEGER) AS max_retries, 'pending' AS status
+FROM orders""",
+)
