@@ -94,6 +94,15 @@ def lookup_with_dlq_fallback(requested: DataFrame, live: DataFrame, dead: DataFr
     return found.select("task_id", source.alias("source"), *picked)
 
 
+def lookup_in_states(requested: DataFrame, states: DataFrame) -> DataFrame:
+    """The same answer from one table of task states, one row per task, which is read and joined once."""
+    dead = F.col("state") == "dead"
+    held = states.filter(dead | F.col("state").isin("pending", "delayed", "processing"))
+    source = F.when(dead, "dlq").when(F.col("state").isNotNull(), "live").otherwise("not_found")
+    columns = [c for c in states.columns if c != "task_id"]
+    return requested.join(held, "task_id", "left").select("task_id", source.alias("source"), *columns)
+
+
 def dlq_listing(dead: DataFrame, newest_first: bool = False) -> DataFrame:
     if newest_first:
         return dead.orderBy(F.col("dead_at").desc(), F.col("task_id").desc())

@@ -267,9 +267,8 @@ def handler_route_join(spark, sf_dir):
 @query
 def lookup_with_dlq_fallback(spark, sf_dir):
     states = states_of(spark, sf_dir).select("task_id", "queue_name", "state", "retry_count")
-    live = states.filter(F.col("state").isin("pending", "delayed", "processing"))
     requested = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("task_id"))
-    return dispatch.lookup_with_dlq_fallback(requested, live, lifecycle.dead_letters(states))
+    return dispatch.lookup_in_states(requested, states)
 
 
 @query
