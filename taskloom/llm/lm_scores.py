@@ -1,7 +1,13 @@
-"""Language-model scores: stupid backoff over bigrams counted in the corpus itself.
+"""Language-model scores: stupid backoff over runs of up to `order` words counted in the corpus itself.
 
 A word after v scores c(v w) / c(v) if the pair occurs at least MIN_COUNT times in the corpus, else ALPHA * c(w) / N, and a document's first
-word c(w) / N; N is the number of words, and counts are over all documents. A document's score is the sum of the logarithms.
+word c(w) / N; N is the number of words, and counts are over all documents. With a higher order, the longest run first: c(u v w) / c(u v) if the run
+occurs MIN_COUNT times, else ALPHA times the score by the shorter context. A document's score is the sum of the logarithms, n_backoff how often ALPHA counts in it.
+
+Runs of three words and more are added to the pairs' sums. As a run in the table has its parts there too, it changes its last word's logarithm
+by ln c(run) - ln c(without the last) - ln c(without the first) + ln c(without both); a run that is not in the table, by ln ALPHA. The counts of
+runs are combined per task and partitioned by the run's hash; the occurrences, the exploded runs per document, are joined to the changes as
+tables, so no task needs all occurrences of a run.
 
 The count tables are partitioned by a hash of a word. Words with more than N / HOT occurrences are HOT at most, and pairs of two such words HOT * HOT
 at most: these counts are combined per task, sent to every worker, and need no partition. Every other word makes up at
@@ -64,6 +70,68 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def runs(texts: list[np.ndarray], order: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """For each length from 2 to `order`: the documents of all runs of so many words, and the hashes of the run, of it without its last, its first, and both."""
+    words, document, first = joined(texts)
+    place = np.arange(len(words)) - np.maximum.accumulate(np.where(first, np.arange(len(words)), 0))
+    held = [np.zeros(len(words), np.uint64), words.view(np.uint64)]
+    for n in range(2, order + 1):
+        whole = np.zeros(len(words), np.uint64)
+        whole[1:] = mixed(held[n - 1][:-1] * np.uint64(0x9E3779B97F4A7C15) + held[1][1:] + np.uint64(n))
+        held.append(whole)
+        at = np.flatnonzero(place >= n - 1)
+        yield n, document[at], [x.view(np.int64) for x in (whole[at], held[n - 1][at - 1], held[n - 1][at], held[n - 2][at - 1])]
+
+
+def run_counts(docs: DataFrame, order: int) -> DataFrame:
+    """(n, run, head, tail, middle, c) of the runs of 2 to `order` words that occur MIN_COUNT times over all documents; of pairs, no parts."""
+    schema = "n int, run long, head long, tail long, middle long, c long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch):
+                for n, _, (run, *parts) in runs(texts, order):
+                    _, at, c = np.unique(run, return_index=True, return_counts=True)
+                    parts = [x[at] if n > 2 else np.zeros(len(at), np.int64) for x in parts]
+                    columns = [pa.array(np.full(len(at), n), pa.int32()), *[pa.array(x, pa.int64()) for x in (run[at], *parts, c)]]
+                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+
+    # Rows of one run have the same parts.
+    same = [F.min(x).alias(x) for x in ("n", "head", "tail", "middle")]
+    counted = docs.select("text").mapInArrow(count, schema).groupBy("run").agg(*same, F.sum("c").alias("c"))
+    return counted.where(F.col("c") >= MIN_COUNT).select("n", "run", "head", "tail", "middle", "c")
+
+
+def run_scores(docs: DataFrame, words: DataFrame, order: int) -> DataFrame:
+    """(id, score, words, backoffs, copies): what runs of 3 to `order` words add to the sums of the pairs."""
+    counted = written(run_counts(docs, order), "lm-runs")
+    log = F.log(F.col("c").cast("double"))
+    known = counted.select(F.col("run").alias("part"), log.alias("log_c")).unionByName(words.select(F.col("word").alias("part"), log.alias("log_c")))
+    change = counted.where("n > 2").select("run", "head", "tail", "middle", log.alias("change"))
+    for part, sign in (("head", -1), ("tail", -1), ("middle", 1)):
+        change = change.join(known.withColumnRenamed("part", part), part).withColumn("change", F.col("change") + sign * F.col("log_c")).drop("log_c")
+    changes = written(change.select("run", "change"), "lm-changes")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in slices(batch):
+                ids = rows["id"].to_numpy()
+                for n, document, (run, *_) in runs(texts, order):
+                    if n > 2:
+                        order_ = np.lexsort((run, document))
+                        d, r = document[order_], run[order_]
+                        at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])])[: len(d)])
+                        times = np.diff(np.append(at, len(d)))
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[d[at]], r[at], times)], ["id", "run", "times"])
+
+    found = docs.select("id", "text").mapInArrow(read, "id long, run long, times long").join(changes, "run", "left")
+    none = F.lit(0).cast("long")
+    return found.groupBy("id").agg(
+        F.sum(F.col("times") * F.coalesce("change", F.log(F.lit(ALPHA)))).alias("score"), F.max(none).alias("words"),
+        F.sum(F.when(F.col("change").isNull(), F.col("times")).otherwise(none)).alias("backoffs"), F.max(none).alias("copies"),
+    )
+
+
 def places(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """The place of each word among the hot ones, or -1."""
     if not len(hot):
@@ -194,8 +262,10 @@ def score_part(rows: pd.DataFrame, counts: np.ndarray, total: int) -> pd.DataFra
     return pd.concat([out, owed])[[x.split()[0] for x in SCORED.split(", ")]]
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_backoff, log_score of every row of doc_id and text."""
+def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
+    """doc_id, n_words, n_backoff, log_score of every row of doc_id and text, by runs of up to `order` words."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("id"))
     words = written(word_counts(docs), "lm-words")
@@ -214,18 +284,28 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     scored = written(scored, "lm-parts")
     owed = scored.where("context IS NOT NULL").join(words, F.col("context") == F.col("word"))
     owed = owed.select("id", (-F.col("times") * F.log(F.col("c").cast("double"))).alias("score"), *[F.lit(0).cast("long").alias(x) for x in ("words", "backoffs", "copies")])
-    sums = scored.where("context IS NULL").select(*owed.columns).unionByName(owed).groupBy("id").agg(*[F.sum(x).alias(x) for x in owed.columns[1:]])
+    every = scored.where("context IS NULL").select(*owed.columns).unionByName(owed)
+    if order > 2:
+        every = every.unionByName(run_scores(docs, words, order))
+    sums = every.groupBy("id").agg(*[F.sum(x).alias(x) for x in owed.columns[1:]])
     # Repeated rows have added up.
     per = lambda c: (F.col(c) / F.col("copies"))
     sums = sums.select("id", per("words").cast("long").alias("n_words"), per("backoffs").cast("long").alias("n_backoff"), per("score").alias("log_score"))
     return docs.select("doc_id", "id").join(sums, "id").drop("id")
 
 
-def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lm_scores(table(spark, sf_dir, "documents"))
+def whole_numbers(scores: DataFrame) -> DataFrame:
     return scores.select("doc_id", "n_words", "n_backoff", F.floor(F.col("log_score") * 1e4 + 0.5).alias("log_score_e4"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_numbers(lm_scores(table(spark, sf_dir, "documents")))
+
+
+def op5_lm_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_numbers(lm_scores(table(spark, sf_dir, "documents"), 3))
+
+
 SQL = f"""
 WITH lowered AS (
   SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0d\\x20]+') AS ws
@@ -245,3 +325,26 @@ summed AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (backed) AS n_bac
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoff, 0) AS n_backoff, floor(coalesce(s, 0) * 1e4 + 0.5)::BIGINT AS log_score_e4
 FROM documents d LEFT JOIN summed USING (doc_id)
 """
+
+SQL_ORDER3 = f"""
+WITH lowered AS (
+  SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0d\\x20]+') AS ws
+  FROM documents),
+listed AS (SELECT doc_id, list_filter(ws, lambda w: w <> '') AS ws FROM lowered),
+exploded AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM listed),
+placed AS (SELECT doc_id, i, w, lag(w) OVER o AS v, lag(w, 2) OVER o AS u FROM exploded WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+words AS (SELECT w, count(*) AS c FROM placed GROUP BY 1),
+total AS (SELECT sum(c) AS n FROM words),
+pairs AS (SELECT v, w, count(*) AS c FROM placed WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {MIN_COUNT}),
+triples AS (SELECT u, v, w, count(*) AS c FROM placed WHERE u IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= {MIN_COUNT}),
+scored AS (
+  SELECT doc_id,
+    CASE WHEN triples.c IS NOT NULL OR p.v IS NULL THEN 0 ELSE (p.u IS NOT NULL)::INTEGER + (pairs.c IS NULL)::INTEGER END AS backed,
+    CASE WHEN triples.c IS NOT NULL THEN ln(triples.c / head.c) WHEN pairs.c IS NOT NULL THEN ln(pairs.c / before.c) ELSE ln(one.c / n) END AS s
+  FROM placed p CROSS JOIN total JOIN words one ON one.w = p.w LEFT JOIN words before ON before.w = p.v
+    LEFT JOIN pairs ON pairs.v = p.v AND pairs.w = p.w LEFT JOIN triples ON triples.u = p.u AND triples.v = p.v AND triples.w = p.w
+    LEFT JOIN pairs head ON head.v = p.u AND head.w = p.v),
+summed AS (SELECT doc_id, count(*) AS n_words, sum(backed)::BIGINT AS n_backoff, sum(s + backed * ln({ALPHA})) AS s FROM scored GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoff, 0) AS n_backoff, floor(coalesce(s, 0) * 1e4 + 0.5)::BIGINT AS log_score_e4
+FROM documents d LEFT JOIN summed USING (doc_id)
+"""

@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_vectors": near_vectors.op3_near_vectors,
     "op4_quality": quality.op4_quality,
     "op5_lm_scores": lm_scores.op5_lm_scores,
+    "op5_lm_scores_order3": lm_scores.op5_lm_scores_order3,
     "op6_top_k": top_k.op6_top_k,
     "op7_warc": warc.op7_warc,
     "op8_repeats": repeats.op8_repeats,
@@ -20,6 +21,7 @@ QUERIES = {
 ORACLE = {
     "op2_mixing": mixing.SQL,
     "op5_lm_scores": lm_scores.SQL,
+    "op5_lm_scores_order3": lm_scores.SQL_ORDER3,
     "op6_top_k": top_k.SQL,
     "op7_warc": warc.SQL,
 }

@@ -199,6 +199,31 @@ def test_lm_scores(spark):
     assert lm_scores.lm_scores(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_lm_scores_of_longer_runs(spark, order):
+    rows = odd_texts() + [(20, odd_texts()[20][1])] * 2 + [(None, "a b c a b"), (300, "b c a")]
+    words = [common.words(t) for _, t in rows]
+    count = {}
+    for w in words:
+        for n in range(1, order + 1):
+            for i in range(len(w) - n + 1):
+                count[tuple(w[i : i + n])] = count.get(tuple(w[i : i + n]), 0) + 1
+    total = sum(c for x, c in count.items() if len(x) == 1)
+    want = []
+    for (i, _), w in zip(rows, words):
+        s, steps = 0.0, 0
+        for at in range(len(w)):
+            run = tuple(w[max(0, at - order + 1) : at + 1])
+            while len(run) > 1 and count[run] < 2:
+                run, s, steps = run[1:], s + np.log(0.4), steps + 1
+            s += np.log(count[run] / (count[run[:-1]] if len(run) > 1 else total))
+        want.append((-1 if i is None else i, len(w), steps, s))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_backoff, r.log_score) for r in lm_scores.lm_scores(frame(spark, rows, extra=True), order).collect()]
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-4)
+    assert lm_scores.lm_scores(frame(spark, rows).limit(0), order).count() == 0
+
+
 def test_mixing(spark):
     texts = [(i, "x" * (i % 50)) for i in range(3000)] + [(None, None), (None, "y")]
     docs = frame(spark, texts, extra=True)
