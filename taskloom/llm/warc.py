@@ -9,8 +9,10 @@ The as-of join carries ids, times and headers only. Captures are cut by (URL, ti
 the last full response of a slice is carried to later slices of that URL over a table with one row per URL and slice. So a URL with most of the captures is spread over many tasks. Bodies are fetched at the end by the base's id, a join that can split a hot base.
 
 Null URLs match nothing: their revisits have no base. A null time counts as earlier than all. Captures of one URL at the same
-time go by record_id, and a revisit takes only a base before it in that order. Rows that repeat a record_id (null is one too) are one capture: the
-least by time, URL, status, headers and body counts. Null headers are no headers. An empty table gives no rows. Extra columns are not read.
+time go by record_id, nulls first, and a revisit takes only a base before it in that order; of several bases with one time and record_id, that with the greatest key.
+The key is two 64-bit hashes of all columns that are read; bases and bodies are joined by it, so captures that share a record_id, or have none, stay apart, and a
+base without an id gives its headers and body, and null as base_id. Rows that are equal in all columns read are worked on once and returned as often as they come.
+Null headers are no headers. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -55,26 +57,30 @@ def merged(base: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(allowed, k)), allowed)
 
 
+KEY = ["key", "key_2"]
+
+
 def latest_full(captures: DataFrame, width: int = SLICE) -> DataFrame:
-    """(record_id, base_id) of the status-304 captures: the last status-200 capture of the same URL before each, if any."""
-    slim = captures.where("url_key IS NOT NULL AND status IN (200, 304)").select("record_id", "url_key", "at", "status")
+    """(key, key_2, base) of the status-304 captures: at, record_id and key of the last status-200 capture of the same URL before each, if any."""
+    slim = captures.where("url_key IS NOT NULL AND status IN (200, 304)").select("record_id", "url_key", "at", "status", *KEY)
     sliced = slim.withColumn("slice", F.floor(F.col("at") / width))
-    full = F.when(F.col("status") == 200, F.struct("at", "record_id"))
+    full = F.when(F.col("status") == 200, F.struct("at", "record_id", *KEY))
     ends = sliced.groupBy("url_key", "slice").agg(F.max(full).alias("end"))
     earlier = Window.partitionBy("url_key").orderBy(F.col("slice").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("carried", F.last("end", ignorenulls=True).over(earlier)).select(F.col("url_key").alias("to_url"), F.col("slice").alias("to_slice"), "carried")
-    inside = Window.partitionBy("url_key", "slice").orderBy(F.col("at").asc_nulls_first(), F.col("record_id").asc_nulls_first())
+    # Revisits come first among equals, so that no base of the same time and id is before them.
+    inside = Window.partitionBy("url_key", "slice").orderBy(F.col("at").asc_nulls_first(), F.col("record_id").asc_nulls_first(), F.col("status").desc(), *KEY)
     near = sliced.withColumn("near", F.last(full, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     return (
         near.where("status = 304")
         .join(carried, (F.col("url_key") == F.col("to_url")) & F.col("slice").eqNullSafe(F.col("to_slice")))
-        .select("record_id", F.coalesce("near", "carried").getField("record_id").alias("base_id"))
-        .where("base_id IS NOT NULL")
+        .select(*KEY, F.coalesce("near", "carried").alias("base"))
+        .where("base IS NOT NULL")
     )
 
 
 def resolve(records: DataFrame, width: int = SLICE) -> DataFrame:
-    """record_id, url_key, status, outcome, base_id, headers (names in lower case) and body, one row per capture.
+    """record_id, url_key, status, outcome, base_id, headers (names in lower case) and body, one row per row of the input.
 
     Takes record_id long, url string, at long (time in any unit), status int, headers map<string,string>, body string.
     outcome: full, resolved, no base, no validator, changed, or other (any other status).
@@ -84,31 +90,35 @@ def resolve(records: DataFrame, width: int = SLICE) -> DataFrame:
         F.col("status").cast("int").alias("status"), F.array_sort(F.map_entries(lower_names(F.col("headers")))).alias("entries"),
         F.col("body").cast("string").alias("body"),
     )
-    one = read.groupBy("record_id").agg(F.min(F.struct("at", "url_key", "status", "entries", "body")).alias("r"))
-    captures = one.select("record_id", "r.*").withColumn("headers", F.map_from_entries("entries")).drop("entries")
-
-    # Bodies stay out of the as-of join; ids are unique by now.
-    bases = latest_full(captures, width)
-    base = captures.where("status = 200").select(F.col("record_id").alias("base_id"), F.col("headers").alias("base_headers"), F.col("body").alias("base_body"))
-    revisits = captures.where("status = 304").join(bases, "record_id", "left").join(base, "base_id", "left")
+    # Nulls leave a hash as it was, so it is told which columns are null.
+    every = [*[F.col(c).isNull() for c in read.columns], *read.columns]
+    keyed = read.withColumns({KEY[0]: F.xxhash64(*every), KEY[1]: F.xxhash64(F.lit("second"), *every)})
+    one = keyed.groupBy(*KEY).agg(F.first(F.struct(*read.columns)).alias("r"), F.count("*").cast("int").alias("copies"))
+    captures = one.select(*KEY, "copies", "r.*").withColumn("headers", F.map_from_entries("entries")).drop("entries")
+
+    # Bodies stay out of the as-of join; keys are unique by now.
+    bases = latest_full(captures, width).select(*KEY, F.col("base.record_id").alias("base_id"), *[F.col(f"base.{k}").alias(f"base_{k}") for k in KEY])
+    base = captures.where("status = 200").select(*[F.col(k).alias(f"base_{k}") for k in KEY], F.col("headers").alias("base_headers"), F.col("body").alias("base_body"))
+    revisits = captures.where("status = 304").join(bases, KEY, "left").join(base, [f"base_{k}" for k in KEY], "left")
     weak = lambda c: F.regexp_replace(F.element_at(c, "etag"), "^W/", "")
     tag, old_tag = weak("headers"), weak("base_headers")
     date, old_date = F.element_at("headers", "last-modified"), F.element_at("base_headers", "last-modified")
     same = F.when(tag.isNotNull(), F.coalesce(tag == old_tag, F.lit(False))).otherwise(date == old_date)
     outcome = (
-        F.when(F.col("base_id").isNull(), "no base").when(same, "resolved").when(same.isNull(), "no validator").otherwise("changed")
+        F.when(F.col("base_key").isNull(), "no base").when(same, "resolved").when(same.isNull(), "no validator").otherwise("changed")
     )
     resolved = F.col("outcome") == "resolved"
     told = revisits.withColumn("outcome", outcome).select(
         "record_id", "url_key", "status", "outcome", F.when(resolved, F.col("base_id")).alias("base_id"),
         F.when(resolved, merged(F.col("base_headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
-        F.when(resolved, F.col("base_body")).otherwise(F.col("body")).alias("body"),
+        F.when(resolved, F.col("base_body")).otherwise(F.col("body")).alias("body"), "copies",
     )
     rest = captures.where("NOT coalesce(status = 304, false)").select(
         "record_id", "url_key", "status", F.when(F.col("status") == 200, "full").otherwise("other").alias("outcome"),
-        F.lit(None).cast("long").alias("base_id"), "headers", "body",
+        F.lit(None).cast("long").alias("base_id"), "headers", "body", "copies",
     )
-    return told.unionByName(rest)
+    every = told.unionByName(rest)
+    return every.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

@@ -128,6 +128,34 @@ def test_revisits(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_revisits_without_ids_of_their_own(spark):
+    """Captures without an id, or that share one, all come back, each with its own body; equal rows as often as they come."""
+    tag = lambda x: {"ETag": x}
+    rows = [
+        capture(None, "http://a.example/x", 1, 200, tag("a"), "one"), capture(None, "http://a.example/y", 1, 200, tag("b"), "two"),
+        capture(None, "http://a.example/x", 2, 304, tag("a")), capture(None, "http://a.example/y", 3, 304, tag("b")), capture(None, None, None, 404, None, None),
+        capture(7, "http://a.example/z", 1, 200, tag("c"), "three"), capture(7, "http://a.example/z", 5, 200, tag("d"), "four"), capture(7, "http://b.example/", 5, 200, tag("e"), "five"),
+        capture(8, "http://a.example/z", 3, 304, tag("c")), capture(8, "http://a.example/z", 6, 304, tag("d")), capture(9, "http://b.example/", 5_000_000, 304, tag("e")),
+        capture(9, "http://b.example/", 5_000_000, 304, tag("e")), capture(7, "http://b.example/", 5, 200, tag("e"), "five"),
+        capture(None, "http://c.example/", None, 200, tag("f"), "six"), capture(None, "http://c.example/", None, 304, tag("f")),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, url string, at long, status int, headers map<string,string>, body string")
+    got = sorted(((r.record_id, r.status, r.outcome, r.base_id, r.body) for r in warc.resolve(df).collect()), key=str)
+    want = [(None, 200, "full", None, x) for x in ("one", "two", "six")] + [(7, 200, "full", None, x) for x in ("three", "four", "five", "five")]
+    want += [(None, 304, "resolved", None, x) for x in ("one", "two")] + [(8, 304, "resolved", 7, x) for x in ("three", "four")] + [(9, 304, "resolved", 7, "five")] * 2
+    want += [(None, 304, "no base", None, None), (None, 404, "other", None, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_pages_without_ids_of_their_own(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    odd = pages.withColumn("page_id", F.when(F.col("page_id") % 3 == 1, F.col("page_id")).when(F.col("page_id") % 3 == 2, F.col("page_id") - 1))
+    got = warc.resolve(warc.captures_of(odd))
+    assert got.count() == 2 * pages.count()
+    bodies = lambda df, c: sorted(r[0] or "" for r in df.select(c).collect())
+    assert bodies(got.where("status = 200"), "body") == bodies(pages, "html")
+
+
 def render(source, **env):
     return list(template.Template(source).render(**env))
 
