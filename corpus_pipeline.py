@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before kept,
 the encoded documents. `run` writes each stage's rows as Parquet to the shared folder and reads them for the next.
 
 1. quality: documents that the classifier rejects go.
-2. ngram_join: of the documents linked by shingles, the one with the least doc_id stays. Rows that share a doc_id stay or go together;
-   rows without one stay.
+2. ngram_join: of the rows linked by shingles, one stays: that with the least doc_id, nulls last, then the least hash of its text, and of rows equal in
+   both the least by a hash of all columns. So repeated rows and rows without a doc_id are told apart like others. Rows without shingles stay.
 3. suffix_dedup: passages that stand earlier in the corpus are cut out; n_chars follows the text. A document may end up empty; its row stays.
 4. mixing: documents are repeated, or left out, to meet the sources' weights, and shuffled.
 5. bpe: every text is encoded; ids and decoded bytes are given as digests.
@@ -15,7 +15,7 @@ Empty tables, null and empty texts go through as the operators' docstrings say;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm import bpe, jaccard, mixing, quality, repeats
@@ -27,9 +27,19 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(quality.score(F.col("text"), model) >= quality.THRESHOLD)
 
 
+def column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard.jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(linked, "doc_id", "left_anti").select(docs.columns)
+    whole = F.struct(*[column(c) for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole.alias("row"))
+    kept = jaccard.survivors(rows).toDF("kept_id", "kept_hash")
+    named = rows.select("doc_id", F.xxhash64("text").alias("hash"), "row").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    # Rows equal in both are combined per task first, so that no task needs all copies of a row.
+    one = named.groupBy("kept_id", "kept_hash").agg(F.min_by("row", F.xxhash64(F.col("row").cast("string"))).alias("row"))
+    blank = rows.where(~F.coalesce(F.col("text").rlike(r"[^\x09-\x0d\x20]"), F.lit(False)))
+    return one.select("row").unionByName(blank.select("row")).select("row.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

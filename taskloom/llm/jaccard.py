@@ -174,12 +174,12 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of doc_id and text."""
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each row of doc_id and text: doc_id, hash (of the text), n (of shingles) and cls; and for each class cls, least (doc_id), rep (doc_id and hash of a row) and root, the same for all classes that are linked."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     measured = F.pandas_udf(measure, "n long, cls long, parity array<long>, common array<struct<s:long,c:long>>")
     sizes = written(docs.select("doc_id", F.xxhash64("text").alias("hash"), measured("text").alias("d")).select("doc_id", "hash", "d.*"), "jaccard-sizes")
-    rep = F.min(F.struct("doc_id", "hash")).alias("rep")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("rep")
     grouped = sizes.where("n > 0").groupBy("cls").agg(rep, F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     classes = written(grouped, "jaccard-classes")
     grams = prefixes(docs, sizes.where("common IS NOT NULL").select(F.explode("common").alias("x")).select("x.*"))
@@ -207,11 +207,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = links.unionByName(similar(second, sets.join(ends(second), "cls", "left_semi")))
 
     roots = components(links)
-    told = classes.select("cls", "least").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    told = classes.select("cls", "least", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", "rep", F.coalesce("root", "cls").alias("root"))
+    return sizes.select("doc_id", "hash", "n", "cls"), told
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of doc_id and text."""
+    sizes, told = linked(docs)
     told = told.join(told.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
-    out = sizes.select("doc_id", "n", "cls").join(told, "cls", "left")
+    out = sizes.join(told, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def survivors(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash): of each group of linked rows, the least doc_id (nulls last), then the least hash of the text. Rows without shingles are in no group."""
+    return linked(docs)[1].groupBy("root").agg(F.min("rep").alias("rep")).select("rep.doc_id", "rep.hash")
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -223,3 +223,17 @@ def test_pipeline_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             now = common.written(stage(spark, now, SF), name)
         assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    """Rows without a doc_id, repeated rows, and rows that share a doc_id but not a text."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(None, text("a"), "en", "src0", 1)] * 3 + [(5, text("b"), "en", "src0", 1)] * 2 + [(None, text("b"), "en", "src0", 1), (9, text("b") + " end", "de", None, 2)]
+    rows += [(7, text("c"), "en", "src1", 1), (7, text("d"), "en", "src1", 1), (3, text("c"), "fr", "src1", 1), (4, text("e"), "en", "s", 1), (4, text("e"), "en", "t", 1)]
+    rows += [(None, None, "en", "src0", 0)] * 2 + [(8, " \n", "en", "src0", 2)] * 2
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, docs, SF).collect()), key=str)
+    want = [(None, text("a")), (5, text("b")), (3, text("c")), (7, text("d")), (4, text("e")), (None, None), (None, None), (8, " \n"), (8, " \n")]
+    assert got == sorted(want, key=str)
+    assert corpus_pipeline.distinct(spark, docs, SF).columns == docs.columns
