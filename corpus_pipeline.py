@@ -10,7 +10,8 @@ the encoded documents. `run` writes each stage's rows as Parquet to the shared f
 4. mixing: documents are repeated, or left out, to meet the sources' weights, and shuffled.
 5. bpe: every text is encoded; ids and decoded bytes are given as digests.
 
-Empty tables, null and empty texts go through as the operators' docstrings say; extra columns are kept up to the last stage.
+Empty tables, null and empty texts go through as the operators' docstrings say; extra columns are kept up to the last stage,
+whatever their names: past an operator that has columns of its own, they travel in one struct.
 """
 
 from __future__ import annotations
@@ -31,6 +32,16 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def carried(docs: DataFrame, *read: str) -> DataFrame:
+    """The columns that an operator reads, and all others in one."""
+    others = [column(c) for c in docs.columns if c not in read]
+    return docs.select(*read, (F.struct(*others) if others else F.lit(None)).alias("row"))
+
+
+def restored(docs: DataFrame, columns: list[str], *read: str) -> DataFrame:
+    return docs.select(*[F.col(c) if c in read else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = F.struct(*[column(c) for c in docs.columns])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole.alias("row"))
@@ -43,13 +54,17 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = repeats.without_repeats(docs)
-    counted = F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return (left if counted is None else left.withColumn("n_chars", counted)).select(docs.columns)
+    read = "doc_id", "text"
+    left = restored(repeats.without_repeats(carried(docs, *read)), docs.columns, *read)
+    if "n_chars" not in docs.columns:
+        return left
+    counted = F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return left.withColumn("n_chars", counted)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(docs.columns)
+    read = "doc_id", "text", "source"
+    return restored(mixing.mix(carried(docs, *read)), docs.columns, *read)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,3 +237,15 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
     want = [(None, text("a")), (5, text("b")), (3, text("c")), (7, text("d")), (4, text("e")), (None, None), (None, None), (8, " \n"), (8, " \n")]
     assert got == sorted(want, key=str)
     assert corpus_pipeline.distinct(spark, docs, SF).columns == docs.columns
+
+
+def test_pipeline_with_columns_named_as_inside(spark):
+    names = ["d", "h", "spans", "mix_copy", "mix_order", "mix_group", "mix_key", "mix_cdf", "mix_n", "row", "hash", "cls", "rep", "root", "kept_id", "kept_hash", "x.y"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    now = docs.select("*", *[F.concat(F.lit(name), F.col("doc_id")).alias(name) for name in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now, common.written(stage(spark, now, SF), name)
+        assert now.dtypes == before.dtypes
+    rows = now.collect()
+    assert rows and all(r[name] == f"{name}{r.doc_id}" for r in rows for name in names)
+    assert corpus_pipeline.encoded(spark, now, SF).count() == len(rows)
