@@ -36,6 +36,18 @@ def group_of(weights: Mapping[str, float]) -> Column:
     return F.when(F.col("source").cast("string").isin(*weights), F.col("source").cast("string")).otherwise(F.lit(""))
 
 
+def attained(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, rest: float = REST, max_rate: float = MAX_RATE) -> DataFrame:
+    """(mix_group, wanted, attained): each group's part of the mix by its weight, and as expected with the rates that `max_rate` leaves."""
+    share = F.create_map(*[F.lit(x) for pair in [*weights.items(), ("", rest)] for x in pair])
+    size = F.coalesce(F.length("text"), F.lit(0)) + 1
+    # At most len(weights) + 1 rows, so the window is small.
+    every = Window.partitionBy()
+    sizes = docs.select(group_of(weights).alias("mix_group"), size.alias("size")).groupBy("mix_group").agg(F.sum("size").alias("size"))
+    wanted = sizes.withColumn("w", share[F.col("mix_group")].cast("double")).withColumn("wanted", F.col("w") / F.sum("w").over(every))
+    given = wanted.withColumn("given", F.least(F.lit(max_rate) * F.col("size"), F.col("wanted") * F.sum("size").over(every)))
+    return given.select("mix_group", "wanted", (F.col("given") / F.sum("given").over(every)).alias("attained"))
+
+
 def distributions(docs: DataFrame, weights: Mapping[str, float], rest: float, max_rate: float) -> DataFrame:
     """(mix_group, mix_cdf): mix_cdf[k] is the probability of at most k copies."""
     share = F.create_map(*[F.lit(x) for pair in [*weights.items(), ("", rest)] for x in pair])

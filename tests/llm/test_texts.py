@@ -242,6 +242,14 @@ def test_mixing(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_attained_weights(spark):
+    docs = frame(spark, [(1, "x" * 9), (2, "y" * 89)])
+    free = {r.mix_group: (r.wanted, r.attained) for r in mixing.attained(docs, {"src1": 3.0, "src2": 1.0}, 0.0, 1000.0).collect()}
+    assert free == {"src1": (0.75, pytest.approx(0.75)), "src2": (0.25, pytest.approx(0.25))}
+    capped = {r.mix_group: r.attained for r in mixing.attained(docs, {"src1": 3.0, "src2": 1.0}, 0.0, 2.0).collect()}
+    assert capped == {"src1": pytest.approx(20 / 45), "src2": pytest.approx(25 / 45)}
+
+
 def test_poisson_counts(spark):
     rates = mixing.distributions(frame(spark, [(1, "x" * 9), (2, "y")]), {"src1": 3.0, "src2": 1.0}, 0.0, 1000.0).collect()
     cdf = {r.mix_group: r.mix_cdf for r in rates}
