@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskloom.llm import bpe, chat, jaccard, lm_scores, mixing, near_vectors, quality, repeats, top_k, warc
+from taskloom.llm import bpe, chat, jaccard, lm_scores, merkle, mixing, near_vectors, quality, repeats, top_k, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_chat": chat.op10_chat,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op5_lm_scores_order3": lm_scores.SQL_ORDER3,
     "op6_top_k": top_k.SQL,
     "op7_warc": warc.SQL,
+    "op11_merkle": merkle.SQL,
 }
