@@ -41,10 +41,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, so it has an inverse; 3 modulo 8
 _CHUNK = 1 << 19
 
 
-def _letters() -> np.ndarray:
-    """A random-looking word for each byte, the same for A-Z and a-z."""
-    out = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out[65:91] = out[97:123]
+def letter_words(seed: int, fold: bool) -> np.ndarray:
+    """A random-looking word for each byte; with `fold`, the same for A-Z and a-z."""
+    out = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed))
+    if fold:
+        out[65:91] = out[97:123]
     return out
 
 
@@ -57,11 +58,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_LETTER = _letters()
+_LETTER = letter_words(0x9E3779B97F4A7C15, True)
 _POWER, _INVERSE = powers(_CHUNK + 1)
 
 
-def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(raw: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash and the start of every word: a polynomial in its letters, from sums over all bytes before its ends."""
     global _POWER, _INVERSE
     if len(raw) >= len(_POWER):
@@ -70,18 +71,18 @@ def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     edge = np.concatenate([[True], _BLANK[letters], [True]])
     starts, ends = np.flatnonzero(edge[:-1] & ~edge[1:]), np.flatnonzero(~edge[:-1] & edge[1:])
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_LETTER[letters] * _POWER[: len(raw)], out=sums[1:])
+    np.cumsum(table[letters] * _POWER[: len(raw)], out=sums[1:])
     # `edge` is one place ahead of `letters`.
     return mixed((sums[ends] - sums[starts]) * _INVERSE[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    """For each text, the 64-bit hashes of its words in order; words are as in `words`."""
+def word_hashes(texts: Iterable[str | None], table: np.ndarray = _LETTER) -> Iterator[np.ndarray]:
+    """For each text, the 64-bit hashes of its words in order; words are as in `words`, or case counts if the table of letters tells it."""
     held: list[bytes] = []
     size = 0
 
     def flush() -> Iterator[np.ndarray]:
-        hashes, starts = _hashed(b" ".join(held))
+        hashes, starts = _hashed(b" ".join(held), table)
         at = np.cumsum([len(x) + 1 for x in held])
         yield from np.split(hashes, np.searchsorted(starts, at[:-1]))
 
@@ -99,13 +100,22 @@ def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
             # A long text is cut at a blank; only a word longer than a chunk makes a longer part.
             found = re.compile(rb"[ \t\n\r\v\f]").search(raw, start + _CHUNK // 2)
             end = found.start() if found else len(raw)
-            parts.append(_hashed(raw[start:end])[0])
+            parts.append(_hashed(raw[start:end], table)[0])
             start = end
         yield np.concatenate(parts)
     if held:
         yield from flush()
 
 
+def runs_of(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the run of `width` words that starts at each place, as far as there are so many."""
+    n = max(0, len(hashes) - width + 1)
+    out = hashes[:n].copy()
+    for i in range(1, width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    return mixed(out + np.uint64(width))
+
+
 def shingle_sets(texts: Iterable[str | None], width: int = 5) -> Iterator[np.ndarray]:
     """For each text, the sorted distinct hashes of its runs of `width` words; a shorter text is one run; no words, none."""
     for hashes in word_hashes(texts):

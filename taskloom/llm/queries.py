@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskloom.llm import bpe, chat, jaccard, lm_scores, merkle, mixing, near_vectors, quality, repeats, top_k, warc
+from taskloom.llm import bpe, chat, jaccard, lm_scores, merkle, mixing, near_vectors, passages, quality, repeats, top_k, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_chat": chat.op10_chat,
     "op11_merkle": merkle.op11_merkle,
+    "op12_passages": passages.op12_passages,
 }
 
 ORACLE = {
@@ -26,4 +27,5 @@ ORACLE = {
     "op6_top_k": top_k.SQL,
     "op7_warc": warc.SQL,
     "op11_merkle": merkle.SQL,
+    "op12_passages": passages.SQL,
 }
