@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskloom.llm import bpe, chat, jaccard, lm_scores, merkle, mixing, near_vectors, passages, quality, repeats, top_k, warc
+from taskloom.llm import bpe, chat, collocations, jaccard, lm_scores, merkle, mixing, near_vectors, passages, quality, repeats, top_k, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
     "op11_merkle": merkle.op11_merkle,
     "op12_passages": passages.op12_passages,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE = {
@@ -28,4 +29,5 @@ ORACLE = {
     "op7_warc": warc.SQL,
     "op11_merkle": merkle.SQL,
     "op12_passages": passages.SQL,
+    "op13_collocations": collocations.SQL,
 }
