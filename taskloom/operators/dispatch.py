@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskloom.functions.times import instant
-from taskloom.operators.ordered import HOT_ROWS, OrderedScan
+from taskloom.operators.ordered import HOUR_S, bounded_level, by_time, ordered_scan, row_number
 from taskloom.schema import DLQ_PAGE_DEFAULT, DLQ_PAGE_MAX
-from taskloom.session import broadcast_checked
 
 URGENCY = ["priority", "created_at", "task_id"]
 
@@ -28,9 +27,10 @@ def delayed_filter(tasks: DataFrame, as_of: str) -> DataFrame:
     return tasks.filter((F.col("created_at") <= now) & (F.col("execute_after") > now))
 
 
-def dispatch_order(ready: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Position of each ready task in its queue."""
-    return OrderedScan(ready, ["queue_name"], URGENCY, hot_rows).row_number("position").result()
+def dispatch_order(ready: DataFrame, chunk_s: int = 24 * HOUR_S) -> DataFrame:
+    """Position of each ready task in its queue. A chunk is a priority and a time of creation."""
+    chunk = [F.col("priority"), *by_time("created_at", chunk_s)]
+    return ordered_scan(ready, ["queue_name"], URGENCY, chunk, [row_number("position")])
 
 
 def next_k(ready: DataFrame, k: int) -> DataFrame:
@@ -62,20 +62,34 @@ def promote_delayed(backlog: DataFrame, as_of: str) -> DataFrame:
 
 
 def capacity_admission(
-    arrivals: DataFrame, depth: DataFrame, max_size: int, hot_rows: int = HOT_ROWS
+    arrivals: DataFrame, depth: DataFrame, max_size: int, chunk_s: int = 24 * HOUR_S
 ) -> DataFrame:
     """Accept arrivals in order while the queue has room; ``depth`` has one row per queue."""
-    numbered = OrderedScan(arrivals, ["queue_name"], ["created_at", "task_id"], hot_rows).row_number("arrival")
-    current = broadcast_checked(depth.select("queue_name", F.col("queue_size").alias("depth")))
+    order = ["created_at", "task_id"]
+    numbered = ordered_scan(arrivals, ["queue_name"], order, by_time("created_at", chunk_s), [row_number("arrival")])
+    current = depth.select("queue_name", F.col("queue_size").alias("depth"))
     size_then = F.coalesce("depth", F.lit(0)) + F.col("arrival")
     return (
-        numbered.result()
-        .join(current, "queue_name", "left")
+        numbered.join(current, "queue_name", "left")
         .withColumn("depth", F.coalesce("depth", F.lit(0)))
         .withColumn("accepted", size_then <= max_size)
     )
 
 
+def admission_log(
+    events: DataFrame, max_size: int, arrival: str = "submitted", departure: str = "started", chunk_s: int = HOUR_S
+) -> DataFrame:
+    """Admission while tasks leave: an arrival is accepted if its queue has room then. A rejected one takes no room, a departure
+    frees some (never more than there is), so the level is clamped on both sides."""
+    moves = events.filter(F.col("kind").isin(arrival, departure))
+    change = F.when(F.col("kind") == arrival, 1).otherwise(-1)
+    rows = bounded_level(
+        moves, ["queue_name"], ["ts", "event_id"], by_time("ts", chunk_s), change, F.lit(0), "depth", 0, max_size
+    )
+    accepted = F.when(F.col("kind") == arrival, F.col("depth_before") < max_size)
+    return rows.withColumn("accepted", accepted)
+
+
 def detail_lookup(ids: DataFrame, details: DataFrame) -> DataFrame:
     """Details of the listed ids; ids without details are dropped, repeated ids count once."""
     return details.join(ids.select("task_id").distinct(), "task_id", "left_semi")

@@ -6,7 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.functions.times import instant, plus_seconds, seconds_between
-from taskloom.operators.ordered import HOT_ROWS, OrderedScan
+from taskloom.operators.ordered import (
+    HOUR_S,
+    by_number,
+    by_time,
+    following,
+    last_seen,
+    ordered_scan,
+    running_sum,
+    seen_before,
+    sum_since,
+)
 from taskloom.schema import (
     LEASE_EXTENSION_S,
     LEASE_NEAR_EXPIRY,
@@ -132,7 +142,7 @@ def lease_stats(leases: DataFrame, as_of: str) -> DataFrame:
 
 
 def lease_sessions(
-    events: DataFrame, as_of: str, extension_s: float = LEASE_EXTENSION_S, hot_rows: int = HOT_ROWS
+    events: DataFrame, as_of: str, extension_s: float = LEASE_EXTENSION_S, chunk_s: int = 7 * 24 * HOUR_S
 ) -> DataFrame:
     """One row per lease: a start opens it, the owner's extensions push the deadline, a finish or the next
     start ends it. The effective deadline is the first one that passed before the next event, if any did."""
@@ -141,25 +151,24 @@ def lease_sessions(
         (F.col("ts") <= now) & F.col("kind").isin("started", "extended", "completed", "failed")
     )
     started = F.col("kind") == "started"
-    finish = F.col("kind").isin("completed", "failed").cast("long")
-    scan = OrderedScan(log, ["task_id"], ["ts", "event_id"], hot_rows)
-    scan.running_sum({"lease_no": started.cast("long"), "finishes": finish})
-    scan.last_seen(
-        {
-            "owner": F.when(started, F.col("worker_id")),
-            "opened_at": F.when(started, F.col("ts")),
-            "allowed_s": F.when(started, timeout_or_default(F.col("timeout_s"))),
-            "finishes_at_open": F.when(started, F.col("finishes")),
-        }
-    )
-    is_open = F.col("finishes") - finish == F.col("finishes_at_open")
+    order, chunk = ["ts", "event_id"], by_time("ts", chunk_s)
+    opening = {
+        "owner": F.col("worker_id"),
+        "opened_at": F.col("ts"),
+        "allowed_s": timeout_or_default(F.col("timeout_s")),
+    }
+    measures = [last_seen(n, F.when(started, c), order) for n, c in opening.items()]
+    measures.append(running_sum("lease_no", started.cast("long")))
+    measures.append(seen_before("move_before", F.when(F.col("kind") != "extended", F.col("kind")), order))
+    rows = ordered_scan(log, ["task_id"], order, chunk, measures).filter(F.col("lease_no") > 0)
+    is_open = started | (F.col("move_before") == "started")
     extends = (F.col("kind") == "extended") & is_open & (F.col("worker_id") == F.col("owner"))
-    scan.map({"is_open": is_open, "extends": F.coalesce(extends, F.lit(False)).cast("long")})
-    scan.running_sum({"extensions": F.col("extends")})
-    scan.last_seen({"extensions_at_open": F.when(started, F.col("extensions"))})
-    before = F.col("extensions") - F.col("extends") - F.col("extensions_at_open")
+    rows = rows.withColumns({"is_open": is_open, "extends": F.coalesce(extends, F.lit(False)).cast("long")})
+    granted = sum_since("granted", F.col("extends"), started, order)
+    rows = ordered_scan(rows, ["task_id"], order, chunk, [granted])
+    before = F.col("granted") - F.col("extends")
     deadline_then = plus_seconds(F.col("opened_at"), F.col("allowed_s") + before * extension_s)
-    rows = scan.map({"deadline_then": deadline_then}).result().filter(F.col("lease_no") > 0)
+    rows = rows.withColumn("deadline_then", deadline_then)
     passed = F.col("is_open") & (F.col("kind") != "started") & (F.col("ts") > F.col("deadline_then"))
     leases = rows.groupBy("task_id", "lease_no").agg(
         F.max("opened_at").alias("lease_time"),
@@ -171,9 +180,8 @@ def lease_sessions(
             "finished_at"
         ),
     )
-    chain = OrderedScan(leases, ["task_id"], ["lease_no"], hot_rows, probe=log).following(
-        {"next_open": F.col("lease_time")}
-    )
+    next_open = following("next_open", F.col("lease_time"), ["lease_no"])
+    chain = ordered_scan(leases, ["task_id"], ["lease_no"], by_number("lease_no"), [next_open])
     last_deadline = plus_seconds(
         F.col("lease_time"), F.col("allowed_s") + F.col("extensions") * extension_s
     )
@@ -181,7 +189,7 @@ def lease_sessions(
     expired_at = F.coalesce(
         F.col("missed"), F.when(F.coalesce(ended, now) > last_deadline, last_deadline)
     )
-    return chain.result().select(
+    return chain.select(
         "task_id",
         "lease_no",
         "worker_id",

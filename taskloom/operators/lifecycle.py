@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from taskloom.functions.retry import backoff_seconds, is_dead
 from taskloom.functions.times import instant, plus_seconds, seconds_between
-from taskloom.operators.ordered import HOT_ROWS, OrderedScan
+from taskloom.operators.ordered import (
+    HOUR_S,
+    NUMBERS,
+    by_number,
+    by_time,
+    following,
+    ordered_scan,
+    running_sum,
+    seen_before,
+)
 from taskloom.schema import BACKOFF_BASE
 
 
@@ -25,7 +34,7 @@ def attempts_known(attempts: DataFrame, as_of: str) -> DataFrame:
 
 
 def retry_plan(
-    attempts: DataFrame, tasks: DataFrame, base: float = BACKOFF_BASE, hot_rows: int = HOT_ROWS
+    attempts: DataFrame, tasks: DataFrame, base: float = BACKOFF_BASE, chunk: int = NUMBERS
 ) -> DataFrame:
     """What each attempt leads to: completed, retry with a back-off, dead, running, or ignored.
 
@@ -34,9 +43,8 @@ def retry_plan(
     rows = attempts.join(tasks.select("task_id", "queue_name", "max_retries"), "task_id")
     failed = (F.col("outcome") == "failed").cast("long")
     completed = (F.col("outcome") == "completed").cast("long")
-    scan = OrderedScan(rows, ["task_id"], ["attempt_no"], hot_rows, probe=attempts).running_sum(
-        {"retry_count": failed, "completions": completed}
-    )
+    counts = [running_sum("retry_count", failed), running_sum("completions", completed)]
+    scanned = ordered_scan(rows, ["task_id"], ["attempt_no"], by_number("attempt_no", chunk), counts)
     failures = F.col("retry_count")
     gone = (F.col("completions") - completed > 0) | (
         failures - failed >= F.greatest(F.col("max_retries"), F.lit(1))
@@ -49,8 +57,7 @@ def retry_plan(
     )
     retried = F.col("disposition") == "retry"
     return (
-        scan.map({"disposition": disposition})
-        .result()
+        scanned.withColumn("disposition", disposition)
         .drop("completions")
         .withColumn("backoff_s", F.when(retried, backoff_seconds(failures, base)))
         .withColumn("next_execute_after", plus_seconds(F.col("finished_at"), F.col("backoff_s")))
@@ -74,12 +81,12 @@ def derive_state(
 
 
 def task_states(
-    tasks: DataFrame, attempts: DataFrame, as_of: str, hot_rows: int = HOT_ROWS
+    tasks: DataFrame, attempts: DataFrame, as_of: str, chunk: int = NUMBERS
 ) -> DataFrame:
     """One row per task created by ``as_of`` with its state, retry count and next due time."""
     now = instant(tasks, "created_at", as_of)
     existing = tasks.filter(F.col("created_at") <= now)
-    plan = retry_plan(attempts_known(attempts, as_of), existing, hot_rows=hot_rows)
+    plan = retry_plan(attempts_known(attempts, as_of), existing, chunk=chunk)
     kind = F.col("disposition")
     history = plan.groupBy("task_id").agg(
         F.min(F.when(kind == "completed", F.col("finished_at"))).alias("completed_at"),
@@ -120,7 +127,11 @@ def current_events(events: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def transition_audit(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+# A task has few events, so its chunks are wide.
+TASK_CHUNK_S = 7 * 24 * HOUR_S
+
+
+def transition_audit(events: DataFrame, chunk_s: int = TASK_CHUNK_S) -> DataFrame:
     """Each event with the task's state before it and a verdict on the move. An extension changes no state."""
     kind, before = F.col("kind"), F.col("state_before")
     is_open = F.coalesce(before == "started", F.lit(False))
@@ -133,14 +144,9 @@ def transition_audit(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         .when(kind.isin("completed", "failed") & ~is_open, "finished_without_start")
         .otherwise("ok")
     )
-    return (
-        OrderedScan(events, ["task_id"], ["ts", "event_id"], hot_rows)
-        .last_seen({"_state": F.when(kind != "extended", kind)})
-        .previous({"state_before": F.col("_state")})
-        .map({"verdict": verdict})
-        .result()
-        .drop("_state")
-    )
+    order = ["ts", "event_id"]
+    state = seen_before("state_before", F.when(kind != "extended", kind), order)
+    return ordered_scan(events, ["task_id"], order, by_time("ts", chunk_s), [state]).withColumn("verdict", verdict)
 
 
 def apply_completions(processing: DataFrame, completions: DataFrame) -> DataFrame:
@@ -153,15 +159,15 @@ def apply_completions(processing: DataFrame, completions: DataFrame) -> DataFram
     return processing.join(done, "task_id", "left").withColumn("disposition", disposition).drop("_done")
 
 
-def event_attempts(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def event_attempts(events: DataFrame, chunk_s: int = TASK_CHUNK_S) -> DataFrame:
     """Pair each start in an event log with the task's next event, if that is a completion or a failure."""
     moves = events.filter(F.col("kind").isin("started", "completed", "failed"))
-    scan = OrderedScan(moves, ["task_id"], ["ts", "event_id"], hot_rows)
-    scan.running_sum({"attempt_no": (F.col("kind") == "started").cast("long")})
-    scan.following({"_next": F.struct("kind", "ts")})
+    order = ["ts", "event_id"]
+    number = running_sum("attempt_no", (F.col("kind") == "started").cast("long"))
+    after = following("_next", F.struct("kind", "ts"), order)
     ended = F.col("_next.kind") != "started"
     return (
-        scan.result()
+        ordered_scan(moves, ["task_id"], order, by_time("ts", chunk_s), [number, after])
         .filter(F.col("kind") == "started")
         .select(
             "task_id",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from taskloom.functions.text import shorten
 from taskloom.functions.times import instant, plus_seconds, seconds_between
-from taskloom.operators.ordered import HOT_ROWS, OrderedScan
+from taskloom.operators.ordered import HOUR_S, by_time, ordered_scan, running_level
+from taskloom.operators.ranks import GROUP, ranked_values
 from taskloom.schema import (
     ERROR_TEXT_KEPT,
     ERROR_TEXT_SHOWN,
@@ -15,7 +16,6 @@ from taskloom.schema import (
     LATENCY_BUCKETS,
     RATE_WINDOW_S,
 )
-from taskloom.session import broadcast_checked, materialise
 
 
 def in_window(events: DataFrame, as_of: str, window_s: float, ts: str = "ts") -> DataFrame:
@@ -85,48 +85,26 @@ def queue_size(states: DataFrame) -> DataFrame:
     )
 
 
-def metric_summary(
-    samples: DataFrame, keys: list[str], value: Column, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def metric_summary(samples: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """Count, sum, min, max, avg and p50, p95, p99 per key; no samples give no row.
 
     The percentile is the value of 1-based rank floor(n * p) + 1. Equal values are counted first (combined
-    map-side), and the running count over the distinct values finds the ranks for groups of any size.
+    map-side); the ranks are then selected by the bits of the values, for groups of any size.
     """
-    keys = list(keys) or ["_all"]
-    grouped = samples.withColumn("_all", F.lit(0)) if keys == ["_all"] else samples
-    distinct = (
-        grouped.select(*keys, value.cast("double").alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy(*keys, "v")
-        .agg(F.count("*").alias("c"))
-    )
-    # Read three times below: for its size, for the ranks and for the group sizes.
-    distinct = materialise(distinct)
-    ranked = OrderedScan(distinct, keys, ["v"], hot_rows).running_sum({"upto": F.col("c")}).result()
-    sizes = distinct.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("c").alias("n"))
-    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    joined = ranked.join(broadcast_checked(sizes), match)
-
-    def rank_value(share: float) -> Column:
-        rank = F.floor(F.col("n") * F.lit(share)) + 1
-        return F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col("v")))
-
+    rows = samples.select(F.struct(*keys, F.lit(0).alias("_all")).alias(GROUP), value.cast("double").alias("v"))
+    counted = rows.filter(F.col("v").isNotNull()).groupBy(GROUP, "v").agg(F.count("*").alias("c"))
     total = F.sum(F.col("v") * F.col("c"))
-    return (
-        joined.groupBy(*keys)
-        .agg(
-            F.max("n").alias("count"),
-            total.alias("sum"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-            (total / F.max("n")).alias("avg"),
-            rank_value(0.5).alias("p50"),
-            rank_value(0.95).alias("p95"),
-            rank_value(0.99).alias("p99"),
-        )
-        .drop("_all")
+    summary = counted.groupBy(GROUP).agg(
+        F.sum("c").alias("count"),
+        total.alias("sum"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+        (total / F.sum("c")).alias("avg"),
     )
+    ranks = {f"p{round(share * 100)}": F.floor(F.col("n") * F.lit(share)) + 1 for share in (0.5, 0.95, 0.99)}
+    whole = summary.join(ranked_values(counted, ranks), GROUP)
+    measured = ["count", "sum", "min", "max", "avg", *ranks]
+    return whole.select(*[F.col(GROUP)[k].alias(k) for k in keys], *measured)
 
 
 def latency_histogram(samples: DataFrame, metrics: dict[str, Column]) -> DataFrame:
@@ -175,12 +153,12 @@ def change_of(changes: dict[str, int]) -> Column:
 
 
 def clamped_timeline(
-    events: DataFrame, changes: dict[str, int], name: str, keys: list[str], hot_rows: int = HOT_ROWS
+    events: DataFrame, changes: dict[str, int], name: str, keys: list[str], chunk_s: int = HOUR_S
 ) -> DataFrame:
     """A level after each event that never falls below 0."""
     moves = events.filter(F.col("kind").isin(list(changes)))
-    scan = OrderedScan(moves, keys, ["ts", "event_id"], hot_rows)
-    return scan.running_level(name, change_of(changes)).result()
+    level = running_level(name, change_of(changes))
+    return ordered_scan(moves, keys, ["ts", "event_id"], by_time("ts", chunk_s), [level])
 
 
 # How each event moves the queue depth and the number of active tasks.

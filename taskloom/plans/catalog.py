@@ -572,6 +572,13 @@ def capacity_admission(spark, sf_dir):
     return rows.select("task_id", "queue_name", "arrival", "depth", "accepted")
 
 
+@query
+def admission_log(spark, sf_dir):
+    """Arrivals of the event log against queues of 40 places that starts make room in."""
+    rows = dispatch.admission_log(views.task_events(spark, sf_dir), max_size=40)
+    return rows.select("event_id", "queue_name", "kind", "depth_before", "depth", "accepted")
+
+
 @query
 def lease_effective_deadline(spark, sf_dir):
     return sessions_of(spark, sf_dir)

@@ -857,6 +857,23 @@ FROM (SELECT task_id, queue_name, row_number() OVER (PARTITION BY queue_name ORD
 LEFT JOIN (SELECT queue_name, count(*) AS depth FROM states WHERE state IN ('pending', 'delayed') GROUP BY queue_name) d
   ON a.queue_name = d.queue_name""",
 )
+# Row by row: each step of the recursion is the next event of every queue.
+oracle(
+    "admission_log",
+    ["ev"],
+    """
+SELECT event_id, queue_name, kind, depth_before, depth, CASE WHEN kind = 'submitted' THEN depth_before < 40 END AS accepted FROM (
+  WITH RECURSIVE moves AS (
+    SELECT event_id, queue_name, kind, row_number() OVER (PARTITION BY queue_name ORDER BY ts, event_id) AS n
+    FROM ev WHERE kind IN ('submitted', 'started')),
+  replay AS (
+    SELECT 0::BIGINT AS event_id, queue_name, '' AS kind, 0::BIGINT AS n, 0 AS depth_before, 0 AS depth FROM (SELECT DISTINCT queue_name FROM moves)
+    UNION ALL
+    SELECT m.event_id, m.queue_name, m.kind, m.n, r.depth,
+           CASE WHEN m.kind = 'submitted' THEN least(40, r.depth + 1) ELSE greatest(0, r.depth - 1) END
+    FROM replay r JOIN moves m ON m.queue_name = r.queue_name AND m.n = r.n + 1)
+  SELECT * FROM replay WHERE n > 0) x""",
+)
 oracle(
     "next_k_tasks",
     ["ready"],

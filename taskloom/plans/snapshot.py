@@ -17,18 +17,16 @@ from taskloom.operators.metrics import (
     positive,
     success_rate,
 )
-from taskloom.operators.ordered import OrderedScan
+from taskloom.operators.ordered import by_time, ordered_scan, running_level
 from taskloom.schema import ERRORS_IN_SNAPSHOT, METRIC_WINDOW_S, RATE_WINDOW_S
 
 
 def last_levels(events: DataFrame) -> DataFrame:
     """Queue depth and active tasks after each queue's last event, added over the queues; one scan for both."""
     moves = events.filter(F.col("kind").isin(list({**DEPTH_CHANGES, **ACTIVE_CHANGES})))
-    scan = OrderedScan(moves, ["queue_name"], ["ts", "event_id"])
-    scan.running_level("queue_depth", change_of(DEPTH_CHANGES))
-    scan.running_level("active_tasks", change_of(ACTIVE_CHANGES))
+    measures = [running_level("queue_depth", change_of(DEPTH_CHANGES)), running_level("active_tasks", change_of(ACTIVE_CHANGES))]
     levels = ["queue_depth", "active_tasks"]
-    latest = scan.result().groupBy("queue_name").agg(
+    latest = ordered_scan(moves, ["queue_name"], ["ts", "event_id"], by_time("ts"), measures).groupBy("queue_name").agg(
         F.max_by(F.struct(*levels), F.struct("ts", "event_id")).alias("latest")
     )
     return latest.agg(*[F.coalesce(F.sum(f"latest.{c}"), F.lit(0)).alias(c) for c in levels])

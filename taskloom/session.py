@@ -8,10 +8,6 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows of a few narrow columns that every executor can hold.
-BROADCAST_ROWS = 200_000
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -78,9 +74,3 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Written out, counted, and marked for broadcast only when small; else it joins by key."""
-    written = materialise(df)
-    return F.broadcast(written) if written.count() <= max_rows else written

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.functions.times import instant, plus_seconds
-from taskloom.operators.ordered import HOT_ROWS, OrderedScan
+from taskloom.operators.ordered import HOUR_S, by_time, ordered_scan, row_number
 
 # Handler kinds by task type; MACHINERY has no handler on purpose.
 HANDLERS = [
@@ -75,7 +75,7 @@ def tasks(spark: SparkSession, sf_dir: str, with_payload: bool = True) -> DataFr
 
 
 def attempts(
-    spark: SparkSession, sf_dir: str, until: str | None = None, hot_rows: int = HOT_ROWS
+    spark: SparkSession, sf_dir: str, until: str | None = None, chunk_s: int = 366 * 24 * HOUR_S
 ) -> DataFrame:
     """One row per attempt, numbered per task. Numbers follow the start, so ``until`` can cut at the scan."""
     failed = F.col("l_returnflag") == "R"
@@ -93,7 +93,7 @@ def attempts(
         "l_returnflag",
     )
     order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
-    numbered = OrderedScan(rows, ["task_id"], order, hot_rows).row_number("attempt_no").result()
+    numbered = ordered_scan(rows, ["task_id"], order, by_time("l_shipdate", chunk_s), [row_number("attempt_no")])
     return numbered.select(
         "task_id",
         "attempt_no",

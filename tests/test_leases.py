@@ -112,14 +112,14 @@ def replay(rows, now, extension=300):
     return {(r["task"], r["no"]): (r["worker"], r["deadline"], r["ended"], r["expired"]) for r in out}
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 20])
+@pytest.mark.parametrize("chunk_s", [604800, 15])
 @pytest.mark.parametrize("seed", [3, 4])
-def test_sessions_against_replay(spark, seed, hot_rows):
+def test_sessions_against_replay(spark, seed, chunk_s):
     rows = random_log(seed)
     now = rows[-1][4] + 50
     df = spark.createDataFrame(rows, "event_id INT, task_id STRING, kind STRING, worker_id STRING, s INT, timeout_s INT")
     df = df.withColumn("ts", at(F.col("s")))
-    out = leases.lease_sessions(df, clock(now), hot_rows=hot_rows)
+    out = leases.lease_sessions(df, clock(now), chunk_s=chunk_s)
 
     def secs(name):
         return (F.unix_micros(F.col(name).cast("timestamp")) - F.unix_micros(F.lit(BASE).cast("timestamp"))) / 1e6

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taskloom.functions.text import fixed, format_duration, format_number, shorten
-from taskloom.operators import health, metrics, rolling
+from taskloom.operators import health, metrics, ranks, rolling
 from taskloom.plans import snapshot
 
 
@@ -25,17 +25,40 @@ def test_percentile_ranks(spark, n):
     assert (row["count"], row["sum"], row["min"], row["max"]) == (n, sum(range(n)), 0, n - 1)
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 10])
-def test_percentiles_with_repeats_and_groups(spark, hot_rows):
+def test_percentiles_with_repeats_and_groups(spark):
     rng = random.Random(5)
     rows = [(rng.choice("abc"), float(rng.randrange(60))) for _ in range(1000)]
     df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
-    for r in metrics.metric_summary(df, ["k"], F.col("v"), hot_rows).collect():
+    for r in metrics.metric_summary(df, ["k"], F.col("v")).collect():
         assert (r.p50, r.p95, r.p99) == rank_rule([v for k, v in rows if k == r.k])
-    whole = metrics.metric_summary(df, [], F.col("v"), hot_rows).first()
+    whole = metrics.metric_summary(df, [], F.col("v")).first()
     assert (whole.p50, whole.p95, whole.p99) == rank_rule([v for _, v in rows])
 
 
+def test_ranks_of_any_double(spark):
+    """Signs, zeros of both signs, subnormal and infinite values, NaN, ties, null keys and null values."""
+    inf = float("inf")
+    odd = [0.0, -0.0, -1.5, 1.5, 5e-324, -5e-324, 1e308, -1e308, inf, -inf, 2.0**-1074 * 3, 1 / 3, -1 / 3, 1e-300]
+    rng = random.Random(8)
+    rows = [("k", v) for v in odd * 3] + [(None, rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randrange(-30, 30)) for _ in range(500)]
+    df = spark.createDataFrame(rows + [("k", None), ("none", None)], "k STRING, v DOUBLE").repartition(3)
+    found = {r.k: (r.p50, r.p95, r.p99) for r in metrics.metric_summary(df, ["k"], F.col("v")).collect()}
+    assert found == {k: rank_rule([v for g, v in rows if g == k]) for k in ("k", None)}
+    order = spark.createDataFrame([(v,) for v in [*odd, float("nan")]], "v DOUBLE").select("v", ranks.sortable_bits(F.col("v")).alias("b"))
+    got = [r.v for r in order.orderBy("b", "v").collect()]
+    assert [x for x in got if x == x] == sorted(odd) and got[-1] != got[-1]
+
+
+def test_ranks_without_a_window_over_values(spark):
+    """Every window of the plan runs over digits; nothing is run while the query is built."""
+    df = spark.range(200_000).select(F.lit("k").alias("k"), (F.col("id") / 7).alias("v"))
+    summary = metrics.metric_summary(df, ["k"], F.col("v"))
+    row = summary.first()
+    assert (row.p50, row.p95, row.p99) == rank_rule([i / 7 for i in range(200_000)])
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert all("sum(_c" in line for line in plan.splitlines() if "Window" in line)
+
+
 def test_no_samples_give_no_row(spark):
     df = spark.createDataFrame([("a", -1.0)], "k STRING, v DOUBLE")
     assert metrics.metric_summary(df, ["k"], metrics.positive(F.col("v"))).count() == 0

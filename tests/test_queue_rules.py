@@ -76,10 +76,10 @@ def test_capacity(spark):
     (3, ["retry", "retry", "dead"]),
     (4, ["retry", "retry", "retry"]),
 ])
-@pytest.mark.parametrize("hot_rows", [10**9, 1])
-def test_failures_until_dead(spark, limit, dispositions, hot_rows):
+@pytest.mark.parametrize("chunk", [4096, 1])
+def test_failures_until_dead(spark, limit, dispositions, chunk):
     log = attempts(spark, [("a", n, "failed") for n in (1, 2, 3)])
-    plan = lifecycle.retry_plan(log, tasks(spark, [("a", 1, None, limit)]), hot_rows=hot_rows)
+    plan = lifecycle.retry_plan(log, tasks(spark, [("a", 1, None, limit)]), chunk=chunk)
     rows = plan.orderBy("attempt_no").collect()
     assert [r.disposition for r in rows] == dispositions
     assert [r.backoff_s for r in rows if r.disposition == "retry"] == [2.0, 4.0, 8.0][: dispositions.count("retry")]
@@ -139,13 +139,13 @@ def test_lookup_prefers_the_live_store(spark):
     }
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 2])
-def test_paced_releases(spark, hot_rows):
+@pytest.mark.parametrize("chunk_s", [86400, 1])
+def test_paced_releases(spark, chunk_s):
     starts = [0.0, 0.05, 0.1, 2.0, 2.0, 2.1, 2.5, 9.0]
     df = spark.createDataFrame([(str(i), "q", 1, s) for i, s in enumerate(starts)], "task_id STRING, queue_name STRING, priority INT, s DOUBLE")
     base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     df = df.withColumn("ready_at", base + F.make_dt_interval(secs=F.col("s").cast("decimal(18,6)")))
-    out = rates.rate_limited_schedule(df, "2024-01-01 00:00:00", rate=3, hot_rows=hot_rows)
+    out = rates.rate_limited_schedule(df, "2024-01-01 00:00:00", rate=3, chunk_s=chunk_s)
     got = [r.release_at.timestamp() for r in out.orderBy("release_no").collect()]
     due, expected = None, []
     for s in starts:
