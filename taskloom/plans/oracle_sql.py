@@ -1033,6 +1033,34 @@ UNION ALL
 SELECT task_id, 'requeued', n, ts + to_seconds(CAST(power(2, n) AS BIGINT)) FROM failures
 WHERE n < 3 AND ts + to_seconds(CAST(power(2, n) AS BIGINT)) <= {closed_sql("10 MINUTES", RETRY_KINDS)}""",
 )
+oracle("stream_dead_letters", ["failures"], "SELECT task_id, n AS retry_count, ts AS at FROM failures WHERE n = 3")
+# A start is decided once both streams' watermarks have passed its horizon.
+oracle(
+    "stream_attempt_pairs",
+    ["ev"],
+    """
+SELECT task_id, event_id, queue_name, worker_id, ts AS started_at,
+       CASE WHEN paired THEN next_ts END AS finished_at, CASE WHEN paired THEN next_kind END AS outcome,
+       CASE WHEN paired THEN round(epoch_us(next_ts) / 1e6 - epoch_us(ts) / 1e6, 6) END AS processing_s
+FROM (SELECT *, next_ts <= ts + INTERVAL 2 DAYS AND next_kind <> 'started' AS paired
+      FROM (SELECT *, lead(ts) OVER w AS next_ts, lead(kind) OVER w AS next_kind
+            FROM ev WHERE kind IN ('started', 'completed', 'failed') WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)) x
+      WHERE kind = 'started') y
+WHERE ts + INTERVAL 2 DAYS < (SELECT max(ts) - INTERVAL 1 HOUR FROM ev WHERE kind = 'started')""",
+)
+oracle(
+    "stream_latest_submission",
+    ["ev"],
+    """
+SELECT task_id, event_id, queue_name, priority, ts AS submitted_at, CAST(versions AS INTEGER) AS versions
+FROM (SELECT *, count(*) OVER (PARTITION BY task_id, chain) AS versions
+      FROM (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 3 DAYS THEN 1 ELSE 0 END) OVER w AS chain
+            FROM (SELECT *, lag(ts) OVER w AS before, lead(ts) OVER w AS after FROM ev WHERE kind = 'submitted'
+                  WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)) x
+            WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)) y) z
+WHERE after > ts + INTERVAL 3 DAYS
+   OR (after IS NULL AND ts + INTERVAL 3 DAYS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev WHERE kind = 'submitted'))""",
+)
 lease_parts("end_", f"({closed_sql('10 MINUTES', LEASE_KINDS)})", "true")
 oracle(
     "stream_lease_timeout",

@@ -9,7 +9,7 @@ from taskloom.functions.times import instant
 from taskloom.plans.catalog import query
 from taskloom.session import scratch_path
 from taskloom.sources import views
-from taskloom.streaming import intake, sinks, stateful, windows
+from taskloom.streaming import intake, pairing, sinks, stateful, windows
 
 TAKE = 1000
 TASK_SCHEMA = (
@@ -102,10 +102,10 @@ def stream_priority_batch(spark, sf_dir):
         last[0] = batch_id
 
     intake.run_each_batch(task_stream(spark, sf_dir), followed, f"{path}/checkpoint")
-    read = spark.read.schema(TASK_SCHEMA).option("recursiveFileLookup", "true")
-    taken = read.parquet(f"{path}/taken").withColumn("disposition", F.lit("taken"))
-    backlog = read.parquet(f"{path}/backlog/{last[0]}").withColumn("disposition", F.lit("backlog"))
-    return taken.unionByName(backlog).select("task_id", "queue_name", "priority", "disposition")
+    kept = ["task_id", "queue_name", "priority"]
+    backlog = sinks.Backlog(spark, path, TASK_SCHEMA)
+    taken = backlog.taken().select(*kept, F.lit("taken").alias("disposition"))
+    return taken.unionByName(backlog.waiting(last[0] + 1).select(*kept, F.lit("backlog").alias("disposition")))
 
 
 @query
@@ -115,6 +115,29 @@ def stream_at_least_once_sink(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("task_id", "queue_name", "created_at")
 
 
+@query
+def stream_dead_letters(spark, sf_dir):
+    """Tasks that the retry machine gives up on, into a table that takes each batch once."""
+    path = scratch_path(spark, "dead-letters")
+    dead = stateful.retry_dlq(event_stream(spark, sf_dir)).filter(F.col("kind") == "dead").drop("kind")
+    intake.run_each_batch(dead, sinks.dead_letter_sink(f"{path}/table"), f"{path}/checkpoint")
+    return sinks.ManifestTable(spark, f"{path}/table").read(dead.schema)
+
+
+@query
+def stream_attempt_pairs(spark, sf_dir):
+    pairs = pairing.attempt_pairs(event_stream(spark, sf_dir), event_stream(spark, sf_dir))
+    rows = intake.run_and_read(spark, pairs, "pairs")
+    return plain_time(rows, "started_at", "finished_at").withColumn("processing_s", F.round("processing_s", 6))
+
+
+@query
+def stream_latest_submission(spark, sf_dir):
+    """The last version of each submission; a repeat counts as one within three days."""
+    latest = stateful.latest_submission(event_stream(spark, sf_dir), 3 * 86400)
+    return intake.run_and_read(spark, latest, "latest")
+
+
 @query
 def stream_health(spark, sf_dir):
     rows = intake.run_and_read(spark, windows.stream_health(event_stream(spark, sf_dir)), "health")

@@ -74,6 +74,60 @@ def delayed_release(tasks: DataFrame, delay: str = "1 hour") -> DataFrame:
     return at_once.unionByName(later).withColumn("released_at", from_micros(F.col("released_us"))).drop("released_us")
 
 
+class LatestVersion(StatefulProcessor):
+    """Holds a task's newest submission. A newer one within the horizon replaces it; else it is emitted when the horizon is over."""
+
+    def __init__(self, horizon_us: int):
+        self.horizon_us = horizon_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "us BIGINT, event_id BIGINT, queue_name STRING, priority INT, versions INT")
+
+    def _emit(self, key, held) -> Row:
+        us, event_id, queue_name, priority, versions = held
+        return Row(task_id=key[0], event_id=event_id, queue_name=queue_name, priority=priority, submitted_us=us, versions=versions)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.held.get()
+        if held is not None:
+            self.handle.deleteTimer(self._due_ms(held[0]))
+        for row in sorted(rows, key=lambda r: (r.us, r.event_id)):
+            versions = 1
+            if held is not None:
+                if (row.us, row.event_id) < (held[0], held[1]):
+                    continue
+                if row.us > held[0] + self.horizon_us:
+                    yield self._emit(key, held)
+                else:
+                    versions = held[4] + 1
+            held = (row.us, row.event_id, row.queue_name, row.priority, versions)
+        self.held.update(held)
+        self.handle.registerTimer(self._due_ms(held[0]))
+
+    def _due_ms(self, us: int) -> int:
+        return -(-(us + self.horizon_us) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.held.get()
+        self.held.clear()
+        yield self._emit(key, held)
+
+    def close(self) -> None:
+        pass
+
+
+def latest_submission(events: DataFrame, horizon_s: int, delay: str = "1 hour") -> DataFrame:
+    """The last version of each submission: repeats of a task id within the horizon of the one before replace it, and a repeat beyond
+    it is a submission of its own. ``versions`` counts what was replaced, itself included. A submission whose horizon the watermark has not passed waits in the state."""
+    rows = events.filter(F.col("kind") == "submitted").withWatermark("ts", delay).select(
+        "task_id", "event_id", "queue_name", "priority", "ts", micros(F.col("ts")).alias("us")
+    )
+    schema = "task_id STRING, event_id BIGINT, queue_name STRING, priority INT, submitted_us BIGINT, versions INT"
+    out = _keyed(rows, LatestVersion(horizon_s * SECOND_US), schema)
+    return out.withColumn("submitted_at", from_micros(F.col("submitted_us"))).drop("submitted_us")
+
+
 class RetryOrDead(StatefulProcessor):
     """Counts a task's failures: a retry with back-off below the limit, dead at it. A new submission or a
     completion starts over. The open back-offs are one value, with one timer for the earliest."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from taskloom.operators import leases
+from taskloom.operators import leases, lifecycle
 from taskloom.sources import views
-from taskloom.streaming import intake, sinks, stateful, windows
+from taskloom.streaming import intake, pairing, sinks, stateful, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,9 +115,104 @@ def test_priority_batches_take_from_the_backlog(spark, tmp_path):
     for _ in range(2):  # a repeated batch gives the same result
         step(batch(("a", 5), ("b", 1), ("c", 3)), 0)
     step(batch(("d", 2), ("e", 9)), 1)
-    def ids(part):
-        return sorted(r.task_id for r in spark.read.schema(schema).parquet(str(tmp_path / part)).collect())
-    assert ids("taken/0") == ["b", "c"] and ids("taken/1") == ["a", "d"] and ids("backlog/1") == ["e"]
+    def ids(rows):
+        return sorted(r.task_id for r in rows.collect())
+    taken = sinks.Backlog(spark, str(tmp_path), schema).taken
+    assert ids(spark.read.parquet(str(tmp_path / "taken/step=0"))) == ["b", "c"] and ids(taken()) == ["a", "b", "c", "d"]
+    assert ids(sinks.Backlog(spark, str(tmp_path), schema).waiting(2)) == ["e"]
+
+
+def test_backlog_is_a_log(spark, tmp_path):
+    """Against a list: steps write arrivals and takes only, compaction changes no result, a repeated step writes the same."""
+    schema = "task_id STRING, priority INT, created_at TIMESTAMP_NTZ"
+    rng, path, waiting = random.Random(6), str(tmp_path), []
+    backlog = sinks.Backlog(spark, path, schema, compact_every=2)
+    for step, k in enumerate([3, 0, 4, 2, 5, 40]):
+        new = [(f"{step}-{i}", rng.randrange(4)) for i in range(rng.choice([0, 6, 9]))]
+        df = spark.createDataFrame(new, "task_id STRING, priority INT").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+        for _ in range(2):
+            backlog.advance(df, step, k)
+        waiting = sorted(waiting + new, key=lambda t: (t[1], t[0]))
+        chosen, waiting = waiting[:k], waiting[k:]
+        assert sorted(r.task_id for r in backlog._read("taken", range(step, step + 1)).collect()) == sorted(t for t, _ in chosen)
+        assert sorted(r.task_id for r in backlog.waiting(step + 1).collect()) == sorted(t for t, _ in waiting)
+        assert backlog._read("arrived", range(step, step + 1)).count() == len(new)
+    assert waiting == [] and backlog.taken().count() == backlog.taken().select("task_id").distinct().count()
+
+
+def test_a_broken_dead_letter_step_has_one_effect(spark, tmp_path, monkeypatch):
+    """A step dies between its rows and its manifest row and is run again; a finished step is repeated."""
+    path, schema = str(tmp_path / "table"), "id LONG"
+    step, commit = sinks.dead_letter_sink(path), sinks.ManifestTable.commit
+    assert sinks.ManifestTable(spark, path).read(schema).count() == 0
+    step(spark.range(5), 0)
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(sinks.ManifestTable, "commit", dies)
+    with pytest.raises(RuntimeError):
+        step(spark.range(5, 9), 1)
+    assert sinks.ManifestTable(spark, path).read(schema).count() == 5
+    monkeypatch.setattr(sinks.ManifestTable, "commit", commit)
+    for n, rows in ((1, spark.range(5, 9)), (1, spark.range(5, 9)), (0, spark.range(5)), (2, spark.range(0))):
+        step(rows, n)
+    assert sorted(r.id for r in sinks.ManifestTable(spark, path).read(schema).collect()) == list(range(9))
+
+
+def test_a_stream_killed_in_its_sink_goes_on(spark, event_log, folder, tmp_path, monkeypatch):
+    """The query fails in its second step, after the rows are written; a restart from the checkpoint loses and repeats nothing."""
+    dead = lambda: stateful.retry_dlq(streamed(spark, folder, event_log.schema)).filter("kind = 'dead'")
+    whole = intake.run_and_read(spark, dead(), "dead-whole")
+    path, commit, calls = str(tmp_path / "table"), sinks.ManifestTable.commit, []
+
+    def dies_once(self, batch_id, name):
+        calls.append(batch_id)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        commit(self, batch_id, name)
+
+    monkeypatch.setattr(sinks.ManifestTable, "commit", dies_once)
+    with pytest.raises(Exception, match="killed"):
+        intake.run_each_batch(dead(), sinks.dead_letter_sink(path), str(tmp_path / "cp"))
+    intake.run_each_batch(dead(), sinks.dead_letter_sink(path), str(tmp_path / "cp"))
+    assert calls[1] == calls[2]
+    assert rows(sinks.ManifestTable(spark, path).read(whole.schema)) == rows(whole) != []
+
+
+def test_attempt_pairs_over_many_steps_equal_the_batch(spark, event_log, folder):
+    stream = lambda: streamed(spark, folder, event_log.schema)
+    # The far-away row is a view, so one start of its kind closes the other side's horizon.
+    pairs = intake.run_and_read(spark, pairing.attempt_pairs(stream(), stream(), "2 days"), "pairs-test")
+    batch = lifecycle.event_attempts(views.event_columns(event_log.filter("event_id < 1000000")))
+    horizon = F.col("started_at") + F.expr("INTERVAL 2 DAYS")
+    within = F.col("finished_at") <= horizon
+    batch = batch.select("task_id", "started_at", F.when(within, F.col("finished_at")).alias("finished_at"), F.when(within, F.col("outcome")).alias("outcome"))
+    starts = views.event_columns(event_log).filter("kind = 'started'").agg(F.max("ts")).first()[0]
+    closed = batch.filter(horizon < F.lit(starts) - F.expr("INTERVAL 1 HOUR"))
+    found = pairs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "finished_at")})
+    assert rows(found.select(closed.columns)) == rows(closed)
+    outcomes = {r.outcome for r in found.select("outcome").distinct().collect()}
+    assert outcomes == {"completed", "failed", None}
+
+
+def test_latest_submission_inside_and_beyond_the_horizon(spark, tmp_path):
+    day = "2024-01-0"
+    files = [
+        [("a", 1, "1 00:00:00"), ("b", 2, "1 00:00:00"), ("b", 3, "1 06:00:00"), ("c", 4, "1 00:00:00"), ("c", 5, "2 00:00:00")],
+        [("a", 6, "1 12:00:00"), ("b", 7, "3 00:00:00")],
+        [("a", 8, "2 12:00:01"), ("z", 9, "9 00:00:00")],
+    ]
+    for rows_ in files:
+        df = spark.createDataFrame([(t, i, "submitted", f"q{i}", i, day + s) for t, i, s in rows_], "task_id STRING, event_id LONG, kind STRING, queue_name STRING, priority INT, ts STRING")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = intake.stream_folder(spark, str(tmp_path / "in"), schema, 1)
+    out = intake.run_and_read(spark, stateful.latest_submission(stream, 86400, "3 days"), "latest-test").collect()
+    # a: a repeat within a day of the first replaces it, the third came a second too late; c: exactly a day is within; z is still open.
+    assert sorted((r.task_id, r.event_id, r.queue_name, r.priority, r.versions) for r in out) == [
+        ("a", 6, "q6", 6, 2), ("a", 8, "q8", 8, 1), ("b", 3, "q3", 3, 2), ("b", 7, "q7", 7, 1), ("c", 5, "q5", 5, 2),
+    ]
 
 
 def test_delayed_tasks_wait_and_can_be_replaced(spark, tmp_path):
