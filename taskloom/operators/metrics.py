@@ -18,6 +18,9 @@ from taskloom.schema import (
 )
 
 
+MINUTE = {"": RATE_WINDOW_S}
+
+
 def in_window(events: DataFrame, as_of: str, window_s: float, ts: str = "ts") -> DataFrame:
     """Rows of the trailing window, both ends included."""
     now = instant(events, ts, as_of)
@@ -128,21 +131,25 @@ def latency_histogram(samples: DataFrame, metrics: dict[str, Column]) -> DataFra
     )
 
 
-def window_rates(events: DataFrame, as_of: str, started_at: str, window_s: float = RATE_WINDOW_S) -> DataFrame:
-    """Submissions and completions per second per queue in the trailing window, or in the uptime if shorter."""
+def window_rates(
+    events: DataFrame, as_of: str, started_at: str, windows: dict[str, float] = MINUTE
+) -> DataFrame:
+    """Submissions and completions per second per queue in each trailing window, or in the uptime if shorter; one pass for all
+    windows, whose names are appended to the columns."""
     now = instant(events, "ts", as_of)
-    recent = F.col("ts") >= plus_seconds(now, F.lit(-window_s))
     uptime = seconds_between(now, instant(events, "ts", started_at))
-    seconds = F.least(F.lit(float(window_s)), uptime)
 
-    def rate(kind: str) -> Column:
-        return F.coalesce(F.try_divide(F.count_if(recent & (F.col("kind") == kind)), F.max(seconds)), F.lit(0.0))
-
-    return (
-        events.filter(F.col("ts") <= now)
-        .groupBy("queue_name")
-        .agg(rate("submitted").alias("submission_rate"), rate("completed").alias("throughput_rate"))
-    )
+    def rate(kind: str, window_s: float) -> Column:
+        recent = F.col("ts") >= plus_seconds(now, F.lit(-window_s))
+        seconds = F.max(F.least(F.lit(float(window_s)), uptime))
+        return F.coalesce(F.try_divide(F.count_if(recent & (F.col("kind") == kind)), seconds), F.lit(0.0))
+
+    rates = [
+        rate(kind, window_s).alias(f"{column}_rate{suffix}")
+        for suffix, window_s in windows.items()
+        for column, kind in (("submission", "submitted"), ("throughput", "completed"))
+    ]
+    return events.filter(F.col("ts") <= now).groupBy("queue_name").agg(*rates)
 
 
 def change_of(changes: dict[str, int]) -> Column:

@@ -142,13 +142,16 @@ def prometheus_export(spark, sf_dir):
 
 @query
 def metrics_snapshot(spark, sf_dir):
+    """All numbers of the nested document, read back from its JSON."""
     events = views.task_events(spark, sf_dir)
     failures = events.filter(
         (F.col("kind") == "failed") & (F.col("ts") <= instant(events, "ts", EVENT_AS_OF))
     ).withColumn("error", F.concat(F.lit("failed on "), F.col("worker_id")))
-    return snapshot.snapshot_document(
-        metrics_row_of(spark, sf_dir), snapshot.type_counts(events, EVENT_AS_OF), failures, EVENT_AS_OF
+    row = snapshot.snapshot_row(
+        events, views.workers(spark, sf_dir), EVENT_AS_OF, LOG_START, window_s=DAY_S, rate_window_s=DAY_S
     )
+    document = snapshot.snapshot_document(row, snapshot.type_counts(events, EVENT_AS_OF), failures, EVENT_AS_OF)
+    return snapshot.document_values(document).withColumn("value", F.round("value", 6))
 
 
 @query
@@ -465,10 +468,7 @@ def dlq_summary(spark, sf_dir):
 @query
 def submission_throughput_rate(spark, sf_dir):
     events = views.task_events(spark, sf_dir)
-    minute = metrics.window_rates(events, EVENT_AS_OF, LOG_START)
-    day = metrics.window_rates(events, EVENT_AS_OF, LOG_START, DAY_S)
-    day = day.withColumnsRenamed({"submission_rate": "submission_rate_day", "throughput_rate": "throughput_rate_day"})
-    both = minute.join(day, "queue_name")
+    both = metrics.window_rates(events, EVENT_AS_OF, LOG_START, metrics.MINUTE | {"_day": DAY_S})
     return both.select("queue_name", *[F.round(c, 9).alias(c) for c in both.columns if c != "queue_name"])
 
 

@@ -1033,6 +1033,58 @@ UNION ALL
 SELECT task_id, 'requeued', n, ts + to_seconds(CAST(power(2, n) AS BIGINT)) FROM failures
 WHERE n < 3 AND ts + to_seconds(CAST(power(2, n) AS BIGINT)) <= {closed_sql("10 MINUTES", RETRY_KINDS)}""",
 )
+PARTS["waits"] = (
+    ["ev"],
+    summary_sql(
+        f"""(SELECT epoch_us(ts - submitted_at) / 1e6 AS wait_s, ts FROM
+          (SELECT *, max(CASE WHEN kind = 'submitted' THEN ts END) OVER (PARTITION BY task_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS submitted_at FROM ev) x
+          WHERE kind = 'started' AND ts BETWEEN {E} - INTERVAL 1 DAY AND {E}) y""",
+        "",
+        "wait_s",
+    ),
+)
+
+
+def numbers_sql(section: str, source: str, columns: dict[str, str]) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{section}' AS section, '{name}' AS name, round(CAST({column} AS DOUBLE), 6) AS value FROM {source}" for name, column in columns.items()
+    )
+
+
+def same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+STATS = same("count", "avg", "min", "max", "p50", "p95", "p99")
+oracle(
+    "metrics_snapshot",
+    ["page", "times", "waits", "failures", "depths"],
+    "\nUNION ALL\n".join(
+        [
+            numbers_sql("", "page", same("uptime_seconds")),
+            numbers_sql("counters", "page", same("tasks_submitted", "tasks_completed", "tasks_failed")),
+            numbers_sql(
+                "counters",
+                f"(SELECT count(*) FILTER (WHERE n < 3) AS r, count(*) FILTER (WHERE n = 3) AS d FROM failures WHERE ts <= {E}) f",
+                {"tasks_retried": "r", "tasks_dead_lettered": "d"},
+            ),
+            numbers_sql("gauges", "page", same("queue_depth", "active_workers", "active_tasks")),
+            numbers_sql("rates", "page", same("submission_rate", "throughput_rate", "success_rate")),
+            numbers_sql("processing_times", "times", STATS),
+            numbers_sql("wait_times", "waits", STATS),
+            numbers_sql("queue_depth_stats", "page", {"current": "queue_depth"}),
+            numbers_sql(
+                "queue_depth_stats",
+                f"(SELECT avg(depth) AS a, min(depth) AS lo, max(depth) AS hi FROM depths WHERE ts BETWEEN {E} - INTERVAL 1 DAY AND {E}) q",
+                {"avg": "a", "min": "lo", "max": "hi"},
+            ),
+            f"SELECT 'tasks_by_type', task_type, CAST(count(*) FILTER (WHERE kind = 'submitted') AS DOUBLE) FROM ev WHERE ts <= {E} GROUP BY task_type",
+            f"SELECT 'failures_by_type', task_type, CAST(count(*) FILTER (WHERE kind = 'failed') AS DOUBLE) FROM ev WHERE ts <= {E} GROUP BY task_type",
+            f"""SELECT 'recent_errors', error, value FROM (SELECT 'failed on ' || worker_id AS error, CAST(event_id AS DOUBLE) AS value
+            FROM ev WHERE kind = 'failed' AND ts <= {E} ORDER BY ts DESC, event_id DESC LIMIT 10) e""",
+        ]
+    ),
+)
 oracle("stream_dead_letters", ["failures"], "SELECT task_id, n AS retry_count, ts AS at FROM failures WHERE n = 3")
 # A start is decided once both streams' watermarks have passed its horizon.
 oracle(

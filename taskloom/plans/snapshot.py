@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.functions.text import fixed
@@ -11,14 +11,20 @@ from taskloom.operators.metrics import (
     ACTIVE_CHANGES,
     DEPTH_CHANGES,
     change_of,
+    clamped_timeline,
     counts_by_type,
     in_window,
     metric_summary,
     positive,
     success_rate,
 )
-from taskloom.operators.ordered import by_time, ordered_scan, running_level
-from taskloom.schema import ERRORS_IN_SNAPSHOT, METRIC_WINDOW_S, RATE_WINDOW_S
+from taskloom.operators.lifecycle import TASK_CHUNK_S
+from taskloom.operators.ordered import by_time, last_seen, ordered_scan, running_level, sum_since
+from taskloom.schema import DEFAULT_MAX_RETRIES, ERRORS_IN_SNAPSHOT, METRIC_WINDOW_S, RATE_WINDOW_S
+
+COUNTERS = ["tasks_submitted", "tasks_completed", "tasks_failed", "tasks_retried", "tasks_dead_lettered"]
+
+SUMMARY = ["count", "sum", "avg", "min", "max", "p50", "p95", "p99"]
 
 
 def last_levels(events: DataFrame) -> DataFrame:
@@ -67,16 +73,69 @@ def metrics_row(
     )
     done = in_window(events, as_of, window_s).filter(kind == "completed")
     summary = metric_summary(done, [], positive(F.col("processing_s")))
-    stats = ["count", "sum", "avg", "min", "max", "p50", "p95", "p99"]
     running = workers.agg(F.count_if("running").alias("active_workers"))
-    times = summary.select(*[F.col(c).alias(f"processing_{c}") for c in stats])
+    times = summary.select(*[F.col(c).alias(f"processing_{c}") for c in SUMMARY])
     # One row each; without samples the summary has none and its columns are null.
-    row = counters.withColumn("_one", F.lit(1))
-    for part in (last_levels(log), running, times):
+    return beside(counters, last_levels(log), running, times)
+
+
+def failures_and_waits(events: DataFrame, as_of: str, window_s: float, max_retries: int = DEFAULT_MAX_RETRIES) -> DataFrame:
+    """One row: failures that led to a retry and those that used the retries up, and a summary of the waits of the trailing window.
+
+    A submission or a completion starts a task's count of failures over, and so does its death. A wait is the time from a task's latest submission
+    to a start; both come from one scan of the log, and the ranks of the waits are selected by their bits.
+    """
+    order, kind, now = ["ts", "event_id"], F.col("kind"), instant(events, "ts", as_of)
+    log = events.filter((F.col("ts") <= now) & kind.isin("submitted", "started", "completed", "failed"))
+    failed = kind == "failed"
+    scanned = ordered_scan(
+        log,
+        ["task_id"],
+        order,
+        by_time("ts", TASK_CHUNK_S),
+        [
+            sum_since("_failures", failed.cast("long"), kind.isin("submitted", "completed"), order),
+            last_seen("_submitted", F.when(kind == "submitted", F.col("ts")), order),
+        ],
+    )
+    used_up = F.col("_failures") % F.greatest(F.lit(max_retries), F.lit(1)) == 0
+    wait = F.when(kind == "started", positive(seconds_between(F.col("ts"), F.col("_submitted"))))
+    counts = scanned.agg(
+        F.count_if(failed & ~used_up).alias("tasks_retried"), F.count_if(failed & used_up).alias("tasks_dead_lettered")
+    )
+    waits = metric_summary(in_window(scanned, as_of, window_s), [], wait)
+    return beside(counts, waits.select(*[F.col(c).alias(f"wait_{c}") for c in SUMMARY]))
+
+
+def depth_stats(events: DataFrame, as_of: str, window_s: float) -> DataFrame:
+    """One row: average, lowest and highest depth over the changes of the trailing window."""
+    log = events.filter(F.col("ts") <= instant(events, "ts", as_of))
+    depths = clamped_timeline(log, DEPTH_CHANGES, "depth", ["queue_name"])
+    return in_window(depths, as_of, window_s).agg(
+        F.count("depth").alias("depth_count"), F.avg("depth").alias("depth_avg"),
+        F.min("depth").cast("double").alias("depth_min"), F.max("depth").cast("double").alias("depth_max"),
+    )
+
+
+def beside(row: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Tables of one row each as one; a part without a row gives nulls."""
+    row = row.withColumn("_one", F.lit(1))
+    for part in parts:
         row = row.join(part.withColumn("_one", F.lit(1)), "_one", "left")
     return row.drop("_one")
 
 
+def snapshot_row(
+    events: DataFrame, workers: DataFrame, as_of: str, started_at: str, window_s: float = METRIC_WINDOW_S, rate_window_s: float = RATE_WINDOW_S
+) -> DataFrame:
+    """Everything in the snapshot that is one number."""
+    return beside(
+        metrics_row(events, workers, as_of, started_at, window_s, rate_window_s),
+        failures_and_waits(events, as_of, window_s),
+        depth_stats(events, as_of, window_s),
+    )
+
+
 def exposition_lines(row: DataFrame) -> DataFrame:
     """The metrics row as text exposition lines; the summary block is left out without samples."""
 
@@ -136,21 +195,45 @@ def snapshot_document(
     shown = newest.agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "task_type", "error"))).alias("recent_errors")
     )
-    times = F.struct(*[F.col(f"processing_{s}").alias(s) for s in ("count", "avg", "min", "max", "p50", "p95", "p99")])
+    def summary(of: str, *stats: str) -> Column:
+        """Null without samples."""
+        return F.when(F.col(f"{of}_count") > 0, F.struct(*[F.col(f"{of}_{s}").alias(s) for s in stats]))
+
+    shown_stats = [s for s in SUMMARY if s != "sum"]
+    depth = F.struct(F.col("queue_depth").alias("current"), *[F.col(f"depth_{s}").alias(s) for s in ("avg", "min", "max")])
     doc = F.struct(
         F.lit(as_of).alias("timestamp"),
         "uptime_seconds",
-        F.struct("tasks_submitted", "tasks_completed", "tasks_failed").alias("counters"),
+        F.struct(*COUNTERS).alias("counters"),
         F.struct("queue_depth", "active_workers", "active_tasks").alias("gauges"),
         F.struct("submission_rate", "throughput_rate", "success_rate").alias("rates"),
-        F.when(F.col("processing_count") > 0, times).alias("processing_times"),
+        summary("processing", *shown_stats).alias("processing_times"),
+        summary("wait", *shown_stats).alias("wait_times"),
+        F.when(F.col("depth_count") > 0, depth).alias("queue_depth_stats"),
         "tasks_by_type",
         "failures_by_type",
         "recent_errors",
     )
-    one = F.lit(1).alias("_all")
-    joined = row.select("*", one).join(types.select("*", one), "_all").join(shown.select("*", one), "_all")
-    return joined.select(F.to_json(doc).alias("snapshot"))
+    return beside(row, types, shown).select(F.to_json(doc).alias("snapshot"))
+
+
+def document_values(document: DataFrame) -> DataFrame:
+    """(section, name, value) of every number in a snapshot document, read back from its JSON; of the errors, the event's id."""
+    whole = F.try_parse_json("snapshot")
+    sections = ["counters", "gauges", "rates", "processing_times", "wait_times", "queue_depth_stats", "tasks_by_type", "failures_by_type"]
+
+    def numbers(section: str) -> Column:
+        held = F.map_entries(F.try_variant_get(whole, f"$.{section}", "map<string,double>"))
+        return F.transform(held, lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("name"), e["value"].alias("value")))
+
+    errors = F.transform(
+        F.try_variant_get(whole, "$.recent_errors", "array<struct<event_id:bigint,error:string>>"),
+        lambda e: F.struct(F.lit("recent_errors").alias("section"), e["error"].alias("name"), e["event_id"].cast("double").alias("value")),
+    )
+    uptime = F.array(F.struct(F.lit("").alias("section"), F.lit("uptime_seconds").alias("name"), F.try_variant_get(whole, "$.uptime_seconds", "double").alias("value")))
+    # A section without samples is null in the document and has no rows.
+    every = F.flatten(F.array_compact(F.array(uptime, *map(numbers, sections), errors)))
+    return document.select(F.explode(every).alias("x")).select("x.*")
 
 
 def type_counts(events: DataFrame, as_of: str) -> DataFrame:

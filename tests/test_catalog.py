@@ -16,7 +16,7 @@ import __spark_entry__ as entry  # noqa: E402
 from taskloom.plans.catalog import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"metrics_snapshot"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
