@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import letter_words, mixed, powers, runs_of, table, written
+from taskloom.llm.common import among, letter_words, mixed, powers, runs_of, table, written
 
 LEAST, LONGEST, TOP, INSIDE, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Occurrences per counter; the error bound of a summary stays below it.
@@ -84,9 +84,14 @@ class Words:
         at = np.flatnonzero(self.piece[:m] == self.piece[n - 1 : n - 1 + m])
         return at, mixed(runs_of(self.hashes[which], n)[at] ^ self.salt)
 
-    def phrase(self, first: int, n: int) -> str:
-        raw = self.raw[self.start[first] : self.end[first + n - 1]]
-        return b" ".join(raw.lower().split()).decode()
+    def texts(self, first: np.ndarray, n: int) -> list[str]:
+        """The phrases of n words from these words on, a blank between two words."""
+        raw = self.raw.lower().replace(b"\t", b" ")
+        # Where the gaps have one byte each, the text is there as it should be.
+        size = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        start, end = self.start[first], self.end[first + n - 1]
+        plain = end - start == size[first + n] - size[first] + n - 1
+        return [(raw[a:b] if p else b" ".join(raw[a:b].split())).decode() for a, b, p in zip(start.tolist(), end.tolist(), plain.tolist())]
 
 
 def by_language(rows: pd.DataFrame, tables: list[np.ndarray]) -> Iterator[tuple[str, Words]]:
@@ -155,14 +160,22 @@ def candidates(rows: pd.DataFrame) -> pd.DataFrame:
     counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows["counts"]]
     mass = sum(len(x) // PACKED for x in rows["once"]) + sum(int(x.sum()) for x in counts)
     summary = Summary(mass // MARGIN + 1)
+    held, size = [], 0
     for once, often, c in zip(rows["once"], rows["often"], counts):
         once = unpacked(once)
-        summary.merge(np.concatenate([once, unpacked(often)]), np.concatenate([np.ones(len(once), np.int64), c]))
+        held.append((np.concatenate([once, unpacked(often)]), np.concatenate([np.ones(len(once), np.int64), c])))
+        size += len(held[-1][0])
+        # Sorted together, as many as there are counters; one at a time would sort those again for each.
+        if size > summary.capacity:
+            summary.merge(*map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if held:
+        summary.merge(*map(np.concatenate, zip(*held)))
     frequent = summary.frequent(LEAST)
     out = []
     for block, once, often in zip(rows["block"], rows["once"], rows["often"]):
         k = np.concatenate([unpacked(once), unpacked(often)])
-        k = k[np.isin(k, frequent)]
+        k = k[among(k, frequent)]
         if len(k):
             out.append((block, packed(k)))
     return pd.DataFrame(out, columns=["block", "wanted"])
@@ -172,14 +185,14 @@ class Wanted:
     """A set of narrow hashes; a table of their last bits answers for most that are not in it."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
+        self.keys = np.sort(keys)
         self.last = np.zeros(1 << 22, bool)
         self.last[(self.keys & np.uint64(len(self.last) - 1)).astype(np.int64)] = True
 
     def has(self, x: np.ndarray) -> np.ndarray:
         out = self.last[(x & np.uint64(len(self.last) - 1)).astype(np.int64)]
         near = np.flatnonzero(out)
-        out[near] = np.isin(x[near], self.keys)
+        out[near] = among(x[near], self.keys)
         return out
 
 
@@ -199,7 +212,7 @@ def counted(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             one, other, at = one[order], other[order], at[order]
             first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (other[1:] != other[:-1])]))
             size = np.diff(np.append(first, len(one)))
-            out += [(lang, words.phrase(a, n), n, f) for a, f in zip(at[first].tolist(), size.tolist())]
+            out += [(lang, phrase, n, f) for phrase, f in zip(words.texts(at[first], n), size.tolist())]
     return pd.DataFrame(out, columns=["lang", "phrase", "words", "f"])
 
 

@@ -130,6 +130,13 @@ def shingle_sets(texts: Iterable[str | None], width: int = 5) -> Iterator[np.nda
         yield out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+def among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+
+
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For 0..n-1, the least number reachable by the links a-b."""
     return join_labels(np.arange(n), a, b)
