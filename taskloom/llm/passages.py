@@ -5,16 +5,17 @@ is a difference of two places of the cover, so for any two places in two documen
 match of 13 words holds the whole anchor there. So two documents that share a window share an aligned anchor.
 
 1. Anchors are dealt by hash. Those that two documents hold are sent back to all documents that hold them.
-2. Each shared anchor is extended to the seven windows that contain it, and these are dealt by a hash of 128 bits. The least doc_id of a window tells for all its
-   other places that they are repeats; so a group of copies needs as many rows as it has windows, no pairs.
-3. The repeated windows of a document are merged, and its words are read once more without those they cover.
+2. Each shared anchor is extended to the seven windows that contain it, and these are dealt by hash. The least doc_id of a window tells which of its
+   other documents repeat it; so a group of copies needs as many rows as it has windows, no pairs.
+3. A document is told its repeated windows, and its words are read once more without those they cover.
 
-Before both exchanges the rows of FLUSH bytes of text are combined: equal anchors or windows travel in one row with all their places, so an anchor
-that stands in every document is as many rows as there are such portions. The texts are dealt by document once; both passes read the same exchange.
+Before both exchanges the rows of FLUSH bytes of text are combined: equal anchors or windows travel in one row with all their documents, so an anchor
+that stands in every document is as many rows as there are such portions. The texts are compressed and dealt by document once; both passes read the same exchange.
 
-An anchor has 48 bits, which can only make more windows be looked at. Rows with the same doc_id don't count against each other, whatever their texts, and lose the same windows. A
-null doc_id is smaller than all others: such rows lose nothing, and others lose what these have. Null, empty and blank texts have no words; texts of
-fewer than 13 words lose nothing. Texts of any length are read whole. Other columns are kept as they are, whatever their names. An empty table gives no rows.
+An anchor has 48 bits, which can only make more windows be looked at; a window is told apart by 96, and by 64 among those of one document. Rows with the same doc_id
+travel together, don't count against each other, whatever their texts, and lose the same windows. A null doc_id is smaller than all others: such rows lose
+nothing, and others lose what these have. Null, empty and blank texts have no words; texts of fewer than 13 words lose nothing. Texts
+of any length are read whole. Other columns are kept as they are, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import letter_words, runs_of, table, word_hashes
+from taskloom.llm.common import among, letter_words, runs_of, table, word_hashes
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 #: The longest anchor that fits into a window wherever the step takes it.
@@ -83,15 +85,21 @@ class Words:
         return runs_of(self.hashes, WINDOW), runs_of(other, WINDOW)
 
 
-def listed(first: np.ndarray, values: list[np.ndarray], names: list[str] | None = None) -> pa.Array:
-    """For groups that start at `first`, what follows the group's first row, null if nothing does."""
-    after = np.ones(len(values[0]), bool)
-    after[first] = False
-    size = np.diff(np.append(first, len(after))) - 1
-    flat = [pa.array(v[after]) for v in values]
-    flat = pa.StructArray.from_arrays(flat, names) if names else flat[0]
+def combined(hashes: list[np.ndarray], documents: np.ndarray, names: list[str]) -> pa.RecordBatch | None:
+    """A row for each combination of hashes: the least of its documents, and the others, null if there are none."""
+    order = np.lexsort((documents, *hashes[::-1]))
+    rows = [x[order] for x in (*hashes, documents)]
+    if not len(order):
+        return None
+    differs = [np.concatenate([[True], x[1:] != x[:-1]]) for x in rows]
+    of_hash = np.logical_or.reduce(differs[:-1])
+    new = of_hash | differs[-1]
+    rows, of_hash = [x[new] for x in rows], of_hash[new]
+    first = np.flatnonzero(of_hash)
+    size = np.diff(np.append(first, len(of_hash))) - 1
     offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, flat, mask=pa.array(size == 0))
+    others = pa.ListArray.from_arrays(offsets, pa.array(rows[-1][~of_hash]), mask=pa.array(size == 0))
+    return pa.RecordBatch.from_arrays([*[pa.array(x[first]) for x in rows], others], names)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -102,122 +110,119 @@ def anchors(docs: DataFrame) -> DataFrame:
             words = Words([r["text"] for r in rows])
             at, k = words.anchors()
             d = np.array([r["d"] for r in rows], np.int64)[words.text[at]]
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-            k, d = k[new].view(np.int64), d[new]
-            if len(k):
-                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(d[first]), listed(first, [d])], ["k", "d", "others"])
+            if out := combined([k.view(np.int64)], d, ["k", "d", "others"]):
+                yield out
 
     return docs.select("d", "text").mapInArrow(read, "k long, d long, others array<long>")
 
 
-PLACE = "struct<o:long,h:long,s:int,c:int>"
-
-
 def windows(docs: DataFrame) -> DataFrame:
-    """(w, v, o, h, s, c, others): a window's hashes and its places in a portion, the least o first: doc_id, hash of the text, start, and how many starts follow at once."""
+    """(w, v, o, others): a window's hashes, the least doc_id of a portion that has it, and the others."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in portions(batches):
             rows = [r for r in rows if r["shared"]]
             if not rows:
                 continue
-            words = Words([r["text"] for r in rows])
+            words = Words([unpacked(r["text"]) for r in rows])
             at, k = words.anchors()
             own = np.repeat(np.arange(len(rows), dtype=np.uint64), [len(r["shared"]) for r in rows]) << np.uint64(48)
             wanted = np.concatenate([np.array(r["shared"], np.int64) for r in rows]).view(np.uint64) | own
-            at = at[np.isin(k | (words.text[at].astype(np.uint64) << np.uint64(48)), wanted)]
+            at = at[among(k | (words.text[at].astype(np.uint64) << np.uint64(48)), np.sort(wanted))]
             whole = words.whole(WINDOW)
             edge = np.zeros(len(words.text) + 2, np.int64)
             np.add.at(edge, np.maximum(at - (PERIOD - 1), 0), 1)
             np.add.at(edge, at + 1, -1)
-            # A window before the text's first is in another text and is not whole.
+            # A place before the text's first window is in another text, where no whole window is.
             start = np.flatnonzero((np.cumsum(edge)[: len(whole)] > 0) & whole)
-            if not len(start):
-                continue
-            w, v = (x[start] for x in words.windows())
-            of, s = words.text[start], words.place[start]
-            new = np.ones(len(start), bool)
-            new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (start[1:] != start[:-1] + 1) | (of[1:] != of[:-1])
-            head = np.flatnonzero(new)
-            c = np.diff(np.append(head, len(start))).astype(np.int32)
-            w, v, of, s = w[head], v[head], of[head], s[head].astype(np.int32)
-            o, h = (np.array([r[x] for r in rows], np.int64)[of] for x in "oh")
-            order = np.lexsort((s, h, o, v, w))
-            w, v, o, h, s, c = (x[order] for x in (w, v, o, h, s, c))
-            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])]))
-            plain = [pa.array(x[first]) for x in (w.view(np.int64), v.view(np.int64), o, h, s, c)]
-            yield pa.RecordBatch.from_arrays([*plain, listed(first, [o, h, s, c], ["o", "h", "s", "c"])], ["w", "v", "o", "h", "s", "c", "others"])
-
-    return docs.mapInArrow(read, f"w long, v long, o long, h long, s int, c int, others array<{PLACE}>")
+            w, v = words.windows()
+            o = np.array([r["o"] for r in rows], np.int64)[words.text[start]]
+            if out := combined([w[start].view(np.int64), (v[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)], o, ["w", "v", "o", "others"]):
+                yield out
+
+    return docs.mapInArrow(read, "w long, v int, o long, others array<long>")
+
+
+def packed(texts: pd.Series) -> pd.Series:
+    zip_ = zstandard.ZstdCompressor(level=1)
+    return pd.Series([None if t is None else zip_.compress(t.encode()) for t in texts], dtype=object)
+
+
+def unpacked(text: bytes | None) -> str | None:
+    return None if text is None else zstandard.decompress(text).decode()
+
+
+def of_all(keys: list[str], rows: DataFrame, document: str) -> DataFrame:
+    """The rows with the least and the greatest of their keys' documents, and all documents of the row as `documents`."""
+    together = Window.partitionBy(*keys)
+    known = rows.withColumns({"lo": F.min(document).over(together), "hi": F.max(document).over(together)})
+    return known.withColumn("documents", F.concat(F.array(document), F.coalesce("others", F.expr("cast(array() AS array<long>)"))))
 
 
 def with_passages(docs: DataFrame) -> DataFrame:
-    """(d, row, passages): every row in a struct, and where its repeated windows start: place and how many at once; null where there are none."""
-    text = F.col("row.text").cast("string")
-    number = F.col("row.doc_id").cast("long")
+    """(row, text, passages): every row in a struct, its text compressed, and the hashes of its repeated windows; null where there are none."""
+    text, number = F.col("row.text").cast("string"), F.col("row.doc_id").cast("long")
     whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "text"]
     # Rows without a doc_id are told apart by their text; d is never null.
-    rows = docs.select(whole.alias("row")).withColumn("d", F.coalesce(number, F.xxhash64(text)))
+    rows = docs.select(whole.alias("row")).select(F.coalesce(number, F.xxhash64(text)).alias("d"), text.alias("text"), F.struct(*others).alias("row"))
+    dealt = rows.withColumn("text", F.pandas_udf(packed, "binary")("text"))
 
-    of_anchor = Window.partitionBy("k")
-    held = anchors(rows.select("d", text.alias("text"))).withColumns({"lo": F.min("d").over(of_anchor), "hi": F.max("d").over(of_anchor)})
-    shared = held.where("lo < hi OR others IS NOT NULL").select("k", F.explode(F.concat(F.array("d"), F.coalesce("others", F.expr("array()")))).alias("d"))
+    held = of_all(["k"], anchors(rows.select("d", "text")), "d")
+    shared = held.where("lo < hi OR others IS NOT NULL").select("k", F.explode("documents").alias("d"))
     shared = shared.groupBy("d").agg(F.collect_list("k").alias("shared"))
 
-    found = rows.join(shared, "d", "left").select("shared", text.alias("text"), F.coalesce(number, F.lit(NONE)).alias("o"), F.xxhash64(text).alias("h"))
-    of_window = Window.partitionBy("w", "v")
-    places = F.concat(F.array(F.struct("o", "h", "s", "c")), F.coalesce("others", F.expr(f"cast(array() AS array<{PLACE}>)")))
-    least = windows(found).withColumn("least", F.min("o").over(of_window)).select("least", places.alias("places"))
-    later = least.select(F.explode(F.filter("places", lambda x: x["o"] > F.col("least"))).alias("x")).select("x.*")
-    marks = later.groupBy("o", "h").agg(F.collect_list(F.struct("s", "c")).alias("passages")).withColumnRenamed("o", "d")
+    known = F.col("row.doc_id").cast("long")
+    found = dealt.join(shared, "d", "left").select("shared", "text", F.coalesce(known, F.lit(NONE)).alias("o"))
+    later = of_all(["w", "v"], windows(found), "o").select("w", F.explode(F.filter("documents", lambda o: o > F.col("lo"))).alias("d"))
+    marks = later.groupBy("d").agg(F.collect_list("w").alias("passages"))
 
-    # Only d is a key of this join, as of the one above, so both read the same exchange.
-    marked = rows.join(marks, (rows["d"] == marks["d"]) & (marks["h"].bitwiseXOR(F.xxhash64(text)) == 0), "left")
-    return marked.select(rows["d"], "row", "passages")
+    # The join above has the same key, so both read one exchange of the texts.
+    marked = dealt.join(marks, "d", "left")
+    return marked.select("row", "text", F.when(known.isNotNull(), F.col("passages")).alias("passages"))
 
 
 def kept_words(text: str | None, passages) -> tuple[list[bytes], int]:
-    """The words that no passage covers, and how many there were."""
+    """The words that no repeated window covers, and how many there were."""
     words = text.encode().split() if text else []
     if passages is None:
         return words, len(words)
+    hashes = runs_of(next(word_hashes([text], _ONE)), WINDOW)
+    at = np.flatnonzero(among(hashes, np.sort(np.asarray(passages, np.int64).view(np.uint64))))
     edge = np.zeros(len(words) + 1, np.int64)
-    for x in passages:
-        edge[x["s"]] += 1
-        edge[x["s"] + x["c"] + WINDOW - 1] -= 1
+    edge[at] += 1
+    edge[at + WINDOW] -= 1
     return [w for w, n in zip(words, np.cumsum(edge).tolist()) if not n], len(words)
 
 
-def kept_text(text: Column, passages: Column) -> Column:
+def without_passages(docs: DataFrame) -> DataFrame:
+    """The rows as they are, but for `text`: the words that are left, joined by a blank, where some were removed."""
+
+    @F.pandas_udf("string")
     def read(texts: pd.Series, passages: pd.Series) -> pd.Series:
-        return pd.Series([b" ".join(kept_words(t, p)[0]).decode() for t, p in zip(texts, passages)], dtype=object)
+        out = []
+        for t, p in zip(map(unpacked, texts), passages):
+            out.append(t if p is None else b" ".join(kept_words(t, p)[0]).decode())
+        return pd.Series(out, dtype=object)
+
+    rows = with_passages(docs).withColumn("text", read("text", "passages"))
+    return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
-    return F.pandas_udf(read, "string")(text, passages)
 
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row."""
 
-def digests(text: Column, passages: Column) -> Column:
+    @F.pandas_udf("n_words long, n_removed long, kept_sha256 string")
     def read(texts: pd.Series, passages: pd.Series) -> pd.DataFrame:
-        each = [kept_words(t, p) for t, p in zip(texts, passages)]
+        each = [kept_words(unpacked(t), p) for t, p in zip(texts, passages)]
         out = [(n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for kept, n in each]
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
 
-    return F.pandas_udf(read, "n_words long, n_removed long, kept_sha256 string")(text, passages)
-
-
-def without_passages(docs: DataFrame) -> DataFrame:
-    """The rows as they are, but for `text`: the words that are left, joined by a blank, where some were removed."""
-    text = F.col("row.text").cast("string")
-    text = F.when(F.col("passages").isNull(), text).otherwise(kept_text(text, F.col("passages")))
-    return with_passages(docs).select(F.col("row").withField("text", text).alias("row")).select("row.*")
+    return with_passages(docs).select("row.doc_id", read("text", "passages").alias("x")).select("doc_id", "x.*")
 
 
 def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_passages(docs).select("row.doc_id", digests(F.col("row.text").cast("string"), F.col("passages")).alias("x")).select("doc_id", "x.*")
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 SQL = r"""
