@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,10 +78,19 @@ def default_handlers() -> Handlers:
     return Handlers().register("math", math_handler, parse_math, math_outcome).register("simple", simple_handler)
 
 
-def apply_handlers(routed: DataFrame, handlers: Handlers) -> DataFrame:
-    """Adds ``result``, ``error`` and ``handler_s`` (Python handlers only) to routed rows.
+class HandlerError(Exception):
+    """A failure of a column handler, or a missing handler."""
 
-    Rows stay in the JVM unless their kind has a Python handler.
+
+OnError = Callable[[dict, Exception], object]
+
+
+def apply_handlers(routed: DataFrame, handlers: Handlers, on_error: OnError | None = None) -> DataFrame:
+    """Adds ``result``, ``error`` and ``handler_s`` (Python handlers only) to routed rows, in one pass over them.
+
+    Rows stay in the JVM unless there is a Python handler or ``on_error``; then all go through one Arrow pass, which hands the
+    others through. ``on_error`` gets each failed task, as a dict, and its exception, on the worker; what it returns is kept as text in ``noted``. It is
+    called once for each failed row that the pass puts out; a task that Spark runs again calls it again.
     """
     kind = F.col("handler_kind")
     known = [*handlers.columns, *handlers.python]
@@ -97,37 +106,53 @@ def apply_handlers(routed: DataFrame, handlers: Handlers) -> DataFrame:
         result = F.when(kind == name, value).otherwise(result)
         error = F.when(kind == name, failure).otherwise(error)
     error = F.when(unknown, F.concat(F.lit(NO_HANDLER), F.col("task_type"))).otherwise(error)
-    in_python = F.coalesce(kind.isin(list(handlers.python)), F.lit(False))
     plain = (
         prepared.withColumns({"error": error, "result": result})
         .withColumn("result", F.when(F.col("error").isNull(), F.col("result")))
         .drop(*[f"_in_{name}" for name in handlers.columns])
     )
-    if not handlers.python:
+    if not handlers.python and on_error is None:
         return plain
-    by_python = _in_batches(plain.filter(in_python), handlers.python)
-    return plain.filter(~in_python).unionByName(by_python)
+    return _in_batches(plain, handlers.python, on_error)
+
 
+def _in_batches(rows: DataFrame, functions: dict[str, Callable[[str], object]], on_error: OnError | None) -> DataFrame:
+    columns = [f.name for f in rows.schema]
 
-def _in_batches(rows: DataFrame, functions: dict[str, Callable[[str], object]]) -> DataFrame:
-    def run(kind: str, data: str) -> tuple[str | None, str | None, float]:
+    def run(kind: str, data: str) -> tuple[str | None, Exception | None, float]:
         began = time.perf_counter()
         try:
             answer, failure = str(functions[kind](data)), None
         except Exception as exc:  # the row's own failure
-            answer, failure = None, str(exc)
+            answer, failure = None, exc
         return answer, failure, time.perf_counter() - began
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [run(k, d) for k, d in zip(frame["handler_kind"], frame["data"])]
-            frame[["result", "error", "handler_s"]] = pd.DataFrame(
-                done, columns=["result", "error", "handler_s"], index=frame.index
-            )
-            yield frame
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            changed = {c: batch.column(c).to_pylist() for c in ("result", "error", "handler_s")}
+            failures: dict[int, Exception] = {}
+            own = [i for i, k in enumerate(batch.column("handler_kind").to_pylist()) if k in functions]
+            kinds, data = (batch.column(c).take(pa.array(own, pa.int64())).to_pylist() for c in ("handler_kind", "data"))
+            for i, kind, value in zip(own, kinds, data):
+                changed["result"][i], failure, changed["handler_s"][i] = run(kind, value)
+                changed["error"][i] = None if failure is None else str(failure)
+                if failure is not None:
+                    failures[i] = failure
+            for c, values in changed.items():
+                at = columns.index(c)
+                batch = batch.set_column(at, c, pa.array(values, batch.schema.field(at).type))
+            if on_error is not None:
+                noted = [None] * batch.num_rows
+                for i, text in enumerate(changed["error"]):
+                    if text is not None:
+                        answer = on_error(batch.slice(i, 1).to_pylist()[0], failures.get(i) or HandlerError(text))
+                        noted[i] = None if answer is None else str(answer)
+                batch = batch.append_column("noted", pa.array(noted, pa.string()))
+            yield batch
 
     ship_package()
-    return rows.mapInPandas(batches, T.StructType(rows.schema.fields))
+    noted = [T.StructField("noted", T.StringType())] if on_error is not None else []
+    return rows.mapInArrow(batches, T.StructType([*rows.schema.fields, *noted]))
 
 
 def split_errors(handled: DataFrame) -> tuple[DataFrame, DataFrame]:

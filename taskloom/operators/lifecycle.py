@@ -195,8 +195,8 @@ def attempt_durations(attempts: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def completed_retention(states: DataFrame, as_of: str, ttl_s: float) -> DataFrame:
-    """Rows that survive: all but tasks completed more than ``ttl_s`` ago."""
-    now = instant(states, "created_at", as_of)
+def completed_retention(states: DataFrame, as_of: str, ttl_s: float, clock: str = "created_at") -> DataFrame:
+    """Rows that survive: all but tasks completed more than ``ttl_s`` ago. ``as_of`` is read as the type of the column ``clock``."""
+    now = instant(states, clock, as_of)
     expired = (F.col("state") == "completed") & (plus_seconds(F.col("completed_at"), F.lit(ttl_s)) < now)
     return states.filter(~F.coalesce(expired, F.lit(False)))

@@ -11,11 +11,12 @@ from taskloom.functions.payload import task_type, with_route
 from taskloom.functions.retry import backoff_seconds
 from taskloom.functions.text import format_duration, format_number
 from taskloom.functions.times import clock_text, instant, iso_text, seconds
-from taskloom.operators import dispatch, handlers, health, leases, lifecycle, metrics, rates, rolling, workers
+from taskloom.operators import dispatch, handlers, health, leases, lifecycle, metrics, rates, rolling, rollups, workers
 from taskloom.plans import snapshot
 from taskloom.plans.process_batch import process_batch
 from taskloom.session import configure, scratch_path
 from taskloom.sources import stores, task_json, views
+from taskloom.sources.versions import VersionedTasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -170,6 +171,18 @@ def completed_retention(spark, sf_dir):
     return kept.select("task_id", "queue_name", "state", "completed_at")
 
 
+@query
+def versioned_retention(spark, sf_dir):
+    """One queue cleared and old completions dropped on storage, as versions of the table; read back."""
+    columns = ["task_id", "queue_name", "state", "completed_at"]
+    states = states_of(spark, sf_dir).select(*columns)
+    table = VersionedTasks(spark, scratch_path(spark, "versions"), states.schema)
+    table.create(states)
+    table.purge(["q1"])
+    table.retain(lambda tasks: lifecycle.completed_retention(tasks, TASK_AS_OF, TTL_S, "completed_at"))
+    return table.read().select(*columns)
+
+
 @query
 def purge_report(spark, sf_dir):
     return dispatch.purge_report(states_of(spark, sf_dir))
@@ -400,6 +413,21 @@ def event_latency_histogram(spark, sf_dir):
     return rows.withColumn("sum", F.round("sum", 6))
 
 
+@query
+def rollup_totals(spark, sf_dir):
+    """Totals per type from rollups of the closed days and the open day's events. A part of one day comes late and rewrites that day."""
+    events = views.task_events(spark, sf_dir)
+    path = scratch_path(spark, "rollups")
+    at = lambda day: instant(events, "ts", day)
+    late = (F.col("ts") >= at("2024-01-03 12:00:00")) & (F.col("ts") < at("2024-01-04"))
+    closed = F.col("ts") < at("2024-01-15")
+    rollups.write_rollups(rollups.rollup(events.filter(closed & ~late)), path)
+    rollups.refresh(events, path, ["2024-01-03"])
+    totals = rollups.merged(spark, path, events.filter(~closed), ["task_type"])
+    rounded = {c: F.round(c, 6) for c in ("total_s", "low_s", "high_s")}
+    return totals.withColumns({**rounded, "cumulative": F.array_join("cumulative", ",")})
+
+
 @query
 def lease_stats(spark, sf_dir):
     stats = leases.lease_stats(leases_of(spark, sf_dir), EVENT_AS_OF)
@@ -757,6 +785,18 @@ def error_side_output(spark, sf_dir):
     return failed.select("task_id", "task_type", "error")
 
 
+@query
+def error_callback(spark, sf_dir):
+    """What the error callback makes of each failed row; all handlers and the callback run in one pass."""
+    registry = handlers.default_handlers().register_python("simple", word_count)
+    done = handlers.apply_handlers(routed_of(spark, sf_dir), registry, alert)
+    return done.filter(F.col("error").isNotNull()).select("task_id", "noted")
+
+
+def alert(task: dict, error: Exception) -> str:
+    return f"{type(error).__name__} in {task['task_type']}: {error}"
+
+
 @query
 def process_ready_batch(spark, sf_dir):
     return process_batch(views.tasks(spark, sf_dir), views.handlers(spark), TASK_AS_OF)

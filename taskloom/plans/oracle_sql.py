@@ -469,6 +469,12 @@ oracle(
     f"""SELECT task_id, queue_name, state, completed_at FROM states
 WHERE NOT (state = 'completed' AND completed_at + to_days(30) < {T})""",
 )
+oracle(
+    "versioned_retention",
+    ["states"],
+    f"""SELECT task_id, queue_name, state, completed_at FROM states
+WHERE queue_name <> 'q1' AND NOT (state = 'completed' AND completed_at + to_days(30) < {T})""",
+)
 oracle(
     "purge_report",
     ["states"],
@@ -676,6 +682,17 @@ SELECT 'processing' AS metric, le, count(*) FILTER (WHERE processing_s <= CAST(b
        round(sum(processing_s), 6) AS sum, count(*) AS count
 FROM ev, {BUCKETS} WHERE kind = 'completed' AND processing_s > 0 GROUP BY le""",
 )
+EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60, 1e300)
+UP_TO = ", ".join(f"count(*) FILTER (WHERE v <= {e}::DOUBLE)" for e in EDGES)
+oracle(
+    "rollup_totals",
+    ["ev"],
+    f"""
+SELECT task_type, count(*) FILTER (WHERE kind = 'submitted') AS submitted, count(*) FILTER (WHERE kind = 'started') AS started,
+       count(*) FILTER (WHERE kind = 'completed') AS completed, count(*) FILTER (WHERE kind = 'failed') AS failed, count(v) AS samples,
+       round(sum(v), 6) AS total_s, round(min(v), 6) AS low_s, round(max(v), 6) AS high_s, concat_ws(',', {UP_TO}) AS cumulative
+FROM (SELECT *, CASE WHEN kind = 'completed' AND processing_s > 0 THEN processing_s END AS v FROM ev) x GROUP BY task_type""",
+)
 oracle(
     "lease_stats",
     ["leases"],
@@ -980,6 +997,14 @@ oracle(
 SELECT task_id, task_type, CASE WHEN handler_kind = 'simple' THEN 'cannot handle power' ELSE error END AS error
 FROM handled WHERE error IS NOT NULL OR (handler_kind = 'simple' AND op = 'power')""",
 )
+oracle(
+    "error_callback",
+    ["handled"],
+    """
+SELECT task_id, CASE WHEN handler_kind = 'simple' THEN 'ValueError in ' || task_type || ': cannot handle power'
+                     ELSE 'HandlerError in ' || task_type || ': ' || error END AS noted
+FROM handled WHERE error IS NOT NULL OR (handler_kind = 'simple' AND op = 'power')""",
+)
 oracle(
     "process_batch",
     ["handled"],

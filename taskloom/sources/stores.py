@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from taskloom.sources.versions import spread_by_queue
+
 
 def read_tasks(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
     """Read with a given schema, never an inferred one."""
@@ -17,9 +19,9 @@ def read_tasks(spark: SparkSession, path: str, schema: StructType, fmt: str = "p
 def write_by_queue(tasks: DataFrame, path: str, mode: str = "append") -> None:
     """Queue directories; a filter on ``queue_name`` reads one of them only.
 
-    Rows are not gathered per queue first, so a large queue is written by many tasks.
+    A queue's rows are brought together, so it has few files, and a large queue is still written by many tasks.
     """
-    tasks.write.mode(mode).partitionBy("queue_name").parquet(path)
+    spread_by_queue(tasks).write.mode(mode).partitionBy("queue_name").parquet(path)
 
 
 def read_queue(spark: SparkSession, path: str, queue_name: str | None = None) -> DataFrame:
