@@ -99,7 +99,9 @@ def combined(hashes: list[np.ndarray], documents: np.ndarray, names: list[str])
     size = np.diff(np.append(first, len(of_hash))) - 1
     offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
     others = pa.ListArray.from_arrays(offsets, pa.array(rows[-1][~of_hash]), mask=pa.array(size == 0))
-    return pa.RecordBatch.from_arrays([*[pa.array(x[first]) for x in rows], others], names)
+    # By document, not by hash: an exchange then packs equal documents that follow each other.
+    by_document = pa.array(np.argsort(rows[-1][first], kind="stable"))
+    return pa.RecordBatch.from_arrays([*[pa.array(x[first]).take(by_document) for x in rows], others.take(by_document)], names)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
