@@ -2,16 +2,20 @@
 
 A group is a source with a weight of its own; all other sources, and null, share the weight `rest`. With size a document's
 characters plus one, a group's rate is weight / (sum of the weights of the groups that occur) * size of all
-documents / size of the group, at most `max_rate`, a bound on how often a text may be repeated on average. A document's count is
+documents / size of the group; `max_rate` may bound how often a text is repeated on average, production sets no bound. A document's count is
 the inverse of the Poisson distribution with that rate at a number in [0, 1) that is hashed from the seed
 and the doc_id (from the text where doc_id is null), so a rerun or a lost executor gives the same mix.
 
+A distribution is tabled over 12 standard deviations and 30 more to either side of its rate, beyond which less than 1e-30 lies; so the table grows
+with the square root of the rate. A text with very many copies is exploded in blocks.
+
 Only built-in column functions are used. Sizes are summed per task first, so that a source with most of the rows needs
 no split, and the table of rates has as many rows as weights are given, plus one: that bound is why it's broadcast.
 The only shuffle of texts is the global one, by a hash of document and copy, which no group skews.
 
 Null texts count as empty ones. Rows that repeat a doc_id get the same count each. An empty table gives no rows. Columns
-of the input stay, apart from mix_copy and mix_order, which are replaced, and mix_group, mix_key, mix_cdf and mix_n, which are dropped.
+of the input stay, apart from mix_copy and mix_order, which are replaced, and mix_group, mix_key, mix_cdf, mix_first, mix_block and mix_n, which are dropped.
+Rows with the same mix_order, as repeated rows have, come in any order.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 from taskloom.llm.common import table
 
 WEIGHTS = {"src0": 0.10, "src1": 0.20, "src2": 0.15, "src3": 0.10, "src4": 0.05}
-REST, SEED, MAX_RATE = 0.40, "mix-1", 1000.0
+REST, SEED, MAX_RATE = 0.40, "mix-1", float("inf")
+#: Copies of a text that are made from one row.
+BLOCK = 10_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -49,7 +55,7 @@ def attained(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, rest: floa
 
 
 def distributions(docs: DataFrame, weights: Mapping[str, float], rest: float, max_rate: float) -> DataFrame:
-    """(mix_group, mix_cdf): mix_cdf[k] is the probability of at most k copies."""
+    """(mix_group, mix_first, mix_cdf): mix_cdf[k] is the probability of at most mix_first + k copies."""
     share = F.create_map(*[F.lit(x) for pair in [*weights.items(), ("", rest)] for x in pair])
     size = F.coalesce(F.length("text"), F.lit(0)) + 1
     # At most len(weights) + 1 rows, so the windows below are small.
@@ -58,15 +64,17 @@ def distributions(docs: DataFrame, weights: Mapping[str, float], rest: float, ma
     rates = sizes.withColumn("w", share[F.col("mix_group")].cast("double")).select(
         "mix_group", F.least(F.lit(max_rate), F.col("w") / F.sum("w").over(every) * F.sum("size").over(every) / F.col("size")).alias("rate")
     )
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    terms = rates.select("mix_group", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    factorial = F.sum(F.log(F.greatest("k", F.lit(1)).cast("double"))).over(upto)
-    # A rate of 0 leaves all weight on no copy.
-    log_term = F.when(F.col("rate") > 0, F.col("k") * F.log("rate") - F.col("rate") - factorial).when(F.col("k") == 0, 0.0)
-    terms = terms.withColumn("term", F.coalesce(F.exp(log_term), F.lit(0.0)))
+    spread = 12 * F.sqrt("rate") + 30
+    first, last = F.greatest(F.lit(0), F.floor(F.col("rate") - spread)).cast("long"), F.ceil(F.col("rate") + spread).cast("long")
+    terms = rates.select("mix_group", "rate", first.alias("mix_first"), F.explode(F.sequence(first, last)).alias("k"))
+    # Each term is the one before times rate / k, and they add up to 1. A rate of 0 leaves all weight on no copy.
+    step = F.when(F.col("k") == F.col("mix_first"), 0.0).when(F.col("rate") > 0, F.log(F.col("rate") / F.col("k")))
+    whole = Window.partitionBy("mix_group")
+    terms = terms.withColumn("log_term", F.when((F.col("rate") > 0) | (F.col("k") == 0), F.sum(step).over(upto)))
+    terms = terms.withColumn("term", F.coalesce(F.exp(F.col("log_term") - F.max("log_term").over(whole)), F.lit(0.0)))
     return (
-        terms.withColumn("p", F.sum("term").over(upto))
-        .groupBy("mix_group")
+        terms.withColumn("p", F.sum("term").over(upto) / F.sum("term").over(whole))
+        .groupBy("mix_group", "mix_first")
         .agg(F.array_sort(F.collect_list(F.struct("k", "p"))).getField("p").alias("mix_cdf"))
     )
 
@@ -77,7 +85,7 @@ def mix(
     """The repeated documents in shuffled order, with mix_copy (from 1) and mix_order, by which partitions are sorted."""
     if len(weights) > 10_000:
         raise ValueError("at most 10,000 sources may have a weight of their own; the table of rates is broadcast")
-    docs = docs.drop("mix_copy", "mix_order", "mix_group", "mix_key", "mix_cdf", "mix_n")
+    docs = docs.drop("mix_copy", "mix_order", "mix_group", "mix_key", "mix_cdf", "mix_first", "mix_block", "mix_n")
     rates = F.broadcast(distributions(docs, weights, rest, max_rate))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
     keyed = docs.withColumns({"mix_group": group_of(weights), "mix_key": key})
@@ -85,7 +93,10 @@ def mix(
     # The array of one number keeps the hash from being computed again for each step of the distribution.
     number = F.array(uniform(F.lit(seed), F.col("mix_key")))
     copies = F.transform(number, lambda u: F.size(F.filter("mix_cdf", lambda p: p <= u)))[0]
-    repeated = drawn.withColumn("mix_n", copies).where("mix_n > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1, mix_n)")))
+    counted = drawn.withColumn("mix_n", F.col("mix_first") + copies).where("mix_n > 0")
+    blocks = counted.withColumn("mix_block", F.explode(F.expr(f"sequence(0L, (mix_n - 1) div {BLOCK})")))
+    copy = F.explode(F.expr(f"sequence(mix_block * {BLOCK} + 1, least(mix_n, (mix_block + 1) * {BLOCK}))"))
+    repeated = blocks.withColumn("mix_copy", copy).withColumn("mix_copy", F.col("mix_copy").cast("int"))
     order = F.md5(F.concat_ws("|", F.lit(seed + " order"), "mix_key", "mix_copy"))
     ordered = repeated.withColumn("mix_order", F.substring(order, 1, 16))
     return ordered.repartition("mix_order").sortWithinPartitions("mix_order").select(*docs.columns, "mix_copy", "mix_order")
@@ -106,17 +117,19 @@ docs AS (
   FROM {documents}),
 sizes AS (SELECT mix_group, sum(coalesce(length(text), 0) + 1)::DOUBLE AS size FROM docs GROUP BY 1),
 rates AS (
-  SELECT mix_group, least({MAX_RATE!r}::DOUBLE, w / sum(w) OVER () * sum(size) OVER () / size) AS rate
+  SELECT mix_group, w / sum(w) OVER () * sum(size) OVER () / size AS rate
   FROM sizes JOIN weights USING (mix_group)),
-terms AS (
-  SELECT mix_group, k, exp(k * ln(rate) - rate - sum(ln(greatest(k, 1)::DOUBLE)) OVER (PARTITION BY mix_group ORDER BY k)) AS term
-  FROM rates, LATERAL (SELECT unnest(range(0, ceil(rate + 12 * sqrt(rate) + 31)::BIGINT)) AS k)),
-cdf AS (SELECT mix_group, k, sum(term) OVER (PARTITION BY mix_group ORDER BY k) AS p FROM terms),
-steps AS (SELECT mix_group, list(p ORDER BY k) AS ps FROM cdf GROUP BY 1),
+around AS (SELECT *, greatest(0, floor(rate - 12 * sqrt(rate) - 30))::BIGINT AS first FROM rates),
+logs AS (
+  SELECT mix_group, first, k, sum(CASE WHEN k > first THEN ln(rate / k) ELSE 0 END) OVER (PARTITION BY mix_group ORDER BY k) AS log_term
+  FROM around, LATERAL (SELECT unnest(range(first, ceil(rate + 12 * sqrt(rate) + 31)::BIGINT)) AS k)),
+terms AS (SELECT *, exp(log_term - max(log_term) OVER (PARTITION BY mix_group)) AS term FROM logs),
+cdf AS (SELECT mix_group, first, k, sum(term) OVER (PARTITION BY mix_group ORDER BY k) / sum(term) OVER (PARTITION BY mix_group) AS p FROM terms),
+steps AS (SELECT mix_group, first, list(p ORDER BY k) AS ps FROM cdf GROUP BY 1, 2),
 drawn AS (
-  SELECT docs.*, ('0x' || substr(md5('{SEED}|' || mix_key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u, ps
+  SELECT docs.*, ('0x' || substr(md5('{SEED}|' || mix_key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u, first, ps
   FROM docs JOIN steps USING (mix_group)),
-counted AS (SELECT *, len(list_filter(ps, lambda p: p <= u)) AS n FROM drawn),
+counted AS (SELECT *, first + len(list_filter(ps, lambda p: p <= u)) AS n FROM drawn),
 copies AS (SELECT *, unnest(range(1, n + 1))::INTEGER AS mix_copy FROM counted WHERE n > 0)
 SELECT {columns}, mix_copy, substr(md5('{SEED} order|' || mix_key || '|' || mix_copy), 1, 16) AS mix_order FROM copies
 """
