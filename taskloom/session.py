@@ -1,4 +1,4 @@
-"""Session settings and the shared folder that materialised steps are written to."""
+"""Session settings and the shared folder that written steps go to."""
 
 from __future__ import annotations
 
@@ -68,9 +68,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/taskloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
