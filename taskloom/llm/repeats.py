@@ -9,7 +9,8 @@ order of two windows never depends on the phrases that follow, and the parse is
 2. Equal phrases form the dictionary; all occurrences but the earliest are repeats with all their windows.
 3. Only phrases that share a trigger but differ are left. Their texts are fetched, one for each entry of the dictionary, and dealt to tasks by trigger. A task
    sorts all suffixes of its phrases, cut at 100 bytes: the suffix array of its part of the dictionary. Equal neighbours are repeats of the one that stands first in
-   corpus order. The phrases of a very common trigger are dealt to several tasks; what each finds first is then merged by a digest of the window.
+   corpus order. A window has its trigger at one of OFFSETS places, and equal windows at the same. So the phrases of a common trigger are cut into slices by ranges of that place, each dealt with
+   the bytes that all its windows share: equal windows always meet in one task, and unlike phrases part. The commoner the trigger, the narrower the ranges, down to single windows.
 4. The repeated windows of a document are joined to spans, and its text is read once more without them.
 
 A window's place is (doc_id, digest of the text, start). Rows with the same doc_id but other texts are ordered by that digest; rows
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from taskloom.llm.common import mixed, powers, table, written
 
 WINDOW, GRAM = 100, 24
+#: Places of a trigger in its windows.
+OFFSETS = WINDOW - GRAM + 1
 #: Bytes parsed at a time (below 2**20, the places that a packed trigger has room for), and phrases that a task sorts at a time.
 PART, SORTED = 1 << 19, 4096
 #: Stands for a null doc_id, which comes first.
@@ -42,17 +45,17 @@ _POWER, _INVERSE = powers(2 * PART + WINDOW)
 
 
 def parsed(raw: bytes, ends: np.ndarray) -> list[np.ndarray]:
-    """Phrases of documents that stand end to end: trigger, digest, first window and number of windows, as places in `raw`."""
+    """Phrases of documents that stand end to end: trigger, digest, first window, number of windows and the trigger's place, as places in `raw`."""
     letters = np.frombuffer(raw, np.uint8)
     n = len(raw) - WINDOW + 1
     if n <= 0:
-        return [np.zeros(0, np.int64)] * 4
+        return [np.zeros(0, np.int64)] * 5
     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(t[letters] * _POWER[: len(raw)])]) for t in (_LETTER, _OTHER)]
     gram = mixed((sums[0][GRAM:] - sums[0][:-GRAM]) * _INVERSE[: len(raw) - GRAM + 1])
     place = np.uint64((1 << 20) - 1)
     least = (gram & ~place) | np.arange(len(gram), dtype=np.uint64)
     # The least over WINDOW - GRAM + 1 places, from two ranges of a power of two that overlap.
-    span, width = WINDOW - GRAM + 1, 1
+    span, width = OFFSETS, 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -63,25 +66,25 @@ def parsed(raw: bytes, ends: np.ndarray) -> list[np.ndarray]:
     whole = np.arange(n) + WINDOW <= ends[document]
     start = np.flatnonzero(whole)
     if not len(start):
-        return [np.zeros(0, np.int64)] * 4
+        return [np.zeros(0, np.int64)] * 5
     trigger = trigger[start]
     new = np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (start[1:] != start[:-1] + 1)])
     first = start[new]
     count = np.diff(np.concatenate([np.flatnonzero(new), [len(start)]]))
     digest = mixed((sums[1][first + count + WINDOW - 1] - sums[1][first]) * _INVERSE[first] + count.astype(np.uint64))
-    return [gram[trigger[new]].view(np.int64), digest.view(np.int64), first, count]
+    return [gram[trigger[new]].view(np.int64), digest.view(np.int64), first, count, trigger[new]]
 
 
 def phrases(batch: list[str | None]) -> Iterator[list[np.ndarray]]:
-    """(row, trigger, digest, start, windows, again) of all phrases of a batch of texts, part by part.
+    """(row, trigger, digest, start, windows, again, place) of all phrases of a batch of texts, part by part.
 
-    `again`: how many windows after these belong to phrases that repeat the one before them, as in a run of one letter.
+    `place`: of the trigger, from the start. `again`: how many windows after these belong to phrases that repeat the one before them, as in a run of one letter.
     """
     held: list[tuple[int, int, bytes]] = []
 
     def flush() -> list[np.ndarray]:
         ends = np.cumsum([len(x) for _, _, x in held])
-        trigger, digest, first, count = parsed(b"".join(x for _, _, x in held), ends)
+        trigger, digest, first, count, place = parsed(b"".join(x for _, _, x in held), ends)
         part = np.searchsorted(ends, first, "right")
         rows, base = (np.array([x[i] for x in held], np.int64)[part] for i in (0, 1))
         start = first - np.concatenate([[0], ends])[part] + base
@@ -89,7 +92,7 @@ def phrases(batch: list[str | None]) -> Iterator[list[np.ndarray]]:
         new[1:] = (trigger[1:] != trigger[:-1]) | (digest[1:] != digest[:-1]) | (start[1:] != start[:-1] + count[:-1]) | (rows[1:] != rows[:-1])
         at = np.flatnonzero(new)
         total = np.add.reduceat(count, at) if len(at) else count
-        return [rows[at], trigger[at], digest[at], start[at], count[at], total - count[at]]
+        return [rows[at], trigger[at], digest[at], start[at], count[at], total - count[at], (place - first)[at]]
 
     size = 0
     for row, text in enumerate(batch):
@@ -108,16 +111,33 @@ def phrases(batch: list[str | None]) -> Iterator[list[np.ndarray]]:
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """(k, c, d, h, s, n, r) of every phrase: trigger, digest, document, start, windows, and windows that repeat it at once."""
+    """(k, c, d, h, s, n, r, t) of every phrase: trigger, digest, document, start, windows, windows that repeat it at once, and the trigger's place."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, *columns in phrases(batch["text"].to_pylist()):
                 doc = [batch[c].take(pa.array(rows)) for c in ("d", "h")]
-                k, c, s, n, r = (pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())))
-                yield pa.RecordBatch.from_arrays([k, c, *doc, s, n, r], ["k", "c", "d", "h", "s", "n", "r"])
+                k, c, s, n, r, t = (pa.array(x, kind) for x, kind in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4))
+                yield pa.RecordBatch.from_arrays([k, c, *doc, s, n, r, t], ["k", "c", "d", "h", "s", "n", "r", "t"])
 
-    return docs.select("d", "h", "text").mapInArrow(read, "k long, c long, d long, h long, s int, n int, r int")
+    return docs.select("d", "h", "text").mapInArrow(read, "k long, c long, d long, h long, s int, n int, r int, t int")
+
+
+def slices(raw: bytes, s: int, n: int, t: int, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first, windows) for the phrase of n windows from s with its trigger t further, cut by the trigger's place in the window into so many ranges.
+
+    The key tells the range and the bytes that every window with the trigger in that range has, if it is equal to one of these."""
+    if ranges == 1:
+        yield 0, s, n
+        return
+    width = -(-OFFSETS // ranges)
+    for low in range(0, OFFSETS, width):
+        high = min(low + width, OFFSETS) - 1
+        # The window i after s has the trigger at t - i.
+        first, last = max(0, t - high), min(n - 1, t - low)
+        if first <= last:
+            shared = raw[s + t - low : s + t - high + WINDOW]
+            yield xxhash.xxh3_64_intdigest(shared, low) - 2**63, s + first, last - first + 1
 
 
 def runs(place: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +147,7 @@ def runs(place: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sorted_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Repeats among all windows of these phrases, as spans; and for phrases with `parts` over 1, the windows that are first here."""
+    """Repeats among all windows of these phrases, as spans."""
     rows = rows.sort_values(["d", "h", "s"], ignore_index=True)
     lengths = rows["raw"].map(len).to_numpy() - WINDOW + 1
     letters = np.frombuffer(b"".join(rows["raw"]), np.uint8)
@@ -145,10 +165,7 @@ def sorted_windows(rows: pd.DataFrame) -> pd.DataFrame:
     d, h, start = rows["d"].to_numpy()[owner], rows["h"].to_numpy()[owner], rows["s"].to_numpy()[owner] + offset
     at = np.flatnonzero(repeat)
     a, b = runs(start[at], owner[at]) if len(at) else (at, at)
-    spans = pd.DataFrame({"d": d[at][a], "h": h[at][a], "a": start[at][a], "b": start[at][b] + WINDOW})
-    shared = np.flatnonzero(~repeat & (rows["parts"].to_numpy()[owner] > 1))
-    digests = [xxhash.xxh3_128_digest(letters[begin[owner[i]] + offset[i] :][:WINDOW].tobytes()) for i in shared]
-    return pd.concat([spans, pd.DataFrame({"d": d[shared], "h": h[shared], "a": start[shared], "b": start[shared] + WINDOW, "w": digests})])
+    return pd.DataFrame({"d": d[at][a], "h": h[at][a], "a": start[at][a], "b": start[at][b] + WINDOW})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -156,15 +173,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     again = parse(docs).groupBy("k").agg(F.sum(F.when(F.col("r") > 0, 2).otherwise(1)).alias("times")).where("times > 1").select("k")
     found = written(parse(docs).join(again, "k"), "repeat-phrases")
     place = F.struct("d", "h", "s")
-    entries = written(found.groupBy("k", "c").agg(F.min(F.struct("d", "h", "s", "n")).alias("first")), "repeat-dictionary")
+    entries = written(found.groupBy("k", "c").agg(F.min(F.struct("d", "h", "s", "n", "t")).alias("first")), "repeat-dictionary")
 
     # All occurrences but the first, and what repeats an occurrence at once.
     later = found.join(entries, ["k", "c"]).withColumn("a", F.when(place == F.struct("first.d", "first.h", "first.s"), F.col("s") + F.col("n")).otherwise(F.col("s")))
     spans = later.withColumn("e", F.col("s") + F.col("n") + F.col("r")).where("e > a").select("d", "h", "a", (F.col("e") + WINDOW - 1).alias("b"))
 
-    differ = entries.groupBy("k").agg(F.count("*").alias("g")).where("g > 1").select("k", F.ceil(F.col("g") / SORTED).alias("parts"))
-    wanted = entries.join(differ, "k").select("k", "parts", "first.*")
-    by_document = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("k", "parts", "s", "n")).alias("wanted"))
+    g = F.col("g")
+    ranges = F.when(g <= SORTED, 1).when(g <= SORTED * 64, 8).otherwise(OFFSETS)
+    differ = entries.groupBy("k").agg(F.count("*").alias("g")).where("g > 1").select("k", ranges.alias("ranges"))
+    wanted = entries.join(differ, "k").select("k", "ranges", "first.*")
+    by_document = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("k", "ranges", "s", "n", "t")).alias("wanted"))
     by_document = written(by_document, "repeat-wanted")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,22 +191,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             out = []
             for d, h, text, want in zip(b["d"], b["h"], b["text"], b["wanted"]):
                 raw = text.encode()
-                out += [(x["k"], x["parts"], d, h, x["s"], raw[x["s"] : x["s"] + x["n"] + WINDOW - 1]) for x in want]
-            yield pd.DataFrame(out, columns=["k", "parts", "d", "h", "s", "raw"])
+                for x in want:
+                    out += [(x["k"], key, d, h, s, raw[s : s + n + WINDOW - 1]) for key, s, n in slices(raw, x["s"], x["n"], x["t"], x["ranges"])]
+            yield pd.DataFrame(out, columns=["k", "key", "d", "h", "s", "raw"])
 
     # Rows that the table repeats give the same texts again.
-    texts = docs.join(by_document, ["d", "h"]).mapInPandas(cut, "k long, parts long, d long, h long, s int, raw binary").dropDuplicates(["k", "d", "h", "s"])
+    texts = docs.join(by_document, ["d", "h"]).mapInPandas(cut, "k long, key long, d long, h long, s int, raw binary").dropDuplicates(["k", "d", "h", "s"])
     texts = written(texts, "repeat-texts")
     buckets = texts.agg(F.count("*")).first()[0] // SORTED + 1
-    part = F.expr("pmod(xxhash64(d, h, s), parts)")
-    dealt = texts.withColumn("bucket", F.pmod(F.xxhash64("k", part), F.lit(buckets)))
-    sifted = written(dealt.groupBy("bucket").applyInPandas(sorted_windows, "d long, h long, a int, b int, w binary"), "repeat-sorted")
-
-    # Windows that several tasks hold: all but the first in corpus order.
-    shared = sifted.where("w IS NOT NULL")
-    first = shared.groupBy("w").agg(F.min(F.struct("d", "h", "a")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    merged = shared.join(first, "w").where(F.struct("d", "h", "a") != F.col("first"))
-    spans = spans.unionByName(sifted.where("w IS NULL").drop("w")).unionByName(merged.select("d", "h", "a", "b"))
+    dealt = texts.withColumn("bucket", F.pmod(F.xxhash64("k", "key"), F.lit(buckets)))
+    found = dealt.groupBy("bucket").applyInPandas(sorted_windows, "d long, h long, a int, b int")
+    spans = spans.unionByName(found)
     return spans.groupBy("d", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 

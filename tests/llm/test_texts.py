@@ -149,9 +149,29 @@ def cut_by_hand(texts):
     return out
 
 
-@pytest.mark.parametrize("at_once", [4096, 4])
+def test_slices_hold_every_window_once():
+    """Windows that are equal get the same key, whatever the phrase around them."""
+    rng = random.Random(7)
+    keys = {}
+    for _ in range(60):
+        raw = bytes(rng.choices(b"ab", k=176))
+        gram = raw[76:100]
+        for text, t in ((raw, 76), (raw[20:150] + b"x", 56), (b"y" * 3 + raw[40:], 39)):
+            n = min(len(text) - 99, t + 1)
+            s0 = max(0, t - 76)
+            assert text[t : t + 24] == gram
+            for ranges in (1, 8, 77):
+                seen = []
+                for key, s, count in repeats.slices(text, s0, n - s0, t - s0, ranges):
+                    seen += range(s, s + count)
+                    for i in range(s, s + count):
+                        assert keys.setdefault((ranges, t - i, text[i : i + 100]), key) == key
+                assert seen == list(range(s0, n)) or sorted(seen) == list(range(s0, n))
+
+
+@pytest.mark.parametrize("at_once", [4096, 4, 1])
 def test_repeats(spark, monkeypatch, at_once):
-    monkeypatch.setattr(repeats, "SORTED", at_once)  # 4: phrases of a common trigger are dealt to several tasks
+    monkeypatch.setattr(repeats, "SORTED", at_once)  # fewer: the phrases of a common trigger are cut into slices
     texts = odd_texts()
     docs = repeats.with_spans(frame(spark, texts, extra=True).drop("spans"))
     rows = docs.select("doc_id", repeats.digests(F.col("text"), F.col("spans")).alias("x")).select("doc_id", "x.*").collect()
@@ -163,7 +183,7 @@ def test_repeats_of_parts(spark, monkeypatch):
     raw = random.Random(2).randbytes(3000).hex()
     batch = [raw, raw[500:3000], None, raw[:99]]
     places = {}
-    for row, k, c, s, n, r in repeats.phrases(batch):
+    for row, k, c, s, n, r, t in repeats.phrases(batch):
         for row, s, n in zip(row.tolist(), s.tolist(), (n + r).tolist()):
             places.setdefault(row, []).extend(range(s, s + n))
     assert {row: sorted(x) for row, x in places.items()} == {0: list(range(6000 - 99)), 1: list(range(2500 - 99))}
@@ -260,6 +280,19 @@ def test_poisson_counts(spark):
         term *= 0.9 / (k + 1)
 
 
+def test_mixing_without_a_bound(spark):
+    """A source of one short text gets its weight, however often that text must be repeated."""
+    docs = frame(spark, [(1, "x" * 9), (2, "y" * 299_989)])
+    rows = mixing.mix(docs, {"src1": 0.5, "src2": 0.5}, 0.0).groupBy("doc_id").count().collect()
+    counts = {r.doc_id: r["count"] for r in rows}
+    assert abs(counts[1] - 15_000) < 6 * 15_000**0.5 and counts.get(2, 0) < 10
+    table = {r.mix_group: r for r in mixing.distributions(docs, {"src1": 0.5, "src2": 0.5}, 0.0, float("inf")).collect()}
+    assert len(table["src1"].mix_cdf) < 30 * 15_000**0.5 and table["src1"].mix_first > 13_000
+    assert table["src1"].mix_cdf[15_000 - table["src1"].mix_first] == pytest.approx(0.5, abs=0.01)
+    copies = mixing.mix(docs, {"src1": 0.5, "src2": 0.5}, 0.0).where("doc_id = 1").select("mix_copy").collect()
+    assert sorted(r.mix_copy for r in copies) == list(range(1, counts[1] + 1))
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
