@@ -96,18 +96,13 @@ def metric_summary(samples: DataFrame, keys: list[str], value: Column) -> DataFr
     """
     rows = samples.select(F.struct(*keys, F.lit(0).alias("_all")).alias(GROUP), value.cast("double").alias("v"))
     counted = rows.filter(F.col("v").isNotNull()).groupBy(GROUP, "v").agg(F.count("*").alias("c"))
-    total = F.sum(F.col("v") * F.col("c"))
-    summary = counted.groupBy(GROUP).agg(
-        F.sum("c").alias("count"),
-        total.alias("sum"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-        (total / F.sum("c")).alias("avg"),
-    )
     ranks = {f"p{round(share * 100)}": F.floor(F.col("n") * F.lit(share)) + 1 for share in (0.5, 0.95, 0.99)}
-    whole = summary.join(ranked_values(counted, ranks), GROUP)
-    measured = ["count", "sum", "min", "max", "avg", *ranks]
-    return whole.select(*[F.col(GROUP)[k].alias(k) for k in keys], *measured)
+    found = ranked_values(counted, ranks)
+    total, extremes = F.col("sum"), ["sum", "min", "max"]
+    return found.select(
+        *[F.col(GROUP)[k].alias(k) for k in keys],
+        F.col("n").alias("count"), *extremes, (total / F.col("n")).alias("avg"), *ranks,
+    )
 
 
 def latency_histogram(samples: DataFrame, metrics: dict[str, Column]) -> DataFrame:
