@@ -3,13 +3,13 @@
 A text is cut by the vocabulary's pattern; each match is encoded by itself. Within a match, all tokens that
 occur are found by one Aho-Corasick pass over the bytes read as Latin-1. From the left, the longest token
 is taken that the token before it tolerates: two tokens may stand side by side if merging their joined bytes
-gives back just these two. That answer is memoised per pair. Where no token fits, the last one is taken back and
+gives back just these two: both borders are followed up through the merges that make the tokens, to see which merge over the border comes first. That answer is memoised per pair. Where no token fits, the last one is taken back and
 shortened, and the place is marked dead, so a match costs linear time. A row of tokens whose
 neighbours all tolerate each other is the one that the merges make, so the ids are those of the merge rule.
 
 Null and empty texts have no tokens. Repeated rows are encoded each by itself. Other columns, of any
 name, are left as they are, since the encoder is a column expression. Texts of any length: memory is a few times
-one text.
+one text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,7 +74,10 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.bytes_of = {i: t for t, i in ranks.items()}
         # A token that the merges don't make from its own bytes occurs only as a whole match.
-        made = {t: i for t, i in ranks.items() if len(t) == 1 or len(self.merged(t, i)) == 2}
+        halves = {t: self.merged(t, i) if len(t) > 1 else [] for t, i in ranks.items()}
+        made = {t: i for t, i in ranks.items() if len(halves[t]) in (0, 2)}
+        self.borders = [{i: self.spine(t, halves, side) for t, i in made.items()} for side in (-1, 0)]
+        self.name = {i: str(i) for i in ranks.values()}
         self.size = {i: len(t) for t, i in made.items()}
         self.shorter = {i: next((made[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in made), -1) for t, i in made.items()}
         self.search = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -97,10 +100,54 @@ class Encoder:
                     ranks[k] = self.ranks.get(parts[k] + parts[k + 1], below)
         return parts
 
+    def spine(self, token: bytes, halves: dict[bytes, list[bytes]], side: int) -> list[tuple[bytes, int, float]] | None:
+        """What stands at the token's border while it is merged, from the single byte up: bytes, rank, and the rank of the merge that ends it.
+
+        None if some merge in it has a lower rank than one it needs; such tokens are told by the merges themselves."""
+        out, end = [], float("inf")
+        while True:
+            rank = self.ranks[token] if len(token) > 1 else -1
+            if rank >= end:
+                return None
+            out.append((token, rank, end))
+            if not halves[token]:
+                return out[::-1]
+            if any(len(h) > 1 and self.ranks[h] > rank for h in halves[token]):
+                return None
+            token, end = halves[token][side], rank
+
+    def apart(self, a: int, b: int) -> bool | None:
+        """Whether no merge joins the two tokens: both borders are followed up in the order of their merges, the left one first among equals.
+
+        None if a merge over the border would come earlier than one it needs."""
+        lefts, rights = self.borders[0][a], self.borders[1][b]
+        if lefts is None or rights is None:
+            return None
+        i = j = 0
+        ranks = self.ranks
+        while True:
+            left, made_left, left_ends = lefts[i]
+            right, made_right, right_ends = rights[j]
+            over = ranks.get(left + right)
+            if over is not None:
+                if over < made_left or over < made_right:
+                    return None
+                if over < left_ends and over <= right_ends:
+                    return False
+            if left_ends <= right_ends:
+                i += 1
+                if i == len(lefts):
+                    return True
+            else:
+                j += 1
+
     def fits(self, a: int, b: int) -> bool:
         if (known := self.fit.get((a, b))) is None:
-            left, right = self.bytes_of[a], self.bytes_of[b]
-            known = self.fit[a, b] = self.merged(left + right) == [left, right]
+            known = self.apart(a, b)
+            if known is None:
+                left, right = self.bytes_of[a], self.bytes_of[b]
+                known = self.merged(left + right) == [left, right]
+            self.fit[a, b] = known
         return known
 
     def encode_match(self, text: bytes) -> tuple[int, ...]:
@@ -176,7 +223,7 @@ def round_trip(text: Column, vocabulary) -> Column:
         encoder, out = vocabulary.value.encoder, []
         for t in texts:
             ids = list(encoder.encode(t))
-            shown = ",".join(map(str, ids)).encode()
+            shown = ",".join(map(encoder.name.__getitem__, ids)).encode()
             out.append((len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
