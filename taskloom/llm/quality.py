@@ -9,7 +9,7 @@ to the driver, where tables of a few kilobytes are fitted. Scoring is a column e
 text, with no shuffle. Inputs are features of the text alone.
 
 Null and empty texts have all features 0 and get a score like others. Repeated labels of a document count once (the least
-quality), as do repeated documents. With labels of only one class, or none, every score is the share of label 1, or 0.5.
+quality), as do repeated documents. Texts of any length are read whole; an empty table of documents gives no rows. With labels of only one class, or none, every score is the share of label 1, or 0.5.
 Other columns are left alone, whatever their names.
 """
 

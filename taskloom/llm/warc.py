@@ -12,7 +12,7 @@ Null URLs match nothing: their revisits have no base. A null time counts as earl
 time go by record_id, nulls first, and a revisit takes only a base before it in that order; of several bases with one time and record_id, that with the greatest key.
 The key is two 64-bit hashes of all columns that are read; bases and bodies are joined by it, so captures that share a record_id, or have none, stay apart, and a
 base without an id gives its headers and body, and null as base_id. Rows that are equal in all columns read are worked on once and returned as often as they come.
-Null headers are no headers. An empty table gives no rows. Extra columns are not read.
+Null headers are no headers. Bodies of any length are carried whole. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
