@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,9 +37,12 @@ class ManifestTable:
 
     def _read(self, path: str, schema) -> DataFrame:
         """The rows there, none if the folder is not there yet."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def manifest(self) -> DataFrame:
         return self._read(f"{self.path}/manifest", "batch_id LONG, folder STRING")
