@@ -7,7 +7,7 @@ share an n-gram of their first fifth in that order. A list holds the classes tha
 1. Each class of a list is compared with one leader: the class where the n-gram stands nearest to the front, as a text without edits of its
    own does. So a group of copies needs as many pairs as it has members, not their square.
 2. Lists whose classes are all in one component by now are done. In the others, classes outside the leader's component are compared with
-   those of other components. Pairs that can't reach the threshold by size or by place in the order never become rows.
+   those of other components. Pairs that can't reach the threshold by size, by place in the order or by a short parity that the list's rows carry never become rows.
 
 A pair whose sets are shown to differ too much by their parities is dropped: PARITY bits per set, or as many as a larger set has n-grams, tell for each
 range of hashes whether the set has an odd number there, and every bit that differs stands for an n-gram that only one of the two has.
@@ -18,7 +18,7 @@ are summed per pair. No link between different components is left out; within on
 The counts that make n-grams common are sums over all documents of what each batch of rows holds several times; they only choose the order, and
 any order gives the same result, so the table of at most COMMON n-grams that is sent to workers cuts nothing off.
 
-Null, empty and blank texts have no shingles, link with nothing and are their own component. Repeated rows are copies like others. A null doc_id counts
+Texts of any length are read whole, a long one in chunks cut at blanks. Null, empty and blank texts have no shingles, link with nothing and are their own component. Repeated rows are copies like others. A null doc_id counts
 in no minimum: a group with only null ids has a null component. Other columns are not read. An empty table gives no rows.
 """
 
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from taskloom.llm.common import components, shingle_sets, table, written
 
 WIDTH, FRAGMENTS, PARITY = 5, 8, 1024
+#: Words of the short parity.
+FOLDED = 4
 #: n-grams in the table that orders them: 16 bytes each.
 COMMON = 500_000
 #: Bits that mark which texts are fetched: two megabytes, at most MARKS / 64 rows. When nearly all are set, they only save nothing.
@@ -170,6 +172,20 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return summed.where("100 * o >= 80 * (x + y - o)").select("a", "b")
 
 
+def folded(parity: Column) -> Column:
+    """FOLDED words of the parity added up, as the parity of a set by that many ranges: where it differs, the whole parity differs, too."""
+    word = lambda i: F.aggregate(F.filter(parity, lambda x, at: at % FOLDED == i), F.lit(0).cast("long"), lambda total, x: total.bitwiseXOR(x))
+    return F.struct(*[word(i).alias(f"w{i}") for i in range(FOLDED)])
+
+
+def alike(x: str, y: str, n: str, m: str) -> Column:
+    """Whether short parities leave room for the threshold, as in `near`."""
+    odd = F.lit(0)
+    for i in range(FOLDED):
+        odd = odd + F.bit_count(F.col(x)[f"w{i}"].bitwiseXOR(F.col(y)[f"w{i}"]))
+    return odd * 9 <= F.col(n) + F.col(m)
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
@@ -196,10 +212,13 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(links)
     named = shared.join(roots, F.col("cls") == F.col("node"), "left").select("s", "p", "n", "cls", F.coalesce("root", "cls").alias("comp"))
     open_lists = named.groupBy("s").agg(F.min_by("comp", F.struct("p", "cls")).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    rest = written(named.join(open_lists.where("lo <> hi").select("s", "main"), "s").distinct(), "jaccard-open")
-    other = rest.where("comp <> main").select("s", *[F.col(c).alias(f"other_{c}") for c in ("p", "n", "cls", "comp")])
-    cross = rest.join(other, "s").where("comp <> other_comp AND (comp = main OR cls < other_cls)")
-    second = unordered(cross.where(possible("n", "p", "other_n", "other_p")), "cls", "other_cls").join(first, ["a", "b"], "left_anti")
+    short = classes.select(F.col("cls").alias("cls_"), folded(F.col("parity")).alias("short"))
+    rest = named.join(open_lists.where("lo <> hi").select("s", "main"), "s").distinct()
+    rest = written(rest.join(short, F.col("cls") == F.col("cls_")).drop("cls_"), "jaccard-open")
+    other = rest.where("comp <> main").select("s", *[F.col(c).alias(f"other_{c}") for c in ("p", "n", "cls", "comp", "short")])
+    apart = F.expr("comp <> other_comp AND (comp = main OR cls < other_cls)")
+    cross = rest.join(other, "s").where(apart & possible("n", "p", "other_n", "other_p") & alike("short", "other_short", "n", "other_n"))
+    second = unordered(cross, "cls", "other_cls").join(first, ["a", "b"], "left_anti")
     second = written(near(second, classes), "jaccard-pairs")
     missing = written(ends(second).join(sets.select("cls").distinct(), "cls", "left_anti"), "jaccard-missing")
     if not missing.isEmpty():
