@@ -884,7 +884,7 @@ SELECT event_id, queue_name, kind, depth_before, depth, CASE WHEN kind = 'submit
     SELECT event_id, queue_name, kind, row_number() OVER (PARTITION BY queue_name ORDER BY ts, event_id) AS n
     FROM ev WHERE kind IN ('submitted', 'started')),
   replay AS (
-    SELECT 0::BIGINT AS event_id, queue_name, '' AS kind, 0::BIGINT AS n, 0 AS depth_before, 0 AS depth FROM (SELECT DISTINCT queue_name FROM moves)
+    SELECT 0::BIGINT AS event_id, queue_name, '' AS kind, 0::BIGINT AS n, 0::BIGINT AS depth_before, 0::BIGINT AS depth FROM (SELECT DISTINCT queue_name FROM moves)
     UNION ALL
     SELECT m.event_id, m.queue_name, m.kind, m.n, r.depth,
            CASE WHEN m.kind = 'submitted' THEN least(40, r.depth + 1) ELSE greatest(0, r.depth - 1) END
