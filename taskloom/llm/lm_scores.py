@@ -16,7 +16,7 @@ There the pairs are counted, and the occurrences, the exploded n-grams, are join
 the pair is in the table, c(v) lies in another partition; such occurrences, summed per word and document, are joined to the table of words.
 Occurrences travel as packed arrays, so the one large shuffle is of about a dozen bytes a word.
 
-Words are runs of bytes other than ASCII blanks, with A-Z in lower case, told apart by 64-bit hashes. Null, empty and blank texts have no words and a score of 0. Repeated rows
+Words are runs of bytes other than ASCII blanks, with A-Z in lower case, told apart by 64-bit hashes. Texts of any length are read whole. Null, empty and blank texts have no words and a score of 0. Repeated rows
 count as documents of their own, each with its score. Other columns are not read. An empty table gives no rows.
 """
 
