@@ -1,6 +1,6 @@
 """Per-task state machines with event-time timers.
 
-State is keyed by task id. A timer fires once the watermark has passed it, so an idle input delays it.
+State is keyed by task id, that of delayed tasks by a bucket of ids. A timer fires once the watermark has passed it, so an idle input delays it.
 Rows of one task are put in event order within a step; the source's ``max_files`` bounds a step.
 """
 
@@ -18,42 +18,84 @@ from taskloom.schema import BACKOFF_BASE, DEFAULT_MAX_RETRIES, LEASE_EXTENSION_S
 from taskloom.session import ship_package
 
 SECOND_US = 1_000_000
+#: Values that hold the delayed tasks.
+BUCKETS = 8192
 
 
-def _keyed(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+def _keyed(df: DataFrame, processor: StatefulProcessor, schema: str, key: str = "task_id") -> DataFrame:
     ship_package()
-    return df.groupBy("task_id").transformWithState(processor, schema, "Append", "EventTime")
+    return df.groupBy(key).transformWithState(processor, schema, "Append", "EventTime")
 
 
 class DelayedRelease(StatefulProcessor):
-    """Holds a task until it is due. A task delayed again replaces the held one."""
+    """Holds the tasks of one bucket until they are due. A task delayed again replaces the held one.
+
+    The bucket is one value, with one timer for the earliest task: a step asks the state store a few times per bucket, not per task.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "queue_name STRING, priority INT, due_us BIGINT, at_us BIGINT")
+        self.held = handle.getValueState(
+            "held",
+            "task_id ARRAY<STRING>, queue_name ARRAY<STRING>, priority ARRAY<INT>, due_us ARRAY<BIGINT>, at_us ARRAY<BIGINT>",
+        )
+
+    def _load(self) -> dict[str | None, tuple]:
+        """(queue_name, priority, due_us, at_us) by task."""
+        known = self.held.get()
+        return {} if known is None else dict(zip(known[0], zip(*known[1:])))
+
+    def _keep(self, held: dict[str | None, tuple]) -> None:
+        if held:
+            self.held.update((list(held), *map(list, zip(*held.values()))))
+        else:
+            self.held.clear()
+
+    def _first(self, held: dict[str | None, tuple]) -> int | None:
+        return min(h[2] for h in held.values()) // 1000 if held else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        newest = max(rows, key=lambda r: (r.at_us, r.due_us))
-        held = self.held.get()
-        if held is not None:
-            if held[3] > newest.at_us:
-                return
-            self.handle.deleteTimer(held[2] // 1000)
-        self.held.update((newest.queue_name, newest.priority, newest.due_us, newest.at_us))
-        self.handle.registerTimer(newest.due_us // 1000)
+        newest = {}
+        for r in rows:
+            known = newest.get(r.task_id)
+            if known is None or (r.at_us, r.due_us) > (known[3], known[2]):
+                newest[r.task_id] = (r.queue_name, r.priority, r.due_us, r.at_us)
+        held = self._load()
+        timer = self._first(held)
+        for task_id, row in newest.items():
+            if task_id not in held or held[task_id][3] <= row[3]:
+                held[task_id] = row
+        first = self._first(held)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self._keep(held)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        queue_name, priority, due_us, _ = self.held.get()
-        self.held.clear()
-        yield Row(task_id=key[0], queue_name=queue_name, priority=priority, released_us=due_us, held=True)
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = {}
+        for task_id, held in self._load().items():
+            queue_name, priority, due_us, _ = held
+            if due_us // 1000 <= now:
+                yield Row(task_id=task_id, queue_name=queue_name, priority=priority, released_us=due_us, held=True)
+            else:
+                waiting[task_id] = held
+        if waiting:
+            self.handle.registerTimer(self._first(waiting))
+        self._keep(waiting)
 
     def close(self) -> None:
         pass
 
 
-def delayed_release(tasks: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Tasks at the time they become ready; ``created_at`` is the event time. Only delayed ones need state."""
+def delayed_release(tasks: DataFrame, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
+    """Tasks at the time they become ready; ``created_at`` is the event time. Only delayed ones need state.
+
+    They are held by hash of the task id in ``buckets`` values. A step reads and writes the buckets that its rows fall into or that
+    have tasks due; one bucket, some 50 bytes for each task it holds, is in memory at a time.
+    """
     rows = tasks.withWatermark("created_at", delay).select(
         "task_id",
         "queue_name",
@@ -67,9 +109,10 @@ def delayed_release(tasks: DataFrame, delay: str = "1 hour") -> DataFrame:
         "task_id", "queue_name", "priority", F.col("at_us").alias("released_us"), F.lit(False).alias("held")
     )
     later = _keyed(
-        rows.filter(is_delayed),
+        rows.filter(is_delayed).withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets))),
         DelayedRelease(),
         "task_id STRING, queue_name STRING, priority INT, released_us BIGINT, held BOOLEAN",
+        "bucket",
     )
     return at_once.unionByName(later).withColumn("released_at", from_micros(F.col("released_us"))).drop("released_us")
 

@@ -233,6 +233,30 @@ def test_delayed_tasks_wait_and_can_be_replaced(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("buckets", [1, 16])
+def test_delayed_tasks_share_the_state_of_a_bucket(spark, tmp_path, buckets):
+    schema = "task_id STRING, queue_name STRING, priority INT, at BIGINT, due BIGINT"
+    hour = 3600
+    # Three files an hour apart; the last one only moves the watermark. Every task is held once or replaced, null ids count as one.
+    first = [(f"t{i}", f"q{i % 3}", i % 5, 100 * hour, (102 + i % 50) * hour) for i in range(400)] + [(None, None, None, 100 * hour, 103 * hour)]
+    second = [(f"t{i}", None, 9, 101 * hour + i % 2, 104 * hour) for i in range(0, 400, 7)] + [(None, "n", None, 101 * hour, 105 * hour)]
+    older = [(f"t{i}", "old", 7, 100 * hour - 1, 103 * hour) for i in range(0, 400, 5)]
+    end = 121 * hour
+    for rows in (first, second + older, [("end", "q", 1, end, None)]):
+        df = spark.createDataFrame(rows, schema).select("task_id", "queue_name", "priority", *[F.timestamp_seconds(c).alias(n) for c, n in (("at", "created_at"), ("due", "execute_after"))])
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = stateful.delayed_release(intake.stream_folder(spark, str(tmp_path / "in"), df.schema, 1), "1 hour", buckets)
+    query = intake.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    held = {r[0]: r for r in first}
+    held |= {r[0]: r for r in second}
+    out = [(r.task_id, r.queue_name, r.priority, r.us) for r in spark.read.parquet(str(tmp_path / "out")).where("held").selectExpr("*", "unix_micros(cast(released_at AS timestamp)) DIV 1000000 AS us").collect()]
+    # A task that is due just where the watermark stands is released.
+    assert sorted(map(str, out)) == sorted(str((t, q, p, due)) for t, q, p, _, due in held.values() if due <= end - hour)
+    assert any(r[4] == end - hour for r in held.values())
+    # One value and its timer, kept in both orders, per bucket.
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 3 * buckets
+
+
 def test_dedup_keeps_one_row_per_id(spark, event_log, folder):
     stream = windows.stream_dedup(streamed(spark, folder, event_log.schema), ["task_id"], "400 days")
     out = intake.run_and_read(spark, stream.select("task_id"), "dedup-test")
