@@ -12,9 +12,10 @@ tables, so no task needs all occurrences of a run.
 The count tables are partitioned by a hash of a word. Words with more than N / HOT occurrences are HOT at most, and pairs of two such words HOT * HOT
 at most: these counts are combined per task, sent to every worker, and need no partition. Every other word makes up at
 most one part in HOT of the text, so no partition gets heavy: it takes all occurrences of its words as predicted words, with their contexts, and as contexts of common words.
-There the pairs are counted, and the occurrences, the exploded n-grams, are joined to the counts and summed per document. If both words are uncommon and
-the pair is in the table, c(v) lies in another partition; such occurrences, summed per word and document, are joined to the table of words.
-Occurrences travel as packed arrays, so the one large shuffle is of about a dozen bytes a word.
+There the pairs are counted, and the occurrences, the exploded n-grams, are joined to the counts and summed per document. The counts of words with more than
+N / KNOWN occurrences, KNOWN at most, are on every worker. If a pair in the table has a rarer context, c(v) lies in another partition; such occurrences, summed per word and document, are joined to the table of words.
+Occurrences travel as packed arrays, so the one large shuffle is of about a dozen bytes a word. A partition is read packed, and unpacked and counted by blocks of its words.
+Its sums go, packed as well, to as many buckets of documents, where they are added up.
 
 Words are runs of bytes other than ASCII blanks, with A-Z in lower case, told apart by 64-bit hashes. Texts of any length are read whole. Null, empty and blank texts have no words and a score of 0. Repeated rows
 count as documents of their own, each with its score. Other columns are not read. An empty table gives no rows.
@@ -25,24 +26,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm.common import mixed, table, word_hashes, written
 
 ALPHA, MIN_COUNT, HOT = 0.4, 2, 1000
-#: Bytes of text that are packed at a time, and occurrences in a partition.
-SLICE, PARTITION = 8_000_000, 1_500_000
-#: The context of a first word.
-FIRST = -1
+#: Words with more than N / KNOWN occurrences, KNOWN at most, have their counts sent to every worker.
+KNOWN = 1_000_000
+#: Bytes of text that are packed at a time, what a row counts beside its text, occurrences in a partition, and those counted at a time.
+SLICE, ROW, PARTITION, BLOCK = 4_000_000, 64, 1_500_000, 200_000
+#: The context of a first word, and of a word whose count is not on every worker.
+FIRST, RARE = -1, -2
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Parts of a batch of bounded size, with the word hashes of each text."""
-    lengths = np.array([len(x) if x else 0 for x in batch["text"].to_pylist()])
-    part = np.cumsum(lengths) // SLICE
+    lengths = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    # A row counts as ROW bytes more, so that a slice has fewer than 2**16 rows.
+    part = np.cumsum(lengths + ROW) // SLICE
     for p in np.unique(part):
         at = np.flatnonzero(part == p)
         rows = batch.slice(at[0], len(at))
@@ -132,12 +136,12 @@ def run_scores(docs: DataFrame, words: DataFrame, order: int) -> DataFrame:
     )
 
 
-def places(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The place of each word among the hot ones, or -1."""
-    if not len(hot):
-        return np.full(len(words), -1)
-    at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-    return np.where(hot[at] == words, at, -1)
+def places(words: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The place of each word among the held ones, which are sorted, or RARE."""
+    if not len(held):
+        return np.full(len(words), RARE)
+    at = np.minimum(np.searchsorted(held, words), len(held) - 1)
+    return np.where(held[at] == words, at, RARE)
 
 
 def hot_pairs(docs: DataFrame, hot) -> DataFrame:
@@ -147,7 +151,7 @@ def hot_pairs(docs: DataFrame, hot) -> DataFrame:
         for batch in batches:
             for _, texts in slices(batch):
                 words, _, first = joined(texts)
-                at = places(words, hot.value[0])
+                at = places(words, hot.value)
                 both = ~first[1:] & (at[1:] >= 0) & (at[:-1] >= 0)
                 found = np.unique(at[:-1][both] * HOT + at[1:][both], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["pair", "c"])
@@ -155,61 +159,79 @@ def hot_pairs(docs: DataFrame, hot) -> DataFrame:
     return docs.select("text").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
 
 
-PACKED = "part int, kind int, words binary, others binary, rows binary, ids binary"
+def hot_places(counts: np.ndarray, total: int) -> np.ndarray:
+    """For each known word its place among the hot ones, or RARE."""
+    hot = counts * HOT > total
+    return np.where(hot, np.cumsum(hot) - 1, RARE)
 
 
-def pack(docs: DataFrame, hot, pairs, total: int, parts: int) -> DataFrame:
-    """Occurrences by partition: words and others (hashes, or a hot word's place), rows (of ids), ids of documents.
+PACKED = "part int, first int, words binary, others binary, rare binary, rows binary, ids binary"
+#: Sums of documents by bucket, packed: ids, scores, numbers of backoffs, and for whole documents of words, too. Or, with no bucket, what is owed: an id, a context and how often.
+SUMS = "bucket int, ids binary, scores binary, backoffs binary, words binary, id long, context long, times long"
+SCORED = "id long, score double, words long, backoffs long, copies long"
+
+
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
-    kind 1: words are predicted, others are their contexts. kind 2: words are contexts of others, which are hot. kind 0: sums
-    of what needs no partition, per document: words holds scores, others numbers of words, rows numbers of backoffs.
-    """
 
+def packed_slice(ids: np.ndarray, texts: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], pairs: np.ndarray, total: int, parts: int) -> pa.RecordBatch:
+    """Occurrences of a slice by partition, packed: words (hashes), others (place among the known words, FIRST or RARE), rare (hashes of
+    the others that are RARE, in order), rows (of ids), ids of documents.
+
+    The first `first` words are predicted, others are their contexts; the remaining words are contexts of others, which are hot.
+    One more row, of part and first -1, has what needs no partition, per document: words holds scores, others numbers of words, rows numbers of backoffs.
+    """
+    held, counts = known
+    words, document, first = joined(texts)
+    at = places(words, held)
+    hot = (hot_places(counts, total) if len(held) else np.full(1, RARE))[np.maximum(at, 0)]
+    hot[at < 0] = RARE
+    after, before = ~first[1:], np.append(np.full(min(len(at), 1), FIRST), at[:-1])
+    before[first] = FIRST
+    hot_before = np.append(np.full(min(len(at), 1), RARE), hot[:-1])
+    hot_before[first] = RARE
+
+    plain = np.flatnonzero((hot >= 0) & (first | (hot_before >= 0)))
+    begins, h, v = first[plain], hot[plain], hot_before[plain]
+    c = np.where(begins, 0, pairs[np.maximum(v, 0) * HOT + h])
+    in_table = c >= MIN_COUNT
+    of_context = counts[np.maximum(before[plain], 0)]
+    s = np.where(in_table, np.maximum(c, 1) / np.maximum(of_context, 1), counts[at[plain]] / total * np.where(begins, 1, ALPHA))
+    n = len(texts)
+    sums = np.bincount(document[plain], np.log(s), n)
+    backed = np.bincount(document[plain], ~in_table & ~begins, n).astype(np.int64)
+    out = [(int(ids[0] % parts), -1, sums.tobytes(), np.bincount(document, minlength=n).astype(np.int64).tobytes(), b"", backed.tobytes(), ids.tobytes())]
+
+    predicted = np.flatnonzero(hot < 0)
+    contexts = np.flatnonzero(after & (hot[1:] >= 0) & (hot_before[1:] < 0))
+    sides = []
+    for place, other_at, other in ((predicted, before[predicted], predicted - 1), (contexts, at[contexts + 1], contexts + 1)):
+        key = mixed(words[place].view(np.uint64))
+        order = np.argsort(key)
+        sides.append((dealt(key[order], parts), words[place[order]], other_at[order].astype(np.int32), words[other[order]], document[place[order]]))
+    found = np.unique(np.concatenate([x[0][np.flatnonzero(np.diff(x[0], prepend=-1))] for x in sides]))
+    cuts = [list(zip(*(np.searchsorted(x[0], found, side) for side in ("left", "right")))) for x in sides]
+    for p, *spans in zip(found, *cuts):
+        w, o, r, d = (np.concatenate([x[k][i:j] for x, (i, j) in zip(sides, spans)]) for k in range(1, 5))
+        seen = np.zeros(n, bool)
+        seen[d] = True
+        present = np.flatnonzero(seen)
+        row = np.searchsorted(present, d).astype(np.uint16)
+        out.append((int(p), int(spans[0][1] - spans[0][0]), w.tobytes(), o.tobytes(), r[o == RARE].tobytes(), row.tobytes(), ids[present].tobytes()))
+    types = pa.int32(), pa.int32(), *[pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names(PACKED))
+
+
+def pack(docs: DataFrame, known, pairs, total: int, parts: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = hot.value
         for batch in batches:
             for rows, texts in slices(batch):
-                ids = rows["id"].to_numpy()
-                words, document, first = joined(texts)
-                at = places(words, held)
-                before, before_at = np.concatenate([[0], words[:-1]]), np.concatenate([[-1], at[:-1]])
-                before[first], before_at[first] = FIRST, -1
-                plain = (at >= 0) & (first | (before_at >= 0))
-                c = np.where(first, 0, pairs.value[np.maximum(before_at, 0) * HOT + np.maximum(at, 0)])[plain]
-                in_table = c >= MIN_COUNT
-                own = counts[at[plain]]
-                s = np.where(in_table, np.maximum(c, 1) / np.maximum(counts[np.maximum(before_at[plain], 0)], 1), own / total * np.where(first[plain], 1, ALPHA))
-                n = len(texts)
-                sums = np.bincount(document[plain], np.log(s), n)
-                backed = np.bincount(document[plain], ~in_table & ~first[plain], n).astype(np.int64)
-                out = [(int(ids[0] % parts), 0, sums.tobytes(), np.bincount(document, minlength=n).tobytes(), backed.tobytes(), ids.tobytes())]
-                for kind, some, key, other in (
-                    (1, at < 0, words, np.where(before_at >= 0, before_at, before)),
-                    (2, (at >= 0) & ~first & (before_at < 0), before, at),
-                ):
-                    key, other, doc = key[some], other[some], document[some]
-                    part = (mixed(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                    order = np.lexsort((key, part))
-                    key, other, doc, part = key[order], other[order], doc[order], part[order]
-                    for p, k, o, d in zip(*split(part, key, other, doc)):
-                        present, row = np.unique(d, return_inverse=True)
-                        out.append((int(p[0]), kind, k.tobytes(), o.tobytes(), row.astype(np.int32).tobytes(), ids[present].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], PACKED_NAMES)
+                yield packed_slice(rows["id"].to_numpy(), texts, known.value, pairs.value, total, parts)
 
     return docs.select("id", "text").mapInArrow(read, PACKED)
 
 
-PACKED_NAMES = [x.split()[0] for x in PACKED.split(", ")]
-
-
-def split(part: np.ndarray, *columns: np.ndarray) -> list[list[np.ndarray]]:
-    """The columns cut where `part`, which is sorted, changes."""
-    if not len(part):
-        return [[] for _ in range(len(columns) + 1)]
-    at = np.flatnonzero(part[1:] != part[:-1]) + 1
-    return [np.split(x, at) for x in (part, *columns)]
-
-
 def tally(*columns: np.ndarray) -> np.ndarray:
     """For each row, how many rows are equal to it."""
     x = columns[0].view(np.uint64)
@@ -219,47 +241,85 @@ def tally(*columns: np.ndarray) -> np.ndarray:
     return count[inverse]
 
 
-SCORED = "id long, score double, words long, backoffs long, copies long, context long, times long"
-
-
-def score_part(rows: pd.DataFrame, counts: np.ndarray, total: int) -> pd.DataFrame:
-    """One partition's sums per document; and for pairs of uncommon words, how often c(context) is still to be divided by."""
-    done = []
-    for r in rows[rows.kind == 0].itertuples():
-        ids = np.frombuffer(r.ids, np.int64)
-        done.append({"id": ids, "score": np.frombuffer(r.words), "words": np.frombuffer(r.others, np.int64), "backoffs": np.frombuffer(r.rows, np.int64), "copies": np.ones(len(ids), np.int64)})
-    sides = {}
-    ids, base = [np.zeros(0, np.int64)], 0
-    for kind in (1, 2):
-        held = rows[rows.kind == kind]
-        document = [np.zeros(0, np.int64)]
-        for r, i in zip(held["rows"], held["ids"]):
-            ids.append(np.frombuffer(i, np.int64))
-            document.append(np.frombuffer(r, np.int32).astype(np.int64) + base)
-            base += len(ids[-1])
-        sides[kind] = (*(np.frombuffer(b"".join(held[c]), np.int64) for c in ("words", "others")), np.concatenate(document))
-    ids = np.concatenate(ids)
-    word, before, document = sides[1]
-    context, hot_word, document_2 = sides[2]
-    known, inverse, own = np.unique(word, return_inverse=True, return_counts=True)
-    c = tally(word, before)
-    in_table = (c >= MIN_COUNT) & (before != FIRST)
-    hot_before = (before >= 0) & (before < HOT)
-    divisor = np.where(hot_before, counts[np.where(hot_before, before, 0)] if len(counts) else 1, 1)
-    s = np.where(in_table, c / np.maximum(divisor, 1), (own[inverse] if len(word) else c) / total * np.where(before == FIRST, 1, ALPHA))
-    c_2 = tally(context, hot_word)
-    of_context = own[np.minimum(np.searchsorted(known, context), max(len(known) - 1, 0))] if len(context) else c_2
-    s_2 = np.where(c_2 >= MIN_COUNT, c_2 / np.maximum(of_context, 1), (counts[hot_word] if len(context) else c_2) / total * ALPHA)
-    n = len(ids)
-    score = np.bincount(document, np.log(s), n) + np.bincount(document_2, np.log(s_2), n)
-    backoffs = np.bincount(document, ~in_table & (before != FIRST), n) + np.bincount(document_2, c_2 < MIN_COUNT, n)
-    done.append({"id": ids, "score": score, "words": 0, "backoffs": backoffs.astype(np.int64), "copies": 0})
-    out = pd.concat([pd.DataFrame(x) for x in done]).groupby("id", as_index=False).sum()
-    out["context"], out["times"] = pd.array([None] * len(out), "Int64"), 0
-    open_ = in_table & ~hot_before
-    owed = pd.DataFrame({"id": ids[document[open_]], "context": before[open_]}).value_counts().rename("times").reset_index()
-    owed = owed.assign(score=0.0, words=0, backoffs=0, copies=0).astype({"context": "Int64"})
-    return pd.concat([out, owed])[[x.split()[0] for x in SCORED.split(", ")]]
+def laid(column: pa.ChunkedArray, kind: type, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted rows' values one after the other, and how many each row has."""
+    rows = [np.frombuffer(x.as_buffer(), kind) for x in (column[int(i)] for i in wanted)]
+    return np.concatenate([np.zeros(0, kind), *rows]), np.array([len(x) for x in rows], np.int64)
+
+
+def dealt(key: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of mixed hashes: by their high half, so that it is a range of them."""
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def bucketed(ids: np.ndarray, score: np.ndarray, backoffs: np.ndarray, words: np.ndarray | None, parts: int) -> pa.Table:
+    """The sums, by bucket of the document."""
+    key = mixed(ids.view(np.uint64))
+    order = np.argsort(key)
+    bucket = dealt(key[order], parts)
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    columns = [np.split(x[order], at[1:]) if x is not None and len(at) else [] for x in (ids, score, backoffs.astype(np.int32), words)]
+    packed = [pa.array([y.tobytes() for y in x] or [b""] * len(at), pa.binary()) for x in columns]
+    none = [pa.nulls(len(at), pa.int64())] * 3
+    return pa.table([pa.array(bucket[at], pa.int32()), *packed, *none], names(SUMS))
+
+
+def summed(rows: pa.Table) -> pa.Table:
+    """The sums of each document of a bucket."""
+    (ids, n), (score, _), (backoffs, _) = (laid(rows[c], k, np.arange(len(rows))) for c, k in (("ids", np.int64), ("scores", float), ("backoffs", np.int32)))
+    words, whole = laid(rows["words"], np.int64, np.arange(len(rows)))
+    found, document = np.unique(ids, return_inverse=True)
+    own = document[np.repeat(whole > 0, n)]
+    columns = [found, np.bincount(document, score, len(found)), np.bincount(own, words, len(found)), np.bincount(document, backoffs, len(found)), np.bincount(own, minlength=len(found))]
+    return pa.table([pa.array(x if i == 1 else x.astype(np.int64)) for i, x in enumerate(columns)], names(SCORED))
+
+
+def score_part(rows: pa.Table, counts: np.ndarray, total: int, parts: int) -> pa.Table:
+    """One partition's sums by bucket of documents; and for pairs whose context is RARE, how often c(context) is still to be divided by.
+
+    The words are taken by ranges of their hash, BLOCK or so at a time."""
+    first = rows["first"].to_numpy()
+    whole, some = np.flatnonzero(first < 0), np.flatnonzero(first >= 0)
+    done = [bucketed(*(laid(rows[c], k, whole)[0] for c, k in (("ids", np.int64), ("words", float), ("rows", np.int64), ("others", np.int64))), parts)]
+    (word, n), (other, _), (rare, _), (row, _), (ids, documents) = (
+        laid(rows[c], k, some) for c, k in (("words", np.int64), ("others", np.int32), ("rare", np.int64), ("rows", np.uint16), ("ids", np.int64))
+    )
+    document = np.repeat((np.cumsum(documents) - documents).astype(np.int32), n) + row
+    predicted = np.arange(len(word), dtype=np.int32) < np.repeat((np.cumsum(n) - n + first[some]).astype(np.int32), n)
+    rare_at = np.cumsum(other == RARE, dtype=np.int32) - 1
+    block = (mixed(word.view(np.uint64)) % np.uint64(len(word) // BLOCK + 1)).astype(np.int32)
+    score, backoffs = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+    for b in range(len(word) // BLOCK + 1):
+        here = np.flatnonzero((block == b) & predicted)
+        w, o, d = word[here], other[here], document[here]
+        known, inverse, own = np.unique(w, return_inverse=True, return_counts=True)
+        is_rare = o == RARE
+        context = o.astype(np.int64)
+        context[is_rare] = rare[rare_at[here[is_rare]]]
+        # A place and a hash may be the same number.
+        c = tally(w, context, is_rare.astype(np.int64))
+        in_table = (c >= MIN_COUNT) & (o != FIRST)
+        divisor = np.where(o >= 0, counts[np.maximum(o, 0)], 1) if len(counts) else np.ones(len(o))
+        s = np.log(np.where(in_table, c / divisor, own[inverse] / total * np.where(o == FIRST, 1, ALPHA)))
+        np.add.at(score, d, s)
+        np.add.at(backoffs, d, ~in_table & (o != FIRST))
+        owed = np.flatnonzero(in_table & is_rare)
+        if len(owed):
+            order = owed[np.lexsort((context[owed], d[owed]))]
+            x, y = d[order], context[order]
+            at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            none = [pa.nulls(len(at), pa.int32()), *[pa.nulls(len(at), pa.binary())] * 4]
+            done.append(pa.table([*none, *[pa.array(z, pa.int64()) for z in (ids[x[at]], y[at], np.diff(np.append(at, len(order))))]], names(SUMS)))
+
+        here = np.flatnonzero((block == b) & ~predicted)
+        if len(here):
+            # The word is the context here, and all its occurrences are in this block too.
+            w, o, d = word[here], other[here].astype(np.int64), document[here]
+            c = tally(w, o)
+            s = np.log(np.where(c >= MIN_COUNT, c / own[np.searchsorted(known, w)], counts[o] / total * ALPHA))
+            np.add.at(score, d, s)
+            np.add.at(backoffs, d, c < MIN_COUNT)
+    return pa.concat_tables([*done, bucketed(ids, score, backoffs, None, parts)])
 
 
 def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
@@ -270,21 +330,23 @@ def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("id"))
     words = written(word_counts(docs), "lm-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    # HOT rows at most, since each holds more than one part in HOT of all words; so are the pairs bounded.
-    held = words.where(F.col("c") * HOT > total).orderBy("word").toArrow()
-    hot = spark.sparkContext.broadcast((held["word"].to_numpy(), held["c"].to_numpy()))
-    counted = hot_pairs(docs, hot).toArrow()
+    # KNOWN rows at most, since each holds more than one part in KNOWN of all words; so are the hot ones and their pairs bounded.
+    held = words.where(F.col("c") * KNOWN > total).orderBy("word").toArrow()
+    held = held["word"].to_numpy(), held["c"].to_numpy()
+    known = spark.sparkContext.broadcast(held)
+    counted = hot_pairs(docs, spark.sparkContext.broadcast(held[0][held[1] * HOT > total])).toArrow()
     dense = np.zeros(HOT * HOT, np.int64)
     dense[counted["pair"].to_numpy()] = counted["c"].to_numpy()
     pairs = spark.sparkContext.broadcast(dense)
 
     parts = total // PARTITION + 1
-    packed = pack(docs, hot, pairs, total, parts)
-    scored = packed.groupBy("part").applyInPandas(lambda rows: score_part(rows, hot.value[1], total), SCORED)
+    packed = pack(docs, known, pairs, total, parts)
+    scored = packed.groupBy("part").applyInArrow(lambda rows: score_part(rows, known.value[1], total, parts), SUMS)
     scored = written(scored, "lm-parts")
-    owed = scored.where("context IS NOT NULL").join(words, F.col("context") == F.col("word"))
+    owed = scored.where("bucket IS NULL").join(words, F.col("context") == F.col("word"))
     owed = owed.select("id", (-F.col("times") * F.log(F.col("c").cast("double"))).alias("score"), *[F.lit(0).cast("long").alias(x) for x in ("words", "backoffs", "copies")])
-    every = scored.where("context IS NULL").select(*owed.columns).unionByName(owed)
+    every = scored.where("bucket IS NOT NULL").select("bucket", "ids", "scores", "backoffs", "words").groupBy("bucket").applyInArrow(summed, SCORED)
+    every = every.unionByName(owed)
     if order > 2:
         every = every.unionByName(run_scores(docs, words, order))
     sums = every.groupBy("id").agg(*[F.sum(x).alias(x) for x in owed.columns[1:]])

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -219,6 +222,31 @@ def test_lm_scores(spark):
     assert lm_scores.lm_scores(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lm_scores_in_many_partitions_and_with_few_known_words(spark, monkeypatch):
+    docs = frame(spark, odd_texts() + odd_texts()[:9], extra=True)
+    want = sorted(map(str, lm_scores.whole_numbers(lm_scores.lm_scores(docs)).collect()))
+    monkeypatch.setattr(lm_scores, "KNOWN", 20)
+    monkeypatch.setattr(lm_scores, "PARTITION", 500)
+    assert sorted(map(str, lm_scores.whole_numbers(lm_scores.lm_scores(docs)).collect())) == want
+
+
+def test_a_partition_of_lm_scores_is_counted_in_little_memory():
+    rng = np.random.default_rng(5)
+    slices = [[rng.zipf(1.3, 500).astype(np.int64) for _ in range(600)] for _ in range(4)]
+    words, counts = np.unique(np.concatenate([x for s in slices for x in s]), return_counts=True)
+    total = counts.sum()
+    known = tuple(x[counts > 50] for x in (words, counts))
+    empty = np.zeros(lm_scores.HOT**2, np.int64)
+    rows = pa.Table.from_batches([lm_scores.packed_slice(np.arange(600) + 600 * i, s, known, empty, total, 1) for i, s in enumerate(slices)])
+    tracemalloc.start()
+    out = lm_scores.score_part(rows, known[1], total, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A few copies of the packed rows and what a block takes, but not a dozen columns of eight bytes for all occurrences.
+    assert peak < 3 * rows.nbytes + 200 * lm_scores.BLOCK, (peak, rows.nbytes)
+    assert out["ids"].combine_chunks().drop_null().to_pylist() and lm_scores.summed(out.filter(pa.compute.is_valid(out["bucket"]))).num_rows == 2400
+
+
 @pytest.mark.parametrize("order", [3, 4])
 def test_lm_scores_of_longer_runs(spark, order):
     rows = odd_texts() + [(20, odd_texts()[20][1])] * 2 + [(None, "a b c a b"), (300, "b c a")]
