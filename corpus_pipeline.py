@@ -16,12 +16,16 @@ whatever their names: past an operator that has columns of its own, they travel
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm import bpe, jaccard, mixing, quality, repeats
 from taskloom.llm.common import table, written
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -71,12 +75,23 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(docs, bpe.production(spark))
 
 
+def batched(stage: Stage, rows: int) -> Stage:
+    """The stage, with at most so many rows in what goes to Python at a time: an executor holds several copies of such a batch, here and there."""
+
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
+#: The join counts by batch which n-grams are common, so it takes large ones (Spark's own default); the others read row by row.
 STAGES = [
-    ("quality", good),
-    ("ngram_join", distinct),
-    ("suffix_dedup", without_repeats),
-    ("mixing", mixed),
-    ("bpe", encoded),
+    ("quality", batched(good, 1000)),
+    ("ngram_join", batched(distinct, 10_000)),
+    ("suffix_dedup", batched(without_repeats, 1000)),
+    ("mixing", batched(mixed, 1000)),
+    ("bpe", batched(encoded, 1000)),
 ]
 
 #: The classifier is trained, which SQL can't express.

@@ -84,7 +84,9 @@ class Encoder:
         for t, i in made.items():
             self.search.add_word(t.decode("latin-1"), i)
         self.search.make_automaton()
-        self.fit: dict[tuple[int, int], bool] = {}
+        # What is remembered holds these very numbers, not copies of them.
+        self.same = {i: i for i in made.values()}
+        self.fit: dict[int, bool] = {}
         self.known = Remembered(self.encode_match)
 
     def merged(self, text: bytes, below: float = float("inf")) -> list[bytes]:
@@ -142,12 +144,13 @@ class Encoder:
                 j += 1
 
     def fits(self, a: int, b: int) -> bool:
-        if (known := self.fit.get((a, b))) is None:
+        pair = a << 32 | b
+        if (known := self.fit.get(pair)) is None:
             known = self.apart(a, b)
             if known is None:
                 left, right = self.bytes_of[a], self.bytes_of[b]
                 known = self.merged(left + right) == [left, right]
-            self.fit[a, b] = known
+            self.fit[pair] = known
         return known
 
     def encode_match(self, text: bytes) -> tuple[int, ...]:
@@ -174,7 +177,7 @@ class Encoder:
                 token = shorter[token]
             else:
                 raise ValueError("the vocabulary lacks single bytes that the text has")
-        return tuple(path)
+        return tuple(map(self.same.__getitem__, path))
 
     def encode(self, text: str | None) -> Iterator[int]:
         if len(self.known) > REMEMBERED:

@@ -200,6 +200,16 @@ def test_repeats_odd_rows(spark):
     assert repeats.without_repeats(docs.limit(0)).columns == docs.columns and repeats.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_remembered_matches_share_their_numbers(vocabulary):
+    encoder = bpe.Encoder(vocabulary.ranks, vocabulary.pattern)
+    for text in ("zyxwvq qwvxyz", "zyxwvqx zyxwvqqq", "Ünïcödé wörds wïth mäny tökens"):
+        ids = list(encoder.encode(text))
+        assert encoder.decode(ids) == text.encode()
+    held = [i for ids in encoder.known.values() if len(ids) > 1 for i in ids]
+    assert len(held) > 10 and len({id(i) for i in held}) == len(set(held))
+    assert encoder.fit and all(type(pair) is int for pair in encoder.fit)
+
+
 def test_lm_scores(spark):
     texts = odd_texts()
     rows = texts + [(t, texts[t][1]) for t in (20, 20)]
